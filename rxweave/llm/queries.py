@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxweave.llm.common import table
+from rxweave.llm.license_scan import scan_licenses
+from rxweave.llm.packing import pack
 from rxweave.llm.secret_scan import BASE_RULES, scan_secrets
+from rxweave.llm.simhash import near_duplicates
 from rxweave.llm.url_filter import PatternRule, SiteRule, filter_urls
 
 #: The site rules of the URL query.
@@ -30,6 +33,46 @@ PATTERN_RULES = (
 )
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+OP1_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+extra(label, words) AS (VALUES ('apache-2.0', ['licensed', 'under', 'apache', 'license', 'version', '2', '0']),
+  ('bsd', ['redistribution', 'source', 'binary', 'forms', 'modification', 'permitted', 'provided', 'conditions', 'met']), ('cc-by-nc', ['licensed', 'cc', 'by', 'nc']),
+  ('gpl-notice', ['free', 'software', 'redistribute', 'modify', 'terms', 'gnu', 'general', 'public', 'license']), ('mit', ['released', 'under', 'mit', 'license']),
+  ('mit-text', ['permission', 'hereby', 'granted', 'free', 'charge', 'person', 'obtaining', 'copy', 'software']),
+  ('mpl', ['source', 'code', 'form', 'subject', 'terms', 'mozilla', 'public', 'license'])),
+flat AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM docs),
+phrases AS (SELECT r, i, w, lead(w, 1) OVER p AS w1, lead(w, 2) OVER p AS w2 FROM flat WINDOW p AS (PARTITION BY r ORDER BY i)),
+places AS (SELECT r, i, 'cc-by' AS label FROM phrases WHERE w = 'cc' AND w1 = 'by' UNION ALL SELECT r, i, 'gpl' FROM phrases WHERE w = 'general' AND w1 = 'public' AND w2 = 'license'
+  UNION ALL SELECT r, i, 'reserved' FROM phrases WHERE w = 'all' AND w1 = 'rights' AND w2 = 'reserved'),
+based AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
+words AS (SELECT label, len(words) AS n, unnest(words) AS w FROM extra),
+blocks AS (SELECT r, w, i // 32 AS b FROM flat WHERE w IN (SELECT w FROM words) UNION SELECT r, w, i // 32 - 1 FROM flat WHERE w IN (SELECT w FROM words) AND i >= 32),
+met AS (SELECT r, label, count(DISTINCT w) / any_value(n) AS share FROM blocks JOIN words USING (w) GROUP BY r, label, b HAVING count(DISTINCT w) >= ceil(0.8 * any_value(n) - 1e-9)),
+added AS (SELECT r, max(share) AS share FROM met GROUP BY r),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION SELECT r, label FROM met) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(share, 0) END AS DOUBLE) AS score
+FROM docs LEFT JOIN based USING (r) LEFT JOIN added USING (r) LEFT JOIN named USING (r)
+"""
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in BASE_RULES]
@@ -91,7 +134,10 @@ FROM split LEFT JOIN (SELECT * FROM best WHERE n = 1) USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op8_url_filter": op8_url_filter,
 }
-ORACLES: dict[str, str] = {"op5_secret_scan": OP5_SQL, "op8_url_filter": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op5_secret_scan": OP5_SQL, "op8_url_filter": OP8_SQL}
