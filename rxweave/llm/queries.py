@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxweave.llm.common import table
+from rxweave.llm.common import crc_of_id, table
+from rxweave.llm.language_id import identify
 from rxweave.llm.license_scan import scan_licenses
 from rxweave.llm.packing import pack
+from rxweave.llm.quality import score_quality
 from rxweave.llm.secret_scan import BASE_RULES, scan_secrets
 from rxweave.llm.simhash import near_duplicates
 from rxweave.llm.url_filter import PatternRule, SiteRule, filter_urls
@@ -62,6 +64,16 @@ FROM docs LEFT JOIN based USING (r) LEFT JOIN added USING (r) LEFT JOIN named US
 """
 
 
+#: A score from here on is label 1.
+QUALITY_CUT = 0.3
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_of_id() % 5 == 0
+    found = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -118,6 +130,12 @@ FROM docs LEFT JOIN per USING (r)
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_of_id() % 4 == 2
+    found = identify(table(spark, sf_dir, "documents"), ~held)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), SITE_RULES + PATTERN_RULES)
 
@@ -135,9 +153,11 @@ FROM split LEFT JOIN (SELECT * FROM best WHERE n = 1) USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_quality": op2_quality,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
+    "op6_language_id": op6_language_id,
     "op8_url_filter": op8_url_filter,
 }
 ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op5_secret_scan": OP5_SQL, "op8_url_filter": OP8_SQL}
