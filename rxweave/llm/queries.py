@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rxweave.llm.ann import search
 from rxweave.llm.common import crc_of_id, table
+from rxweave.llm.decontaminate import overlaps
 from rxweave.llm.language_id import identify
 from rxweave.llm.license_scan import scan_licenses
+from rxweave.llm.line_dedup import dedup_lines
 from rxweave.llm.packing import pack
 from rxweave.llm.quality import score_quality
 from rxweave.llm.secret_scan import BASE_RULES, scan_secrets
@@ -136,6 +139,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "mixture")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), SITE_RULES + PATTERN_RULES)
 
@@ -151,6 +158,14 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict
 FROM split LEFT JOIN (SELECT * FROM best WHERE n = 1) USING (r)
 """
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
@@ -158,6 +173,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_secret_scan": op5_secret_scan,
     "op6_language_id": op6_language_id,
+    "op7_line_dedup": op7_line_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_decontamination": op9_decontamination,
+    "op10_ann": op10_ann,
 }
 ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op5_secret_scan": OP5_SQL, "op8_url_filter": OP8_SQL}
