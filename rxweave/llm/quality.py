@@ -91,8 +91,8 @@ def word_vectors(docs: DataFrame, *, text: str = "text") -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray, *, key: str, text: str) -> DataFrame:
-    """(key, features): the mean and the spread of a document's word vectors, and a few moments of its words."""
+def pooled(docs: DataFrame, vectors: np.ndarray, *, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, features, rest): the mean and the spread of a document's word vectors, and a few moments of its words."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +108,10 @@ def pooled(docs: DataFrame, vectors: np.ndarray, *, key: str, text: str) -> Data
                     rows[i, :DIMS], rows[i, DIMS : 2 * DIMS] = mean, share @ (v - mean) ** 2
                     rows[i, 2 * DIMS :] = np.log1p(len(words)) / 10, len(found) / len(words), share.max(), np.mean(words[1:] == words[:-1]) if len(words) > 1 else 0
             features = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), features], names=["key", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), features, batch.column(2)], names=["key", "features", "rest"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, features array<float>")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("rest"))
+    return rows.mapInArrow(run, "key long, features array<float>, rest " + rows.schema["rest"].dataType.simpleString())
 
 
 @dataclass
@@ -168,8 +168,8 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, training: Column, *, key: str = "doc_id", text: str = "text", label: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Score every whole text: key, score (probability of label 1, calibrated).
+def score_quality(docs: DataFrame, labels: DataFrame, training: Column, *, key: str = "doc_id", text: str = "text", label: str = "quality", train_rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Score every whole text: key, score (probability of label 1, calibrated), and the ``keep`` columns.
 
     Word vectors come from all documents. The network is fitted on the labelled rows that ``training`` (a condition on
     ``key``) marks, at most ``train_rows`` of them, taken by the smallest hash of the key; a key with several labels
@@ -177,10 +177,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, training: Column, *, key:
     learned from; repeated rows are kept; without labels every score is one half; other columns are ignored.
     """
     vectors = word_vectors(docs, text=text)
-    features = stored(pooled(docs, vectors, key=key, text=text), "quality-features")
+    features = stored(pooled(docs, vectors, key=key, text=text, keep=keep), "quality-features")
     marks = labels.select(F.col(key).cast("long").alias(key), F.col(label).cast("int").alias("y")).where(F.col(key).isNotNull() & F.col("y").isNotNull() & training)
     marks = marks.groupBy(F.col(key).alias("key")).agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("key")).orderBy("h", "key").limit(train_rows)
-    sample = features.join(marks, "key").groupBy("key").agg(F.first("features").alias("features"), F.first("y").alias("y"), F.first("h").alias("h")).toPandas()
+    sample = features.drop("rest").join(marks, "key").groupBy("key").agg(F.first("features").alias("features"), F.first("y").alias("y"), F.first("h").alias("h")).toPandas()
     sample = sample.sort_values(["h", "key"])
     x = np.array(sample["features"].tolist(), float).reshape(len(sample), 2 * DIMS + 4)
     net = docs.sparkSession.sparkContext.broadcast(fit_network(x, (sample["y"].to_numpy() >= 1).astype(float)))
@@ -188,6 +188,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, training: Column, *, key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).values.to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 2 * DIMS + 4))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.value.probability(x))], names=["key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.value.probability(x)), batch.column(2)], names=["key", "score", "rest"])
 
-    return features.mapInArrow(run, "key long, score double").withColumnRenamed("key", key)
+    scored = features.mapInArrow(run, "key long, score double, rest " + features.schema["rest"].dataType.simpleString())
+    return scored.select(F.col("key").alias(key), "score", *[F.col("rest")[c].alias(c) for c in keep])

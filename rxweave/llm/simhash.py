@@ -96,3 +96,114 @@ def near_duplicates(docs: DataFrame, size: int = 3, *, key: str = "doc_id", text
     named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = stored(ids.join(named, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(by_print, "fp").select(F.col("key").alias(key), "fp", "component_id")
+
+
+#: Boxes of a segmented fingerprint, shingles sampled into each, and boxes that may differ. At a similarity of 0.8 a box
+#: is equal with probability 0.8 ** 3, and at most 16 of 20 differ with probability 0.999.
+BOXES, SAMPLE, BUDGET = 20, 3, 16
+
+
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Distinct XXH64 hashes (seed 42) of the shingles, sorted; no words: none."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    n = max(1, len(words) - size + 1)
+    return np.unique(np.fromiter((digest(join(words[i : i + size]), seed=42) for i in range(n)), np.uint64, n))
+
+
+def boxes_of(hashes: np.ndarray, boxes: int = BOXES, sample: int = SAMPLE) -> list[int]:
+    """A SimHash for each box, voted by the shingles that are least under the box's permutation."""
+    if not len(hashes):
+        return [0] * boxes
+    out = []
+    for b in range(boxes):
+        mixed = (hashes ^ np.uint64(xxhash.xxh64_intdigest(f"flip{b}"))) * np.uint64(xxhash.xxh64_intdigest(f"box{b}") | 1)
+        mixed ^= mixed >> np.uint64(32)
+        k = min(sample, len(mixed))
+        votes = hashes[np.argpartition(mixed, k - 1)[:k]]
+        bits = np.unpackbits(votes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        out.append(int(np.packbits(bits * 2 > k, bitorder="little").view("<i8")[0]))
+    return out
+
+
+def chain_holds(a: np.ndarray, b: np.ndarray, budget: int = BUDGET) -> np.ndarray:
+    """Pigeonring: whether some start has every chain of consecutive boxes within its proportional budget.
+
+    Rows of a and b are segmented fingerprints; a whole ring within the budget always has such a start.
+    """
+    differ = a != b
+    m = differ.shape[1]
+    sums = np.cumsum(np.concatenate([np.zeros((len(a), 1), int), differ, differ], axis=1), axis=1)
+    held = np.ones(differ.shape, bool)
+    for length in range(1, m + 1):
+        held &= sums[:, length : length + m] - sums[:, :m] <= length * budget / m
+    return held.any(axis=1)
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, node, component_id): documents linked at a Jaccard similarity of their shingle sets of ``similarity`` or more.
+
+    At that similarity one 64-bit SimHash differs in about ten bits, so here a fingerprint is a ring of 20 boxes, each the
+    SimHash of a small sample of the shingles, and a box differs or not. Candidates are found by pigeonring: the first box of
+    a viable chain is equal, the cumulative differences of the boxes after it stay within the proportional budget, and the
+    full count of differing boxes within the budget. The similarity of the rest is then counted exactly.
+
+    Equal texts are one node (the 64-bit hash of the text, returned as ``node``). In a group of nodes that share a box, or
+    a box and the next, each is compared with three members (the least, the greatest and one by hash), so a group of any
+    size gives at most three rows for each member and start. Two similar nodes share about ten of the twenty boxes and five
+    of the pairs; one group in which either is a centre, or a centre is similar to both, links them. Words and case as
+    in ``near_duplicates``; texts without words are equal to each other. Null text is empty; null keys and repeated rows
+    keep their rows; empty tables give no rows; other columns are ignored.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).withColumn("node", F.xxhash64("text"))
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([boxes_of(shingle_hashes(t.lower().split(), size)) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), found], names=["key", "node", "boxes"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([shingle_hashes(t.lower().split(), size).view(np.int64) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(1), found], names=["node", "set"])
+
+    def viable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.array(batch.column(i).to_pylist(), np.int64) for i in (2, 3))
+                ok = pa.array(chain_holds(a, b) & ((a != b).sum(axis=1) <= BUDGET))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(np.array(x, np.int64), np.array(y, np.int64), assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    prints = stored(rows.mapInArrow(sampled, "key long, node long, boxes array<long>"), "similar-prints")
+    nodes = stored(prints.groupBy("node").agg(F.min("key").alias("least"), F.first("boxes").alias("boxes")), "similar-nodes")
+    ring = F.arrays_zip("boxes", F.concat(F.slice("boxes", 2, BOXES - 1), F.slice("boxes", 1, 1)).alias("then"))
+    starts = F.flatten(F.transform(ring, lambda x, i: F.array(F.xxhash64(i, x["boxes"]), F.xxhash64(i, x["boxes"], x["then"]))))
+    box = nodes.select("node", F.explode(starts).alias("start"))
+    some = F.min_by("node", F.xxhash64("node", "start"))
+    centre = box.groupBy("start").agg(F.array_distinct(F.array(F.min("node"), F.max("node"), some)).alias("centres"), F.count("*").alias("n")).where("n > 1").drop("n")
+    faced = box.join(centre, "start").select(F.col("node").alias("b"), F.explode("centres").alias("a")).where("a <> b")
+    pairs = stored(faced.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
+    left = nodes.select(F.col("node").alias("a"), F.col("boxes").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("boxes").alias("y"))
+    near = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(viable, "a long, b long"), "similar-viable")
+    asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b"))).distinct()
+    asked = stored(asked.join(nodes.select("node", F.col("least").alias("lkey")), "node").withColumnRenamed("node", "lnode"), "similar-asked")
+    chosen = rows.join(asked, (F.col("node") == F.col("lnode")) & F.col("key").eqNullSafe(F.col("lkey"))).select("text", "node")
+    found = stored(chosen.mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"]), "similar-sets")
+    left, right = found.select(F.col("node").alias("a"), F.col("set").alias("x")), found.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    linked = near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    roots = stored(components(linked, "similar-links"), "similar-roots")
+    ids = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_node = stored(ids.join(named, "root").select("node", "component_id"), "similar-components")
+    return prints.select("key", "node").join(by_node, "node").select(F.col("key").alias(key), "node", "component_id")
