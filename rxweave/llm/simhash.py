@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from rxweave.llm.common import components, stored
 
-#: Lower bit of each of the three segments, and the end. With three segments and two differing bits the proportional
-#: budgets of a chain of one, two and three segments are 0, 1 and 2 bits.
-SEGMENTS = ((0, 22), (22, 43), (43, 64))
+#: Four segments of 16 bits. At two differing bits the proportional budgets of a chain of one to four segments are
+#: 0, 1, 1 and 2 bits.
+SEGMENTS = ((0, 16), (16, 32), (32, 48), (48, 64))
 
 
 def _signed(x: int) -> int:
@@ -54,26 +55,28 @@ def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of fingerprints within two bits; ``distinct`` has fp.
 
     Pigeonring: of two fingerprints within two bits, some segment i starts a chain whose cumulative differences stay
-    within 0, 1 and 2 bits. The chain is checked link by link, as groups of equal keys and never as pairs:
-    first fingerprints that share segment i with another one; of those, the ones that also agree in segment i + 1
-    but for one bit (they share that segment with one of its bits cleared). Fingerprints that pass neither have no
-    partner. The rest get the full check: two are within two bits just if their balls of one bit meet, so each ball's
-    members are linked to its least member, and the Hamming distance of each link is verified. The number of rows is a
-    fixed multiple of the fingerprints, whatever the size of a group.
+    within 0, 1, 1 and 2 bits. The chain is checked link by link, as groups of equal keys and never as pairs. A chain of
+    three segments within one bit has two equal ones, so first come fingerprints that share two of four segments with
+    another one; of those, the ones that share segment i and, but for one bit, the next two (as keys with one of those
+    bits cleared). A fingerprint that passes neither has no partner. The rest get the full check: two are within two
+    bits just if their balls of one bit meet, so each ball's members are linked to its least member, and the Hamming
+    distance of each link is verified. The number of rows is a fixed multiple of the fingerprints, whatever the size
+    of a group.
     """
-    start = [F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(_mask(*s)))).alias("seg")) for i, s in enumerate(SEGMENTS)]
-    first = distinct.select("fp", F.explode(F.array(*start)).alias("k")).select("fp", "k.i", "k.seg")
-    shared = first.groupBy("i", "seg").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    first = stored(first.join(shared, ["i", "seg"], "left_semi").select("fp", "i"), "simhash-first")
-
-    def cleared(i: int):
-        own, then = _mask(*SEGMENTS[i]), SEGMENTS[(i + 1) % 3]
-        return F.array(*[F.struct(F.lit(b).alias("bit"), F.col("fp").bitwiseAND(F.lit(_signed((own | _mask(*then)) & ~(1 << b)))).alias("part")) for b in range(*then)])
-
-    second = first.select("fp", "i", F.explode(F.when(F.col("i") == 0, cleared(0)).when(F.col("i") == 1, cleared(1)).otherwise(cleared(2))).alias("k"))
-    second = second.select("fp", "i", "k.bit", "k.part")
-    shared = second.groupBy("i", "bit", "part").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    left = stored(second.join(shared, ["i", "bit", "part"], "left_semi").select("fp").distinct(), "simhash-second")
+    masks = [_mask(*s) for s in SEGMENTS]
+    two = [F.struct(F.lit(n).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(masks[i] | masks[j]))).alias("part")) for n, (i, j) in enumerate(combinations(range(4), 2))]
+    first = distinct.select("fp", F.explode(F.array(*two)).alias("k")).select("fp", "k.i", "k.part")
+    shared = first.groupBy("i", "part").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    first = stored(first.join(shared, ["i", "part"], "left_semi").select("fp").distinct(), "simhash-first")
+    chains = []
+    for i in range(4):
+        then = masks[(i + 1) % 4] | masks[(i + 2) % 4]
+        for bit in (b for b in range(64) if then >> b & 1):
+            part = F.col("fp").bitwiseAND(F.lit(_signed((masks[i] | then) & ~(1 << bit))))
+            chains.append(F.struct(F.lit(64 * i + bit).alias("i"), part.alias("part")))
+    second = first.select("fp", F.explode(F.array(*chains)).alias("k")).select("fp", "k.i", "k.part")
+    shared = second.groupBy("i", "part").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    left = stored(second.join(shared, ["i", "part"], "left_semi").select("fp").distinct(), "simhash-second")
     ball = left.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)])).alias("z"))
     centre = ball.groupBy("z").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     return (
