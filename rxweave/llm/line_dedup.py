@@ -123,7 +123,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kee
     or more, or is one line of over fifty words. Shorter repeated lines stay, and so does the first place of everything,
     since a place goes only for an earlier one. ``removed`` lists runs of removed lines as first-last.
 
-    Hashes are grouped and joined by Spark: groups are aggregated before the shuffle, places of one hash are joined with
+    Texts meet their own marks, and then their own cuts, in sort-merge joins at any size: what a task holds doesn't depend on
+    how many texts repeat something. Hashes are grouped and joined by Spark: groups are aggregated before the shuffle, places of one hash are joined with
     their single first row, and only a text's own chunks meet in one task.
 
     Null text stays null with no lines. A text whose lines all go becomes empty. Equal rows (key and text) are one
@@ -138,13 +139,13 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kee
     hashed = rows.withColumn("th", F.xxhash64("text"))
     same = hashed["key"].eqNullSafe(F.col("mkey")) & (hashed["th"] == F.col("mth"))
     named = marks.withColumnsRenamed({"key": "mkey", "th": "mth"})
-    found = hashed.select("key", "text", "th").join(named, same).select("key", "text", "th", "marks")
+    found = hashed.select("key", "text", "th").join(named.hint("merge"), same).select("key", "text", "th", "marks")
     found = stored(found.mapInArrow(_places, "hash long, key long, th long, no int, first boolean, chunk binary, left binary, right binary"), "line-places")
     firsts = found.where("first").groupBy("hash").agg(F.first(F.struct(F.col("chunk").alias("c"), F.col("left").alias("l"), F.col("right").alias("r"))).alias("f"))
     pairs = found.where("not first").join(firsts, "hash").select("key", "th", "no", "chunk", "left", "right", "f.c", "f.l", "f.r")
     cuts = pairs.mapInArrow(_compared, "key long, th long, no int, back int, on int").groupBy("key", "th").agg(F.collect_set(F.struct("no", "back", "on")).alias("cuts"))
     cuts = stored(cuts, "line-cuts").withColumnsRenamed({"key": "mkey", "th": "mth"})
-    final = hashed.join(cuts, same, "left").select("key", "text", "cuts", "rest")
+    final = hashed.join(cuts.hint("merge"), same, "left").select("key", "text", "cuts", "rest")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
