@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxweave import codes
-from rxweave.functions.scalars import coded_value, decimal_value, disposition_of_kind, settled, text_or_null, trim_blank
+from rxweave.functions.scalars import coded_value, decimal_value, disposition_of_kind, let, settled, text_or_null, trim_blank
 from rxweave.sources.xml import NODE, shred_messages
 
 WARNING = "struct<code:string,message:string,path:string>"
@@ -31,12 +31,12 @@ def _if(condition: Column, found: Column) -> Column:
 
 
 def first_child(el: Column, name: str) -> Column:
-    return F.get(F.filter(F.col(NODES), lambda n: (n["parent"] == el["id"]) & (n["name"] == name)), F.lit(0))
+    return let(el["id"], lambda i: F.get(F.filter(F.col(NODES), lambda n: (n["parent"] == i) & (n["name"] == name)), F.lit(0)))
 
 
 def first_descendant(el: Column, name: str) -> Column:
     """In document order, the element itself included: the nodes below are those up to ``last``."""
-    return F.get(F.filter(F.col(NODES), lambda n: (n["id"] >= el["id"]) & (n["id"] <= el["last"]) & (n["name"] == name)), F.lit(0))
+    return let(el, lambda e: F.get(F.filter(F.col(NODES), lambda n: (n["id"] >= e["id"]) & (n["id"] <= e["last"]) & (n["name"] == name)), F.lit(0)))
 
 
 def first_named(el: Column, names: Sequence[str]) -> Column:
@@ -205,7 +205,7 @@ def parse_scripts(raw: DataFrame, payload: str = "payload", *, mode: str = "PERM
     names = (("to", "To"), ("from", "From"), ("messageId", "MessageID"), ("relatesToMessageId", "RelatesToMessageID"), ("sentTime", "SentTime"), ("prescriberOrderNumber", "PrescriberOrderNumber"))
     header = F.struct(F.col("version"), *[child_text(head, tag).alias(n) for n, tag in names])
     order = ("NewRx", *codes.LIFECYCLE_REQUESTS, *codes.LIFECYCLE_RESPONSES, *codes.RESPONSE_KINDS)
-    below = F.filter(F.col(NODES), lambda n: n["parent"] == F.col("_body")["id"])
+    below = let(F.col("_body")["id"], lambda i: F.filter(F.col(NODES), lambda n: n["parent"] == i))
     step = _add(step, fatal=fatal, header=header, _below=below, _sort=sort)
     step = _add(step, _tx=F.coalesce(*[_named("_below", k) for k in order]))
     step = _add(step, kind=F.coalesce(F.col("_tx.name"), F.lit("unsupported")), _tpath=F.concat_ws("/", "_bpath", "_tx.name"))
@@ -214,7 +214,7 @@ def parse_scripts(raw: DataFrame, payload: str = "payload", *, mode: str = "PERM
     has_parties = F.col("kind").isin("NewRx", *codes.LIFECYCLE_REQUESTS)
     step = _add(step, _resp0=F.when(is_response, first_child(F.col("_tx"), "Response")), _parties=F.when(has_parties, F.col("_tx")), _withmed=F.when(has_parties | is_response, F.col("_tx")))
     step = _add(step, _resp=F.when(is_response, F.coalesce("_resp0", "_tx")), _rpath=F.when(F.col("_resp0").isNull(), F.col("_tpath")).otherwise(F.concat_ws("/", "_tpath", F.lit("Response"))))
-    step = _add(step, _outs=F.filter(NODES, lambda n: (n["parent"] == F.col("_resp")["id"]) & n["name"].isin(*codes.OUTCOMES)))
+    step = _add(step, _outs=let(F.col("_resp")["id"], lambda i: F.filter(NODES, lambda n: (n["parent"] == i) & n["name"].isin(*codes.OUTCOMES))))
     step = _add(step, _out=F.coalesce(*[_named("_outs", k) for k in codes.OUTCOMES]), _nouts=F.size(F.array_distinct(F.transform("_outs", lambda n: n["name"]))))
     out = F.col("_out")
     outcome = F.when(is_response, F.coalesce(*[F.when(out["name"] == k, v) for k, v in codes.OUTCOMES.items()], F.lit("unknown")))
