@@ -85,7 +85,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, size: int, end: int, wit
 
 def patterns_of(histogram: Mapping[int, int], size: int) -> list[tuple[int, ...]]:
     """Full patterns of one, two and three lengths (longest first), from the lengths that occur."""
-    have = np.array(sorted(histogram))
+    have = np.array(sorted(histogram), int)
     present = np.zeros(size + 1, bool)
     present[have] = True
     found: set[tuple[int, ...]] = {(size,)} if present[size] else set()
