@@ -32,8 +32,9 @@ def trim_blank(c: Column) -> Column:
 
 
 def text_or_null(c: Column) -> Column:
-    """Trimmed; blank is absent."""
-    return F.nullif(trim_blank(c), F.lit(""))
+    """Trimmed; blank is absent: the first match runs from the first to the last character that isn't white space."""
+    other = "[^" + BLANK[1:]
+    return F.get(F.regexp_extract_all(c, F.lit(f"(?s){other}(?:.*{other})?"), F.lit(0)), F.lit(0))
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:

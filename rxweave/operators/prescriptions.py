@@ -7,6 +7,8 @@ not to another lookup.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +65,8 @@ def attribute(el: Column, name: str) -> Column:
 
 def _present(**members: Column) -> Column:
     """A struct, or null if all its members are absent."""
-    return F.when(F.coalesce(*[F.when(c.isNotNull(), F.lit(1)) for c in members.values()]).isNotNull(), F.struct(*[c.alias(k) for k, c in members.items()]))
+    there = lambda s: reduce(or_, [s[k].isNotNull() for k in members])
+    return let(F.struct(*[c.alias(k) for k, c in members.items()]), lambda s: F.when(there(s), s))
 
 
 def _add(df: DataFrame, **found: Column) -> DataFrame:
@@ -279,18 +282,21 @@ def _escape_attr(c: Column) -> Column:
 def leaf(depth: int, tag: str | Column, value: Column, attrs: Column | None = None) -> Column:
     """One line, or null without a value."""
     name = F.lit(tag) if isinstance(tag, str) else tag
-    return F.when(value.isNotNull(), F.concat(F.lit("  " * depth + "<"), name, F.lit("") if attrs is None else attrs, F.lit(">"), _escape(value), F.lit("</"), name, F.lit(">")))
+    return F.concat(F.lit("  " * depth + "<"), name, F.lit("") if attrs is None else attrs, F.lit(">"), _escape(value), F.lit("</"), name, F.lit(">"))
 
 
 def container(depth: int, tag: str | Column, children: Sequence[Column], present: Column | None = None, attrs: Column | None = None) -> Column:
     """The children that are there between the tags; null without any, unless ``present``: then an empty element."""
     name = F.lit(tag) if isinstance(tag, str) else tag
-    pad = F.lit("  " * depth + "<")
-    opening = F.concat(pad, name, F.lit("") if attrs is None else attrs)
-    inner = F.array_compact(F.array(*children))
-    full = F.concat(opening, F.lit(">\n"), F.array_join(inner, "\n"), F.lit("\n" + "  " * depth + "</"), name, F.lit(">"))
+    opening = F.concat(F.lit("  " * depth + "<"), name, F.lit("") if attrs is None else attrs)
     empty = F.when(F.lit(False) if present is None else present, F.concat(opening, F.lit("/>")))
-    return F.when(F.size(inner) > 0, full).otherwise(empty)
+    if not children:
+        return empty
+
+    def around(inner: Column) -> Column:
+        return F.when(inner != "", F.concat(opening, F.lit(">\n"), inner, F.lit("\n" + "  " * depth + "</"), name, F.lit(">"))).otherwise(empty)
+
+    return let(F.concat_ws("\n", *children), around)
 
 
 def _parties_xml(depth: int) -> list[Column]:
