@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def read_messages(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Whole files of any store that Spark reads: path, payload (bytes; parse_claims decodes them as Latin-1)."""
+    """Whole files of any store that Spark reads: path, payload (bytes; parse_claims decodes them as Latin-1). Spark leaves out files without a byte."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", F.col("content").alias("payload"))
 
 
