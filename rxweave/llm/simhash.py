@@ -135,15 +135,99 @@ def chain_holds(a: np.ndarray, b: np.ndarray, budget: int = BUDGET) -> np.ndarra
 
     Rows of a and b are segmented fingerprints; a whole ring within the budget always has such a start.
     """
-    differ = a != b
+    return ring_holds(a != b, budget)
+
+
+def ring_holds(differ: np.ndarray, budget: int | np.ndarray) -> np.ndarray:
+    """The same from the differences of the boxes, in numbers; the budget may be another one for each row (a column)."""
     m = differ.shape[1]
-    sums = np.cumsum(np.concatenate([np.zeros((len(a), 1), int), differ, differ], axis=1), axis=1)
+    sums = np.cumsum(np.concatenate([np.zeros((len(differ), 1), int), differ, differ], axis=1), axis=1)
     held = np.ones(differ.shape, bool)
     for length in range(1, m + 1):
         held &= sums[:, length : length + m] - sums[:, :m] <= length * budget / m
     return held.any(axis=1)
 
 
+#: Cells of the table of shingle frequencies, rows that it is counted on, and nodes in a block of a large group.
+CELLS_LOG, COUNTED_ROWS, GROUP_BLOCK = 22, 65_536, 512
+
+
+def toggles_of(hashes: np.ndarray, boxes: int = BOXES) -> list[int]:
+    """A ring of words of 64 bits; each shingle turns one bit over. Two sets differ in at least as many shingles as bits."""
+    at = ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % (64 * boxes)
+    odd = np.bincount(at, minlength=64 * boxes) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def prefix_of(hashes: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles, so many that two sets at the similarity or above share one of them: in the order of the
+    frequency level of their cells, then of the hash, which is the same order for every set."""
+    n = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
+    level = levels[(hashes >> np.uint64(64 - CELLS_LOG)).astype(np.int64)]
+    return hashes[np.lexsort((hashes, level))[:n]]
+
+
+def _levels(rows: DataFrame, size: int) -> np.ndarray:
+    """A level (log2 of a count) for each cell of shingle hashes, counted on some rows: it only orders shingles."""
+    some = rows.where(F.pmod(F.xxhash64("key", "node"), F.lit(1 + rows.count() // COUNTED_ROWS)) == 0).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << CELLS_LOG, np.int32)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                counts[(shingle_hashes(t.lower().split(), size) >> np.uint64(64 - CELLS_LOG)).astype(np.int64)] += 1
+        cells = np.flatnonzero(counts)
+        for low in range(0, len(cells), 100_000):
+            part = cells[low : low + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["cell", "n"])
+
+    cells = some.mapInArrow(run, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 7")
+    found = cells.select("cell", F.log2("n").cast("int").alias("level")).toArrow()
+    levels = np.zeros(1 << CELLS_LOG, np.uint8)
+    levels[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return levels
+
+
+def _rest(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that may be similar and are not yet in one component, by an exact path.
+
+    Two sets at the similarity or above share a shingle of their prefixes. Groups of nodes with a common prefix shingle
+    are taken in all pairs, but for pairs of one component; a large group is dealt out in pairs of blocks. Pairs whose sizes
+    or places in the prefix rule the similarity out go. Then pigeonring on the rings of turned bits: the sets differ in
+    at least as many shingles as bits, so at the similarity the budget is what their sizes allow, and no pair is lost.
+    """
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.posexplode("prefix").alias("place", "token"))
+    shared = rooted.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    shared = shared.select("token", (1 + F.floor(F.col("n") / GROUP_BLOCK)).cast("int").alias("k"))
+    member = rooted.join(shared, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    member = stored(member, "similar-members")
+    dealt = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    x = dealt.where("o >= block").select("token", F.col("block").alias("c"), F.col("o").alias("d"), F.struct("node", "root", "size", "place").alias("x"))
+    y = dealt.where("o <= block").select("token", F.col("o").alias("c"), F.col("block").alias("d"), F.struct("node", "root", "size", "place").alias("y"))
+    both = F.col("x.size") + F.col("y.size")
+    near = x.join(y, ["token", "c", "d"]).where(
+        (F.col("x.root") != F.col("y.root"))
+        & ((F.col("c") != F.col("d")) | (F.col("x.node") < F.col("y.node")))
+        & (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6)
+        & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= both * (similarity / (1 + similarity)) - 1e-6)
+    )
+    pairs = stored(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "similar-rest")
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, BOXES) for i in (2, 3))
+                differ = np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64)
+                budget = batch.column(4).to_numpy() * ((1 - similarity) / (1 + similarity)) + 1e-6
+                ok = pa.array(ring_holds(differ, budget[:, None]) & (differ.sum(axis=1) <= budget))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    left = nodes.select(F.col("node").alias("a"), F.col("toggles").alias("x"), F.col("size").alias("m"))
+    right = nodes.select(F.col("node").alias("b"), F.col("toggles").alias("y"), F.col("size").alias("n"))
+    laid = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", (F.col("m") + F.col("n")).alias("both"))
+    return stored(laid.mapInArrow(held, "a long, b long"), "similar-held")
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, node, component_id): documents linked at a Jaccard similarity of their shingle sets of ``similarity`` or more.
 
@@ -152,10 +236,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, *
     a viable chain is equal, the cumulative differences of the boxes after it stay within the proportional budget, and the
     full count of differing boxes within the budget. The similarity of the rest is then counted exactly.
 
-    Equal texts are one node (the 64-bit hash of the text, returned as ``node``). In a group of nodes that share a box, or
-    a box and the next, each is compared with three members (the least, the greatest and one by hash), so a group of any
-    size gives at most three rows for each member and start. Two similar nodes share about ten of the twenty boxes and five
-    of the pairs; one group in which either is a centre, or a centre is similar to both, links them. Words and case as
+    Equal texts are one node (the 64-bit hash of the text, returned as ``node``). First, in a group of nodes that share a box,
+    or a box and the next, each is compared with three members (the least, the greatest and one by hash), which joins most
+    of what is similar in few rows. That alone loses links, so all pairs that are still in different components then go
+    through an exact path (see ``_rest``): the components are those of all pairs. Words and case as
     in ``near_duplicates``; texts without words are equal to each other. Null text is empty; null keys and repeated rows
     keep their rows; empty tables give no rows; other columns are ignored.
     """
@@ -163,8 +247,12 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, *
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([boxes_of(shingle_hashes(t.lower().split(), size)) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), found], names=["key", "node", "boxes"])
+            sets = [shingle_hashes(t.lower().split(), size) for t in batch.column(1).to_pylist()]
+            found = [[boxes_of(x) for x in sets], [toggles_of(x) for x in sets], [prefix_of(x, levels.value, similarity).view(np.int64) for x in sets]]
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), *[pa.array(x, pa.list_(pa.int64())) for x in found], sizes], names=["key", "node", "boxes", "toggles", "prefix", "size"]
+            )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,8 +275,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, *
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    prints = stored(rows.mapInArrow(sampled, "key long, node long, boxes array<long>"), "similar-prints")
-    nodes = stored(prints.groupBy("node").agg(F.min("key").alias("least"), F.first("boxes").alias("boxes")), "similar-nodes")
+    levels = docs.sparkSession.sparkContext.broadcast(_levels(rows, size))
+    kind = "key long, node long, boxes array<long>, toggles array<long>, prefix array<long>, size long"
+    prints = stored(rows.mapInArrow(sampled, kind), "similar-prints")
+    made = F.first(F.struct("boxes", "toggles", "prefix", "size")).alias("made")
+    nodes = stored(prints.groupBy("node").agg(F.min("key").alias("least"), made).select("node", "least", "made.*"), "similar-nodes")
     ring = F.arrays_zip("boxes", F.concat(F.slice("boxes", 2, BOXES - 1), F.slice("boxes", 1, 1)).alias("then"))
     starts = F.flatten(F.transform(ring, lambda x, i: F.array(F.xxhash64(i, x["boxes"]), F.xxhash64(i, x["boxes"], x["then"]))))
     box = nodes.select("node", F.explode(starts).alias("start"))
@@ -199,13 +290,21 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, *
     left = nodes.select(F.col("node").alias("a"), F.col("boxes").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("boxes").alias("y"))
     near = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(viable, "a long, b long"), "similar-viable")
-    asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b"))).distinct()
-    asked = stored(asked.join(nodes.select("node", F.col("least").alias("lkey")), "node").withColumnRenamed("node", "lnode"), "similar-asked")
-    chosen = rows.join(asked, (F.col("node") == F.col("lnode")) & F.col("key").eqNullSafe(F.col("lkey"))).select("text", "node")
-    found = stored(chosen.mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"]), "similar-sets")
-    left, right = found.select(F.col("node").alias("a"), F.col("set").alias("x")), found.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    linked = near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
-    roots = stored(components(linked, "similar-links"), "similar-roots")
+
+    def linked(near: DataFrame) -> DataFrame:
+        """The pairs whose similarity, counted exactly, is high enough."""
+        asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b"))).distinct()
+        asked = stored(asked.join(nodes.select("node", F.col("least").alias("lkey")), "node").withColumnRenamed("node", "lnode"), "similar-asked")
+        chosen = rows.join(asked, (F.col("node") == F.col("lnode")) & F.col("key").eqNullSafe(F.col("lkey"))).select("text", "node")
+        found = stored(chosen.mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"]), "similar-sets")
+        left, right = found.select(F.col("node").alias("a"), F.col("set").alias("x")), found.select(F.col("node").alias("b"), F.col("set").alias("y"))
+        return near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+    roots = stored(components(linked(near), "similar-links"), "similar-roots")
+    rest = _rest(nodes, roots, similarity)
+    if not rest.isEmpty():
+        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = stored(components(stars.unionByName(linked(rest)), "similar-links"), "similar-roots")
     ids = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = stored(ids.join(named, "root").select("node", "component_id"), "similar-components")

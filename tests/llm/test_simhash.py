@@ -115,3 +115,21 @@ def test_chains_never_prune_a_pair_within_the_budget(budget):
     b = np.where(rng.random((4000, 20)) < rng.random((4000, 1)), a, 1 - a)
     within = (a != b).sum(axis=1) <= budget
     assert chain_holds(a, b, budget)[within].all() and not chain_holds(a, b, budget).all()
+
+
+def test_a_hub_links_a_thousand_variants_that_are_not_similar_to_each_other(spark):
+    rng = random.Random(12)
+    words = [f"h{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [" ".join(words)]
+    for n in range(1000):
+        changed = list(words)
+        for i in range(6):
+            changed[50 * i + rng.randrange(5, 45)] = f"new{n}x{i}"
+        rows.append(" ".join(changed))
+    rows += [" ".join(f"h{rng.randrange(10**6)}" for _ in range(300)) for _ in range(20)]
+    order = list(range(1, len(rows) + 1))
+    rng.shuffle(order)
+    df = spark.createDataFrame(list(zip(order, rows, strict=True)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in similar_documents(df).collect()}
+    assert {found[k] for k in order[:1001]} == {min(order[:1001])}
+    assert all(found[k] == k for k in order[1001:])
