@@ -16,7 +16,7 @@ from rxweave.llm.common import stored
 TRAIN_ROWS = 8192
 #: Codebooks, entries of each, and codes that beam search keeps.
 BOOKS, ENTRIES, BEAM = 8, 256, 4
-#: Rows of each task's part of the index that are scored exactly for one query, at most.
+#: Rows of each batch that are scored exactly for one query first; the rows that their distances don't rule out follow.
 RERANK = 128
 #: Queries in one block, which is broadcast: at most this many times a vector's size.
 BLOCK = 4096
@@ -70,15 +70,18 @@ def train(x: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, rounds: int
 
 
 def index(vectors: DataFrame, books: Codebooks, dims: int) -> DataFrame:
-    """Every row's codes (a byte for each book) and stored norm, beside its vector: key, vec, codes, norm."""
+    """Every row's codes (a byte for each book), stored norm and error, beside its vector: key, vec, codes, norm, err."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, norms = shared.value.encode(_matrix(batch.column(1), dims))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["key", "vec", "codes", "norm"])
+            x = _matrix(batch.column(1), dims)
+            codes, norms = shared.value.encode(x)
+            err = np.sqrt(((x - sum(book[codes[:, b]] for b, book in enumerate(shared.value.books))) ** 2).sum(-1))
+            columns = [*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(err)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "vec", "codes", "norm", "err"])
 
-    return vectors.mapInArrow(run, "key long, vec array<double>, codes binary, norm double")
+    return vectors.mapInArrow(run, "key long, vec array<double>, codes binary, norm double, err double")
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -112,9 +115,10 @@ def search(vectors: DataFrame, every: int = 100, n: int = 10, *, key: str = "vec
 
     Queries are the rows whose key is divisible by ``every``; candidates are all rows with another key. Codebooks are fitted
     on at most TRAIN_ROWS rows; every row is encoded and indexed. A query's lookup table of inner products with the entries
-    scores a row as its stored norm less twice the entries' sum; each batch of a task exactly scores the ``rerank`` best, in
-    double precision on the original vectors, with ties by the smaller key at both steps, and passes on ``n``; the
-    final rank is taken over those. Queries go out in blocks of at most ``block``, each against all rows.
+    scores a row as its stored norm less twice the entries' sum; each batch of a task exactly scores the ``rerank`` best, and
+    then every row whose table distance less its stored quantisation error isn't above the task's n-th exact distance, in
+    double precision on the original vectors, with ties by the smaller key, and passes on ``n``. The bound leaves out
+    only rows that can't be among the n nearest, so the final rank over those is exact. Queries go out in blocks of at most ``block``, each against all rows.
 
     Rows whose key is null, or whose vector is null, zero, empty, of another length than the first valid row by hash, or
     holds nulls or non-finite numbers, take no part. Repeated keys are candidates (and, as queries, one) each; other
@@ -149,25 +153,36 @@ def _scorer(books, shared, dims: int, n: int, rerank: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
         table = np.einsum("qd,bed->qbe", queries, books.value.books)
+
+        def merged(near: tuple[np.ndarray, np.ndarray], q: int, x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The n nearest of those so far and these rows."""
+            score, key = np.concatenate([near[0], np.sqrt(((x - queries[q]) ** 2).sum(-1))]), np.concatenate([near[1], keys])
+            top = _best(score, key, n)
+            return score[top], key[top]
+
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy()
-            x, norms = _matrix(batch.column(1), dims), batch.column(3).to_numpy()
+            x, norms, err = _matrix(batch.column(1), dims), batch.column(3).to_numpy(), batch.column(4).to_numpy()
             codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(keys), -1)
             some = _first_copies(x, keys, n + 1)  # one may be the query itself
-            keys, x, norms, codes = keys[some], x[some], norms[some], codes[some]
+            keys, x, norms, codes, err = keys[some], x[some], norms[some], codes[some], err[some]
             for q, own in enumerate(ids):
                 dot = sum(table[q, b][codes[:, b]] for b in range(codes.shape[1]))
                 score = norms - 2 * dot
                 score[keys == own] = np.inf
                 some = _best(score, keys, rerank)
-                some = some[keys[some] != own]
-                exact = np.sqrt(((x[some] - queries[q]) ** 2).sum(-1))
-                score, key = np.concatenate([best[q][0], exact]), np.concatenate([best[q][1], keys[some]])
-                top = _best(score, key, n)
-                best[q] = score[top], key[top]
+                best[q] = merged(best[q], q, x[some[keys[some] != own]], keys[some[keys[some] != own]])
+                if len(some) < len(keys):
+                    most = best[q][0][-1] if len(best[q][0]) == n else np.inf
+                    size = (queries[q] ** 2).sum()
+                    least = np.sqrt(np.maximum(score + size, 0)) - err
+                    slack = 1e-6 * np.sqrt(size + norms)  # above what rounding does to a difference of squares
+                    score[some] = np.inf
+                    some = np.flatnonzero((least <= most + slack) & np.isfinite(score))
+                    best[q] = merged(best[q], q, x[some], keys[some])
         sizes = [len(k) for _, k in best]
         if sum(sizes):
             yield pa.RecordBatch.from_arrays(

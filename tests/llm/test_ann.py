@@ -58,3 +58,22 @@ def test_codes_stand_for_the_stored_norms():
     greedy, _ = books.encode(x, beam=1)
     plain = sum(books.books[b][greedy[:, b]] for b in range(4))
     assert ((x - sums) ** 2).sum() <= ((x - plain) ** 2).sum() + 1e-9
+
+
+def test_recall_on_many_rows_and_with_a_third_of_near_copies(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(10, 64))[rng.integers(0, 10, 40_000)] + 0.5 * rng.normal(size=(40_000, 64))
+    copies = x.copy()
+    copies[::3] = x[0] + 1e-3 * rng.normal(size=copies[::3].shape)
+    recalls = []
+    for rows in (x, copies):
+        table = pa.table({"vec_id": np.arange(len(rows)), "embedding": pa.array(list(rows), pa.list_(pa.float64()))})
+        want = brute(list(enumerate(rows)), every=1000)
+        found = {}
+        for r in search(spark.createDataFrame(table), every=1000).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        recalls.append(np.mean([len(found[q] & {v for v, _ in want[q]}) / len(want[q]) for q in want]))
+    print("recall", recalls)
+    assert min(recalls) > 0.999
