@@ -1,4 +1,4 @@
-"""Line dedup: content-defined chunks of lines, removed where an earlier place has the same bytes."""
+"""Line dedup: short windows of lines at every line, removed where an earlier place has the same bytes."""
 
 from __future__ import annotations
 
@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from rxweave.llm.common import stored
 
-#: A line of more words than this is a chunk of its own, and is removed like a chunk of several lines.
+#: A line of more words than this is a window of its own, and is removed like a window of several lines.
 LONG_WORDS = 50
-#: A shorter chunk than this (bytes) doesn't start a match; it can still be part of one.
+#: A window has at least this many bytes: runs of shorter ones stay.
 LEAST_BYTES = 20
-_ROLL, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
-_ALL = (1 << 64) - 1
 
 
 def is_long(line: bytes) -> bool:
@@ -25,23 +23,26 @@ def is_long(line: bytes) -> bool:
 
 
 def chunks_of(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(first, end) of each chunk. A rolling hash over the hashes of two lines cuts after one place in two, on average.
+    """(first, end) of each chunk: every line is one, so that a run is found whatever the lines next to it are."""
+    return [(i, i + 1) for i in range(len(lines))]
 
-    So a boundary depends on the lines next to it alone, and lines before it may come and go. Long lines stand alone.
+
+def windows_of(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first, end) of each window: the shortest of two chunks or more and LEAST_BYTES or more that starts, and that ends, at
+    each chunk; and each long line.
+
+    A window depends on its own lines alone. Every line of a run of two lines and LEAST_BYTES or more lies in a window inside
+    the run: in the one that starts there, or else in the one that ends with the run.
     """
-    out, first, before = [], 0, 0
-    for i, line in enumerate(lines):
-        long = is_long(line)
-        if long and first < i:
-            out.append((first, i))
-            first = i
-        h = xxhash.xxh64_intdigest(line)
-        rolled = ((before * _ROLL + h) & _ALL) * _MIX & _ALL
-        before = h
-        if long or rolled >> 63 or i == len(lines) - 1:
-            out.append((first, i + 1))
-            first = i + 1
-    return out
+    chunks = chunks_of(lines)
+    ends = np.cumsum([0] + [len(x) + 1 for x in lines])  # bytes of lines a to b, joined: ends[b] - ends[a] - 1
+    starts, stops = np.array([c[0] for c in chunks], int), np.array([c[1] for c in chunks], int)
+    out = {(i, i + 1) for i, line in enumerate(lines) if is_long(line)}
+    last = np.maximum(np.searchsorted(ends[stops], ends[starts] + LEAST_BYTES + 1), np.arange(len(chunks)) + 1)
+    out.update((int(starts[i]), int(stops[j])) for i, j in enumerate(last) if j < len(chunks))
+    first = np.minimum(np.searchsorted(ends[starts], ends[stops] - LEAST_BYTES - 1, side="right") - 1, np.arange(len(chunks)) - 1)
+    out.update((int(starts[i]), int(stops[j])) for j, i in enumerate(first) if i >= 0)
+    return sorted(out)
 
 
 def _hash(data: bytes, seed: int = 0) -> int:
@@ -54,74 +55,46 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             lines = t.split(b"\n")
             th = _hash(t, 42)  # as Spark's xxhash64
-            for n, (a, b) in enumerate(chunks_of(lines)):
-                data = b"\n".join(lines[a:b])
-                if len(data) >= LEAST_BYTES:
-                    rows.append((_hash(data), k, th, n))
+            rows += [(_hash(b"\n".join(lines[a:b])), k, th, n) for n, (a, b) in enumerate(windows_of(lines))]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 4
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["hash", "key", "th", "no"])
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The repeated chunks of a text, with the chunks next to them."""
-    kind = pa.schema([("hash", pa.int64()), ("key", pa.int64()), ("th", pa.int64()), ("no", pa.int32()), ("first", pa.bool_()), ("chunk", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
+    """The repeated windows of a text."""
+    kind = pa.schema([("hash", pa.int64()), ("key", pa.int64()), ("th", pa.int64()), ("no", pa.int32()), ("first", pa.bool_()), ("chunk", pa.binary()), ("from", pa.int32()), ("to", pa.int32())])
     for batch in batches:
         rows = []
         for k, t, th, marks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             lines = t.split(b"\n")
-            chunks = chunks_of(lines)
-            part = lambda n: b"\n".join(lines[chunks[n][0] : chunks[n][1]]) if 0 <= n < len(chunks) else None  # noqa: B023, E731
-            rows += [(m["hash"], k, th, m["no"], m["first"], part(m["no"]), part(m["no"] - 1), part(m["no"] + 1)) for m in marks]
+            windows = windows_of(lines)
+            for m in marks:
+                a, b = windows[m["no"]]
+                rows.append((m["hash"], k, th, m["no"], m["first"], b"\n".join(lines[a:b]), a, b))
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(kind)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
 
 
-def common_lines(a: bytes | None, b: bytes | None, backwards: bool) -> int:
-    """Number of equal lines of two neighbours, counted from the side of the chunk."""
-    if a is None or b is None:
-        return 0
-    x, y = a.split(b"\n"), b.split(b"\n")
-    if backwards:
-        x, y = x[::-1], y[::-1]
-    n = 0
-    while n < len(x) and n < len(y) and x[n] == y[n]:
-        n += 1
-    return n
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Byte comparison of a chunk with its first place, carried on line by line to both sides."""
-    for batch in batches:
-        rows = []
-        for k, th, no, chunk, left, right, first_chunk, first_left, first_right in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if chunk == first_chunk:
-                back, on = common_lines(left, first_left, True), common_lines(right, first_right, False)
-                if back + on + chunk.count(b"\n") or is_long(chunk):
-                    rows.append((k, th, no, back, on))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "th", "no", "back", "on"])
-
-
-def removed_lines(lines: list[bytes], cuts: list[dict]) -> np.ndarray:
+def removed_lines(lines: list[bytes], cuts: list[int]) -> np.ndarray:
     """Which lines go."""
     gone = np.zeros(len(lines), bool)
-    chunks = chunks_of(lines)
-    for c in cuts:
-        a, b = chunks[c["no"]]
-        gone[a - c["back"] : b + c["on"]] = True
+    windows = windows_of(lines)
+    for n in cuts:
+        a, b = windows[n]
+        gone[a:b] = True
     return gone
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove repeated runs of lines from whole texts: key, text, n_lines, n_removed, removed, and the ``keep`` columns.
 
-    Chunks end where a rolling hash over line hashes says so, in every text at the same lines. A chunk whose hash is met
-    more than once keeps its first place (smallest key, then text hash, then place); at every other place its bytes
-    are compared with the first, and equal lines next to it count too. A run that is equal goes if it has two lines
-    or more, or is one line of over fifty words. Shorter repeated lines stay, and so does the first place of everything,
-    since a place goes only for an earlier one. ``removed`` lists runs of removed lines as first-last.
+    Windows of two lines (more, where two are very short) start and end at every line, and a line of over fifty words is a
+    window too. A window whose hash is met more than once keeps its first place (smallest key, then text hash, then place);
+    at every other place its bytes are compared with the first, and if they are equal its lines go. So every later place
+    of a run of two lines or more (of 20 bytes at least) goes as a whole, whatever is next to it. Shorter repeated lines
+    stay, and so does the first place of every line: a place that overlaps the first one doesn't count.
+    ``removed`` lists runs of removed lines as first-last.
 
     Texts meet their own marks, and then their own cuts, in sort-merge joins at any size: what a task holds doesn't depend on
     how many texts repeat something. Hashes are grouped and joined by Spark: groups are aggregated before the shuffle, places of one hash are joined with
@@ -140,10 +113,11 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kee
     same = hashed["key"].eqNullSafe(F.col("mkey")) & (hashed["th"] == F.col("mth"))
     named = marks.withColumnsRenamed({"key": "mkey", "th": "mth"})
     found = hashed.select("key", "text", "th").join(named.hint("merge"), same).select("key", "text", "th", "marks")
-    found = stored(found.mapInArrow(_places, "hash long, key long, th long, no int, first boolean, chunk binary, left binary, right binary"), "line-places")
-    firsts = found.where("first").groupBy("hash").agg(F.first(F.struct(F.col("chunk").alias("c"), F.col("left").alias("l"), F.col("right").alias("r"))).alias("f"))
-    pairs = found.where("not first").join(firsts, "hash").select("key", "th", "no", "chunk", "left", "right", "f.c", "f.l", "f.r")
-    cuts = pairs.mapInArrow(_compared, "key long, th long, no int, back int, on int").groupBy("key", "th").agg(F.collect_set(F.struct("no", "back", "on")).alias("cuts"))
+    found = stored(found.mapInArrow(_places, "hash long, key long, th long, no int, first boolean, chunk binary, from int, to int"), "line-places")
+    firsts = found.where("first").groupBy("hash").agg(F.first(F.struct(F.col("chunk").alias("c"), F.col("key").alias("k"), F.col("th").alias("t"), F.col("to").alias("e"))).alias("f"))
+    overlapping = F.col("key").eqNullSafe(F.col("f.k")) & (F.col("th") == F.col("f.t")) & (F.col("from") < F.col("f.e"))
+    pairs = found.where("not first").join(firsts, "hash").where((F.col("chunk") == F.col("f.c")) & ~overlapping)
+    cuts = pairs.groupBy("key", "th").agg(F.collect_set("no").alias("cuts"))
     cuts = stored(cuts, "line-cuts").withColumnsRenamed({"key": "mkey", "th": "mth"})
     final = hashed.join(cuts.hint("merge"), same, "left").select("key", "text", "cuts", "rest")
 

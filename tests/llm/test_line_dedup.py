@@ -84,3 +84,26 @@ def test_odd_rows(spark):
     rows = sorted(((r.doc_id or 0, r.text, r.n_lines) for r in dedup_lines(df, keep=("key",)).collect()), key=str)
     assert rows == sorted([(0, "", 3), (3, text, 3), (3, text, 3), (7, "", 3), (8, None, 0)], key=str)
     assert dedup_lines(df.limit(0)).count() == 0
+
+
+def test_every_later_place_of_a_run_goes_whatever_its_length_and_neighbours(spark):
+    rng = random.Random(13)
+    texts, runs = {}, []
+    for n in range(200):
+        run = [line(rng, rng.choice([1, 2, 8])) for _ in range(rng.choice([2, 2, 3, 4, 5, 12]))] + ["a", "b"] * (n % 3 == 0)
+        runs.append(run)
+        for k in (2 * n, 2 * n + 1):
+            texts[k] = "\n".join([line(rng), line(rng), *run, line(rng)])
+    want, seen = {}, set()
+    for k in sorted(texts):  # every run of two lines or more, of any length, that an earlier text has, and 20 bytes
+        own, gone = texts[k].split("\n"), set()
+        for i in range(len(own)):
+            for j in range(i + 2, len(own) + 1):
+                part = "\n".join(own[i:j])
+                if len(part) >= 20 and part in seen:
+                    gone |= set(range(i, j))
+        seen |= {"\n".join(own[i:j]) for i in range(len(own)) for j in range(i + 2, len(own) + 1)}
+        want[k] = sorted(gone)
+    found = {r.doc_id: expanded(r.removed) for r in dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    print("kept of later places", sum(set(found[k]) != set(want[k]) for k in want), "of", sum(bool(v) for v in want.values()))
+    assert found == want
