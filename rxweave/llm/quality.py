@@ -172,14 +172,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, training: Column, *, key:
     """Score every whole text: key, score (probability of label 1, calibrated), and the ``keep`` columns.
 
     Word vectors come from all documents. The network is fitted on the labelled rows that ``training`` (a condition on
-    ``key``) marks, at most ``train_rows`` of them, taken by the smallest hash of the key; a key with several labels
+    ``key``) marks, at most ``train_rows`` of those that are in ``docs``, taken by the smallest hash of the key; a key with several labels
     counts as its largest. Null and empty texts have zero features and a score; null keys are scored and never
     learned from; repeated rows are kept; without labels every score is one half; other columns are ignored.
     """
     vectors = word_vectors(docs, text=text)
     features = stored(pooled(docs, vectors, key=key, text=text, keep=keep), "quality-features")
     marks = labels.select(F.col(key).cast("long").alias(key), F.col(label).cast("int").alias("y")).where(F.col(key).isNotNull() & F.col("y").isNotNull() & training)
-    marks = marks.groupBy(F.col(key).alias("key")).agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("key")).orderBy("h", "key").limit(train_rows)
+    marks = marks.groupBy(F.col(key).alias("key")).agg(F.max("y").alias("y")).join(features.select("key"), "key", "left_semi").withColumn("h", F.xxhash64("key")).orderBy("h", "key").limit(train_rows)
     sample = features.drop("rest").join(marks, "key").groupBy("key").agg(F.first("features").alias("features"), F.first("y").alias("y"), F.first("h").alias("h")).toPandas()
     sample = sample.sort_values(["h", "key"])
     x = np.array(sample["features"].tolist(), float).reshape(len(sample), 2 * DIMS + 4)

@@ -50,3 +50,11 @@ def test_temperature_calibrates():
     for low in (0.0, 0.25, 0.5, 0.75):
         part = (found >= low) & (found < low + 0.25)
         assert abs(found[part].mean() - p[2000:][part].mean()) < 0.12
+
+
+def test_labels_without_a_document_do_not_use_up_the_bound(spark):
+    docs = spark.createDataFrame([(k, ("good words here " if k % 2 else "bad junk there ") * 5) for k in range(1, 101)], "doc_id long, text string")
+    labels = [(k, k % 2) for k in range(1, 101)]
+    more = labels + [(k, 1 - k % 2) for k in range(1000, 21000)]
+    a, b = ({r.doc_id: r.score for r in score_quality(docs, spark.createDataFrame(x, "doc_id long, quality int"), F.lit(True), train_rows=200).collect()} for x in (labels, more))
+    assert a == b and a[1] > 0.5 > a[2]
