@@ -5,23 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class Hashes(dict):
+    """XXH64 of a word (bytes), kept while the worker lives and emptied at a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a new one."""
+    """This application's part of the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where the setting is absent, a local session gets a new folder; a cluster has no folder of its own to fall back to.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rxweave-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
-    This cuts the lineage, lets several steps read one result, and gives the optimizer the table's real size.
+    This cuts the lineage, lets several steps read one result, and gives the optimizer the table's real size. A result may
+    read such tables until it is written; ``clear_stored`` then takes the application's tables away.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -29,6 +46,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> None:
+    """Remove the tables that ``stored`` has written in this application; results that still read them no longer work."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
