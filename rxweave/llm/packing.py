@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,20 +23,32 @@ TRIPLES, ROUNDS = 24, 400
 CACHE_WORDS = 400_000
 
 
+def _bytes_of_characters() -> dict[str, int]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, the others as characters from 256 on, in order."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes, from a byte-level BPE vocabulary.
+    """Token ids of whole texts as little-endian unsigned 32-bit bytes, from a byte-level BPE vocabulary (a tokenizers JSON file).
 
-    In a text without two adjacent white-space characters every space starts a pre-token, so the text falls into words
-    that are encoded on their own and kept; other texts are encoded whole. Strings of special tokens are plain text.
+    The vocabulary's special strings in a text are their ids, and the texts between them are encoded on their own, as
+    tokenizers does it. In a text without two adjacent white-space characters every space starts a pre-token, so the text
+    falls into words that are encoded on their own and kept; other texts are encoded whole.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
         import tiktoken
 
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file)}
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        special = {t["content"]: t["id"] for t in made["added_tokens"]}
+        spelled = _bytes_of_characters()
+        ranks = {bytes(map(spelled.__getitem__, token)): n for token, n in made["model"]["vocab"].items() if token not in special}
         self.bpe = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.special = {s: np.array([n], "<u4").tobytes() for s, n in special.items()}
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.runs = regex.compile(r"\s\s")
         self.words: dict[str, bytes] = {}
 
@@ -43,13 +56,18 @@ class Encoder:
         return np.asarray(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.marks is not None and self.marks.search(text):
+            return b"".join(self.special.get(part) or self.plain(part) for part in self.marks.split(text) if part)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if self.runs.search(text) or text[:1] == " " or text[-1:] == " ":
             return self.whole(text)
-        words, encoded = self.words, []
+        words = self.words
         if len(words) > CACHE_WORDS:
             words.clear()
         parts = text.split(" ")
-        encoded.append(self.whole(parts[0]))
+        encoded = [self.whole(parts[0])]
         for w in parts[1:]:
             ids = words.get(w)
             if ids is None:
@@ -58,12 +76,18 @@ class Encoder:
         return b"".join(encoded)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """One for each worker, as long as it lives."""
+    return Encoder(path, pattern)
+
+
 def tokenized(docs: DataFrame, path: str, pattern: str, size: int, end: int, with_ids: bool, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of at most ``size`` tokens: key, piece, start, length, ids_crc32 (and ids). The first may be shorter."""
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         for batch in batches:
             out: list[tuple] = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -178,7 +202,7 @@ def pack(docs: DataFrame, path: str, pattern: str, *, size: int = 2048, end: int
 
     A document is its token ids and then ``end``. Longer ones are cut into pieces of ``size``, the first shorter.
     ``with_ids`` adds the ids (unsigned 32-bit, little-endian), so a sequence is its pieces' ids by offset. ``path`` is a
-    file of byte-pair ranks, ``pattern`` its pre-token pattern.
+    byte-level vocabulary as a tokenizers JSON file, ``pattern`` its pre-token pattern.
 
     The pieces are written once. Their histogram of lengths (at most ``size`` rows) is the only thing the driver sees; it
     makes the plan. A piece's ordinal among those of its length comes from counts of hash buckets, whose number

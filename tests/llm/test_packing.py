@@ -9,12 +9,11 @@ from tokenizers import Tokenizer
 
 from rxweave.llm.packing import best_fit, intervals_of, pack, patterns_of, plan_of
 
-PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
 def encoder():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -46,7 +45,7 @@ def check_packing(rows, texts, size):
 @pytest.mark.parametrize("size", [64, 2048])
 def test_round_trip(spark, size):
     rng = random.Random(1)
-    odd = [None, "", " ", "  two", "two ", "a\n\nb", "<|endoftext|>", "tab\tbed", "é 𝒳   wide", "it's we'll", "\x00", "x" * 5000, "word " * 20000]
+    odd = [None, "", " ", "  two", "two ", "a\n\nb", "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>y  z <|endoftext|", "tab\tbed", "é 𝒳   wide", "it's we'll", "\x00", "x" * 5000, "word " * 20000]
     texts = dict(enumerate(odd + [" ".join(rng.choices(["alpha", "beta's", "12 34", "Straße", "\n", "-"], k=rng.randint(1, 900))) for _ in range(60)]))
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in texts.items()], "doc_id long, text string, length int, ids string")
     rows = pack(df, PATH, PATTERN, size=size, with_ids=True).collect()
