@@ -16,10 +16,8 @@ from rxweave.llm.common import stored
 TRAIN_ROWS = 8192
 #: Codebooks, entries of each, and codes that beam search keeps.
 BOOKS, ENTRIES, BEAM = 8, 256, 4
-#: Rows of each batch that are scored exactly for one query first; the rows that their distances don't rule out follow.
-RERANK = 128
-#: Queries in one block, which is broadcast: at most this many times a vector's size.
-BLOCK = 4096
+#: Rows of a cell, and queries that visit it, that one task takes at once.
+ROWS, QUERIES = 16_384, 1024
 
 
 @dataclass(frozen=True)
@@ -70,7 +68,8 @@ def train(x: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, rounds: int
 
 
 def index(vectors: DataFrame, books: Codebooks, dims: int) -> DataFrame:
-    """Every row's codes (a byte for each book), stored norm and error, beside its vector: key, vec, codes, norm, err."""
+    """Every row beside its vector: its codes (a byte for each book), the norm they stand for, the quantisation error, its cell
+    (the first code) and its distance from the cell's centre: key, vec, codes, norm, err, cell, far."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,22 +77,31 @@ def index(vectors: DataFrame, books: Codebooks, dims: int) -> DataFrame:
             x = _matrix(batch.column(1), dims)
             codes, norms = shared.value.encode(x)
             err = np.sqrt(((x - sum(book[codes[:, b]] for b, book in enumerate(shared.value.books))) ** 2).sum(-1))
-            columns = [*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(err)]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "vec", "codes", "norm", "err"])
+            far = np.sqrt(((x - shared.value.books[0][codes[:, 0]]) ** 2).sum(-1))
+            columns = [*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(err), pa.array(codes[:, 0].astype(np.int32)), pa.array(far)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "vec", "codes", "norm", "err", "cell", "far"])
 
-    return vectors.mapInArrow(run, "key long, vec array<double>, codes binary, norm double, err double")
+    return vectors.mapInArrow(run, "key long, vec array<double>, codes binary, norm double, err double, cell int, far double")
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), dims)
 
 
-def _best(score: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n smallest scores; ties by the smaller key. Ties at the cut are all looked at."""
-    if len(score) > n:
-        some = np.flatnonzero(score <= np.partition(score, n - 1)[n - 1])
-        return some[np.lexsort((keys[some], score[some]))][:n]
-    return np.lexsort((keys, score))
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances, with the squares added up from the first component to the last."""
+    return np.sqrt(np.cumsum((x - q) ** 2, axis=1)[:, -1])
+
+
+def _nearest(x: np.ndarray, keys: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, distances) of the n nearest rows; ties by the smaller key."""
+    if len(keys) > n:  # all but a few go by a quicker sum, with room for what rounding does to it
+        rough = ((x - q) ** 2).sum(-1)
+        some = np.flatnonzero(rough <= np.partition(rough, n - 1)[n - 1] * (1 + 1e-9))
+        x, keys = x[some], keys[some]
+    score = distances(x, q)
+    top = np.lexsort((keys, score))[:n]
+    return keys[top], score[top]
 
 
 def _first_copies(x: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
@@ -110,15 +118,21 @@ def _valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(finite & F.exists("vec", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, every: int = 100, n: int = 10, *, key: str = "vec_id", vector: str = "embedding", rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, n: int = 10, *, key: str = "vec_id", vector: str = "embedding", rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """The n nearest rows of each query, by Euclidean distance: query_id, rank, key, score.
 
     Queries are the rows whose key is divisible by ``every``; candidates are all rows with another key. Codebooks are fitted
-    on at most TRAIN_ROWS rows; every row is encoded and indexed. A query's lookup table of inner products with the entries
-    scores a row as its stored norm less twice the entries' sum; each batch of a task exactly scores the ``rerank`` best, and
-    then every row whose table distance less its stored quantisation error isn't above the task's n-th exact distance, in
-    double precision on the original vectors, with ties by the smaller key, and passes on ``n``. The bound leaves out
-    only rows that can't be among the n nearest, so the final rank over those is exact. Queries go out in blocks of at most ``block``, each against all rows.
+    on at most TRAIN_ROWS rows; every row is encoded and indexed, in the cell of its first code.
+
+    A query's n-th distance to the rows of that sample bounds its n-th distance to all rows. It visits the cells that a row
+    within the bound can lie in (centre distance less the cell's radius). There its lookup table of inner products with the
+    entries scores a row as its stored norm less twice the entries' sum, and every row whose table distance less its
+    stored quantisation error is within the bound is reranked exactly, in double precision on the original vectors, with
+    ties by the smaller key. The bounds leave out only rows that can't be among the n nearest, so the result is exact and
+    doesn't depend on batches or partitions.
+
+    Rows and queries meet in a join on the cell. A cell of many rows is dealt out by ``rows``, one that many queries visit by
+    ``queries``, so a task holds at most about so many of each. The driver sees the sample and a row for each cell.
 
     Rows whose key is null, or whose vector is null, zero, empty, of another length than the first valid row by hash, or
     holds nulls or non-finite numbers, take no part. Repeated keys are candidates (and, as queries, one) each; other
@@ -131,62 +145,75 @@ def search(vectors: DataFrame, every: int = 100, n: int = 10, *, key: str = "vec
     if sample.empty:
         return spark.createDataFrame([], result)
     dims = len(sample["vec"][0])
-    rows = np.array([v for v in sample["vec"] if len(v) == dims], float)
-    fitted = train(rows)
+    sample = sample[sample["vec"].map(len) == dims]
+    known = sample["key"].to_numpy(), np.array(sample["vec"].tolist(), float)
+    fitted = train(known[1])
     indexed = stored(index(valid.where(F.size("vec") == dims), fitted, dims), "ann-index")
+    cells = {r.cell: (r.radius, r.n) for r in indexed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()}  # a row for each entry of a book
+    books, seen = spark.sparkContext.broadcast(fitted), spark.sparkContext.broadcast((known, {c: r for c, (r, _) in cells.items()}))
     asked = indexed.where(F.col("key") % every == 0).groupBy("key").agg(F.min("vec").alias("vec"))
-    asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(1 + asked.count() // block))), "ann-queries")
-    books = spark.sparkContext.broadcast(fitted)
-    parts = None
-    for (b,) in sorted(map(tuple, asked.select("block").distinct().collect())):
-        some = asked.where(F.col("block") == b).orderBy("key").toPandas()  # about a block, by the hash
-        shared = spark.sparkContext.broadcast((some["key"].to_numpy(), np.array(some["vec"].tolist(), float)))
-        found = indexed.mapInArrow(_scorer(books, shared, dims, n, rerank), "query_id long, key long, score double")
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
+    asked = stored(asked.mapInArrow(_planner(books, seen, dims, n), "query_id long, q array<double>, most double, cell int"), "ann-queries")
+    visits = dict(map(tuple, asked.groupBy("cell").count().collect()))
+    if not visits:
         return spark.createDataFrame([], result)
+    sizes = spark.createDataFrame([(c, 1 + cells[c][1] // rows, 1 + m // queries) for c, m in visits.items()], "cell int, deals int, turns int")
+    left = indexed.drop("far").join(F.broadcast(sizes), "cell").withColumn("deal", F.pmod(F.xxhash64("key", "vec"), F.col("deals")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    right = asked.join(F.broadcast(sizes), "cell").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    group = ["cell", "deal", "turn"]
+    left, right = left.select(*group, "key", "vec", "codes", "norm", "err"), right.select(*group, "query_id", "q", "most")
+    met = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_scorer(books, dims, n), "query_id long, key long, score double")
     near = Window.partitionBy("query_id").orderBy("score", "key")
-    return parts.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= n).select("query_id", "rank", F.col("key").alias(key), "score")
+    return met.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= n).select("query_id", "rank", F.col("key").alias(key), "score")
 
 
-def _scorer(books, shared, dims: int, n: int, rerank: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = shared.value
-        table = np.einsum("qd,bed->qbe", queries, books.value.books)
-
-        def merged(near: tuple[np.ndarray, np.ndarray], q: int, x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The n nearest of those so far and these rows."""
-            score, key = np.concatenate([near[0], np.sqrt(((x - queries[q]) ** 2).sum(-1))]), np.concatenate([near[1], keys])
-            top = _best(score, key, n)
-            return score[top], key[top]
+def _planner(books, seen, dims: int, n: int):
+    """The cells that each query must visit, and the distance beyond which no row can be among its n nearest."""
 
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (keys, x), radius = seen.value
+        cells = np.array(sorted(radius), np.int64)
+        centres, radii = books.value.books[0][cells], np.array([radius[c] for c in cells.tolist()])
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_numpy()
-            x, norms, err = _matrix(batch.column(1), dims), batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(keys), -1)
-            some = _first_copies(x, keys, n + 1)  # one may be the query itself
-            keys, x, norms, codes, err = keys[some], x[some], norms[some], codes[some], err[some]
-            for q, own in enumerate(ids):
-                dot = sum(table[q, b][codes[:, b]] for b in range(codes.shape[1]))
-                score = norms - 2 * dot
-                score[keys == own] = np.inf
-                some = _best(score, keys, rerank)
-                best[q] = merged(best[q], q, x[some[keys[some] != own]], keys[some[keys[some] != own]])
-                if len(some) < len(keys):
-                    most = best[q][0][-1] if len(best[q][0]) == n else np.inf
-                    size = (queries[q] ** 2).sum()
-                    least = np.sqrt(np.maximum(score + size, 0)) - err
-                    slack = 1e-6 * np.sqrt(size + norms)  # above what rounding does to a difference of squares
-                    score[some] = np.inf
-                    some = np.flatnonzero((least <= most + slack) & np.isfinite(score))
-                    best[q] = merged(best[q], q, x[some], keys[some])
-        sizes = [len(k) for _, k in best]
-        if sum(sizes):
+            ids, rows = batch.column(0).to_numpy(), _matrix(batch.column(1), dims)
+            at, most, to = [], [], []
+            for i, (own, q) in enumerate(zip(ids.tolist(), rows, strict=True)):
+                score = ((x - q) ** 2).sum(-1)
+                score = np.sqrt(score[keys != own])
+                bound = np.partition(score, n - 1)[n - 1] * (1 + 1e-9) + 1e-300 if len(score) >= n else np.inf
+                visited = cells[np.sqrt(((centres - q) ** 2).sum(-1)) * (1 - 1e-9) <= bound + radii]
+                at += [i] * len(visited)
+                most += [bound] * len(visited)
+                to.append(visited)
+            some = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([k for _, k in best])), pa.array(np.concatenate([s for s, _ in best]))], names=["query_id", "key", "score"]
+                [batch.column(0).take(some), batch.column(1).take(some), pa.array(most, pa.float64()), pa.array(np.concatenate([np.zeros(0, np.int64), *to]).astype(np.int32))], names=["query_id", "q", "most", "cell"]
             )
 
     return run
+
+
+def _scorer(books, dims: int, n: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, near_keys, near_scores = [], [], []
+        if left.num_rows and right.num_rows:
+            left, right = left.combine_chunks(), right.combine_chunks()
+            keys, x = left.column("key").to_numpy(), _matrix(left.column("vec").combine_chunks(), dims)
+            norms, err = left.column("norm").to_numpy(), left.column("err").to_numpy()
+            codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(keys), -1)
+            some = _first_copies(x, keys, n + 1)  # one may be the query itself
+            keys, x, norms, err, codes = keys[some], x[some], norms[some], err[some], codes[some].T.copy()
+            queries = _matrix(right.column("q").combine_chunks(), dims)
+            for own, q, most in zip(right.column("query_id").to_pylist(), queries, right.column("most").to_pylist(), strict=True):
+                table = books.value.books @ q
+                score = norms - 2 * sum(t[c] for t, c in zip(table, codes, strict=True))
+                size = (q**2).sum()
+                slack = 1e-6 * np.sqrt(size + norms)  # above what rounding does to a difference of squares
+                some = np.flatnonzero((np.sqrt(np.maximum(score + size, 0)) <= most + err + slack) & (keys != own))
+                k, s = _nearest(x[some], keys[some], q, n)
+                ids.append(np.full(len(k), own))
+                near_keys.append(k)
+                near_scores.append(s)
+        none = np.zeros(0, np.int64)
+        return pa.table({"query_id": pa.array(np.concatenate([none, *ids])), "key": pa.array(np.concatenate([none, *near_keys])), "score": pa.array(np.concatenate([np.zeros(0), *near_scores]))})
+
+    return run

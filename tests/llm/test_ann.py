@@ -77,3 +77,18 @@ def test_recall_on_many_rows_and_with_a_third_of_near_copies(spark):
         recalls.append(np.mean([len(found[q] & {v for v, _ in want[q]}) / len(want[q]) for q in want]))
     print("recall", recalls)
     assert min(recalls) > 0.999
+
+
+def test_the_result_is_that_of_sql_at_any_batch_partition_and_task_size(spark, compare):
+    from rxweave.llm.queries import ORACLES
+
+    compare(QUERIES, ORACLES, "op10_ann", "sf0.01")
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = lambda df, **sizes: sorted(map(tuple, search(df, **sizes).collect()))
+    want = rows(table)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+        assert rows(table.repartition(50)) == want and rows(table.coalesce(1), rows=100, queries=3) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
