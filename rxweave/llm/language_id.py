@@ -35,7 +35,9 @@ class Mixture:
     logs: np.ndarray
     #: Price of a further language, in nats for each natural log of the number of trigrams.
     penalty: float = 8.0
-    rounds: int = 12
+    #: Rounds at most, and the change of a proportion below which it is settled.
+    rounds: int = 60
+    settled: float = 1e-3
 
     def fit(self, counts: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, float]:
         """Proportions by expectation-maximisation, and the log-likelihood they reach."""
@@ -45,7 +47,9 @@ class Mixture:
         total = counts.sum()
         for _ in range(self.rounds if logs.shape[1] > 1 else 0):
             each = p * share
-            share = (counts / each.sum(axis=1)) @ each / total
+            before, share = share, (counts / each.sum(axis=1)) @ each / total
+            if np.abs(share - before).max() < self.settled:
+                break
         return share, float(counts @ (np.log(p @ share) + top[:, 0]))
 
     def infer(self, text: str | None) -> tuple[str, float, list[tuple[str, float]]]:

@@ -123,11 +123,13 @@ class BlockJoin:
         for block in self.blocks(at, token):
             have = sorted({t for _, t in block})
             seen: set[int] = set()
-            for t in have:
+            for q, t in enumerate(have):
                 for n, p in self.prefix.get(t, ()):
-                    if n in seen or len(have) < self.templates[n].need or len(self.sets[n]) - p < self.templates[n].need:
+                    if n in seen or len(have) < self.templates[n].need:
+                        continue
+                    seen.add(n)  # t is the first token that both have, so the rest of either side bounds what they share
+                    if min(len(self.sets[n]) - p, len(have) - q) < self.templates[n].need:
                         continue
-                    seen.add(n)
                     shared = self.overlap(n, have)
                     if not shared:
                         continue

@@ -51,14 +51,18 @@ class PatternRule:
         return list(self.literals)
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first ``://``."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
+
+
 def host_of(url: Column) -> Column:
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("url"))).otherwise("")
-    return F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), UPPER, LOWER)
+    return F.translate(F.regexp_extract(_rest(url), "^([^/?#]*)", 1), UPPER, LOWER)
 
 
 def path_of(url: Column) -> Column:
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("url"))).otherwise("")
-    return F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(_rest(url), "^[^/?#]*([^?#]*)", 1)
 
 
 def _index(rules: Sequence[SiteRule | PatternRule], counts: dict[str, int]) -> tuple[Column, Column, int]:
