@@ -80,7 +80,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +143,22 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = r"""
+WITH docs AS (SELECT dense_rank() OVER (ORDER BY doc_id NULLS LAST, text) AS r, doc_id, text, coalesce(string_split(text, chr(10)), []) AS ls FROM documents),
+each AS (SELECT DISTINCT r, ls FROM docs),
+lines AS (SELECT r, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM each),
+filled AS (SELECT r, l, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM lines WHERE regexp_matches(l, '[^\t\n\x0B\f\r ]')),
+chunks AS (SELECT r, i AS a, j + 1 AS b, array_to_string(ls[i + 1 : j + 1], chr(10)) AS chunk FROM filled JOIN each USING (r) WHERE j IS NOT NULL
+  UNION ALL SELECT r, i, i + 1, l FROM filled WHERE len(regexp_extract_all(l, '[^\t\n\x0B\f\r ]+')) > 50),
+placed AS (SELECT *, first_value(r) OVER p AS fr, first_value(b) OVER p AS fb, row_number() OVER p AS n FROM chunks WINDOW p AS (PARTITION BY chunk ORDER BY r, a, b)),
+gone AS (SELECT DISTINCT r, unnest(range(a, b)) AS i FROM placed WHERE n > 1 AND (r <> fr OR a >= fb)),
+spans AS (SELECT r, string_agg(a || '-' || b, ',' ORDER BY a) AS removed, CAST(sum(b - a + 1) AS BIGINT) AS n_removed FROM (SELECT r, min(i) AS a, max(i) AS b FROM (SELECT r, i, i - row_number() OVER (PARTITION BY r ORDER BY i) AS g FROM gone) GROUP BY r, g) GROUP BY r),
+kept AS (SELECT r, string_agg(l, chr(10) ORDER BY i) AS text FROM lines ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CASE WHEN docs.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM docs LEFT JOIN kept USING (r) LEFT JOIN spans USING (r)
+"""
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), SITE_RULES + PATTERN_RULES)
 
@@ -159,13 +175,37 @@ FROM split LEFT JOIN (SELECT * FROM best WHERE n = 1) USING (r)
 """
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+OP9_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+items AS (SELECT row_number() OVER () AS b, item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+places AS (SELECT r, b, d.j - i.i AS shift, i.i AS i, size FROM (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS j FROM docs) d
+  JOIN (SELECT b, least(len(ws), 13) AS size, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM items) i USING (w)),
+numbered AS (SELECT *, CAST(ceil(0.8 * size - 1e-9) AS INT) AS need, row_number() OVER p AS n, count(*) OVER (PARTITION BY r, b, shift) AS total FROM places WINDOW p AS (PARTITION BY r, b, shift ORDER BY i)),
+ends AS (SELECT a.r, a.b, a.shift, greatest(z.i - a.size + 1, 0) AS low, least(a.i, len(t.ws) - a.size) AS high FROM (SELECT * FROM numbered WHERE total >= need) a JOIN numbered z ON a.r = z.r AND a.b = z.b AND a.shift = z.shift AND z.n = a.n + a.need - 1 AND z.i - a.i < a.size JOIN items t ON t.b = a.b),
+starts AS (SELECT DISTINCT r, b, shift, unnest(range(low, high + 1)) AS s FROM ends),
+runs AS (SELECT r, b, shift, min(s) AS first, max(s) AS last FROM (SELECT *, s - row_number() OVER (PARTITION BY r, b, shift ORDER BY s) AS g FROM starts) GROUP BY r, b, shift, g),
+spans AS (SELECT u.r, u.b, u.shift, u.first, count(*) AS n_equal, min(n.i) AS i0, max(n.i) AS i1 FROM runs u JOIN numbered n ON u.r = n.r AND u.b = n.b AND u.shift = n.shift AND n.i BETWEEN u.first AND u.last + n.size - 1 GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, b ORDER BY n_equal DESC, shift + i0, i1 - i0 DESC) AS o FROM spans)
+SELECT doc_id, item_id, CAST(i1 + 1 - i0 AS BIGINT) AS n_words, n_equal, CAST(shift + i0 AS BIGINT) AS first_word, CAST(shift + i1 AS BIGINT) AS last_word
+FROM best JOIN docs USING (r) JOIN items USING (b) WHERE o = 1
+"""
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
+OP10_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+met AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INT) AS rank, vec_id, score FROM met QUALIFY rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
@@ -178,4 +218,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_ann": op10_ann,
 }
-ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op5_secret_scan": OP5_SQL, "op8_url_filter": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op5_secret_scan": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_ann": OP10_SQL}
