@@ -64,10 +64,9 @@ CODE_SYSTEMS = {
 #: Last character of a zoned amount: the digit it stands for, positive then negative.
 OVERPUNCH_POSITIVE, OVERPUNCH_NEGATIVE = "{ABCDEFGHI", "}JKLMNOPQR"
 
-CLAIM_PREFIX, CLAIM_BUILD_PREFIX = "NCPDP_TELECOM_", "NCPDP_TELECOM_BUILD_"
 CLAIM_FATALS = {
-    "EMPTY_INPUT": "nothing but white space", "NCPDP_TELECOM_NO_HEADER": "too short for a header",
-    "NCPDP_TELECOM_INVALID_FRAMING": "no separator after the header", "NCPDP_TELECOM_UNSUPPORTED_VERSION": "the version stamp is not supported",
+    "EMPTY_INPUT": "nothing but white space", "NO_HEADER": "too short for a header",
+    "INVALID_FRAMING": "no separator after the header", "UNSUPPORTED_VERSION": "the version stamp is not supported",
 }
 CLAIM_WARNINGS = {
     "VF6_NOT_DECODED": "a newer version whose body is left undecoded", "UNKNOWN_SEGMENT": "a segment id outside the table",
@@ -83,10 +82,9 @@ CLAIM_BUILD_ERRORS = {
     "INVALID_SEGMENT_ID": "a segment id isn't two characters", "FIELD_TOO_LONG": "a header value is wider than its place",
 }
 
-SCRIPT_PREFIX, SCRIPT_BUILD_PREFIX = "NCPDP_SCRIPT_", "NCPDP_SCRIPT_BUILD_"
 SCRIPT_FATALS = {
-    "EMPTY_INPUT": "nothing but white space", "NCPDP_SCRIPT_NOT_XML": "not well-formed XML, or it declares a document type or entity",
-    "NCPDP_SCRIPT_NO_MESSAGE_ROOT": "the root element isn't Message", "NCPDP_SCRIPT_UNSUPPORTED_VERSION": "a legacy dotted version",
+    "EMPTY_INPUT": "nothing but white space", "NOT_XML": "not well-formed XML, or it declares a document type or entity",
+    "NO_MESSAGE_ROOT": "the root element isn't Message", "UNSUPPORTED_VERSION": "a legacy dotted version",
 }
 SCRIPT_WARNINGS = {
     "VERSION_ABSENT": "no version", "UNSUPPORTED_VERSION_TOLERATED": "a version outside the table", "UNSUPPORTED_TRANSACTION": "a transaction that isn't modelled",
@@ -123,3 +121,7 @@ SIG_COMPONENTS = {
     "administrationTiming": ("AdministrationTiming", "TimingAndDuration", "Frequency"), "duration": ("Duration",), "vehicle": ("Vehicle",),
     "indication": ("Indication",), "maximumDoseRestriction": ("MaximumDoseRestriction",),
 }
+#: Identifications: member, element.
+IDENTIFICATIONS = {"npi": "NPI", "deaNumber": "DEANumber", "pharmacyNumber": "NCPDPID"}
+#: Elements that are looked for at any depth.
+DEEP_ELEMENTS = ("Name", "Gender", "DateOfBirth", "BusinessName", "Identification", "WrittenDate", "SigText", *(n for names in SIG_COMPONENTS.values() for n in names))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rxweave import codes
 
 #: Unicode white space as trimmed at both ends; the three separators 0x1C-0x1E are not white space here.
+BLANKS = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 BLANK = "[\\t\\n\\u000B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 
 
@@ -28,23 +29,27 @@ def settled(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def trim_blank(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+\\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def text_or_null(c: Column) -> Column:
-    """Trimmed; blank is absent: the first match runs from the first to the last character that isn't white space."""
-    other = "[^" + BLANK[1:]
-    return F.get(F.regexp_extract_all(c, F.lit(f"(?s){other}(?:.*{other})?"), F.lit(0)), F.lit(0))
+    """Trimmed; blank is absent."""
+    return F.nullif(trim_blank(c), F.lit(""))
+
+
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
     """The label of a code; null for a code outside the table. A literal map: no join."""
-    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    pairs = F.expr("map(" + ", ".join(sql_text(x) for kv in table.items() for x in kv) + ")")
     return F.try_element_at(pairs, key)
 
 
-def known(table, key: Column) -> Column:
-    return F.coalesce(key.isin(*table), F.lit(False))
+def known(table: Iterable[str], key: Column) -> Column:
+    return F.coalesce(F.array_contains(F.expr("array(" + ", ".join(map(sql_text, table)) + ")"), key), F.lit(False))
 
 
 def prefix_int(c: Column) -> Column:
@@ -122,10 +127,11 @@ def disposition_of_kind(kind: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """SQL functions of the session: money_amount, implied3, ndc_segmentation, code_system. They are SQL, not Python."""
+    blank = BLANK.replace("\\", "\\\\")  # as a SQL string spells it
     sql = {
         "implied3": ("s STRING", "STRING", "CASE WHEN s RLIKE '^[0-9]+\\\\z' THEN concat(regexp_replace(substring(lpad(s, greatest(length(s), 4), '0'), 1, greatest(length(s), 4) - 3), '^0+(?=[0-9])', ''), '.', right(lpad(s, greatest(length(s), 4), '0'), 3)) END"),
         "ndc_segmentation": ("s STRING", "STRING", "CASE WHEN s IS NULL THEN NULL WHEN s RLIKE '^[0-9]{5}-[0-9]{4}-[0-9]{2}\\\\z' THEN '5-4-2' WHEN s RLIKE '^[0-9]{5}-[0-9]{4}-[0-9]\\\\z' THEN '5-4-1' WHEN s RLIKE '^[0-9]{5}-[0-9]{3}-[0-9]{2}\\\\z' THEN '5-3-2' WHEN s RLIKE '^[0-9]{4}-[0-9]{4}-[0-9]{2}\\\\z' THEN '4-4-2' WHEN s RLIKE '^[0-9]{11}\\\\z' THEN '11-digit' WHEN s RLIKE '^[0-9]{10}\\\\z' THEN '10-digit' ELSE 'unknown' END"),
-        "code_system": ("q STRING", "STRING", "coalesce(try_element_at(map(" + ", ".join(f"'{k}', '{v}'" for k, v in codes.CODE_SYSTEMS.items()) + "), upper(trim(q))), 'UNKNOWN')"),
+        "code_system": ("q STRING", "STRING", "CASE WHEN q IS NOT NULL THEN coalesce(try_element_at(map(" + ", ".join(f"'{k}', '{v}'" for k, v in codes.CODE_SYSTEMS.items()) + f"), upper(regexp_replace(q, '^{blank}+|{blank}+\\\\z', ''))), 'UNKNOWN') END"),
         "money_amount": ("s STRING", "STRING", "(SELECT CASE WHEN neg AND d NOT RLIKE '^0*\\\\z' THEN '-' ELSE '' END || regexp_replace(substring(lpad(d, greatest(length(d), 3), '0'), 1, greatest(length(d), 3) - 2), '^0+(?=[0-9])', '') || '.' || right(lpad(d, greatest(length(d), 3), '0'), 2) FROM (SELECT CASE WHEN s RLIKE '^[0-9]+\\\\z' THEN s WHEN s RLIKE '^[+-][0-9]+\\\\z' THEN substring(s, 2) WHEN s RLIKE '^[0-9]*[{A-I}J-R]\\\\z' THEN substring(s, 1, length(s) - 1) || translate(right(s, 1), '{ABCDEFGHI}JKLMNOPQR', '01234567890123456789') END AS d, s LIKE '-%' OR s RLIKE '[}J-R]\\\\z' AS neg))"),
     }
     for name, (args, kind, body) in sql.items():

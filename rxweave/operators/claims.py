@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxweave import codes
@@ -25,7 +25,7 @@ WARNING = "struct<code:string,message:string,byteOffset:int,fieldId:string>"
 
 def warning(code: str, offset: Column, field: str | None = None) -> Column:
     return F.struct(
-        F.lit(codes.CLAIM_PREFIX + code).alias("code"), F.lit(codes.CLAIM_WARNINGS[code]).alias("message"), offset.cast("int").alias("byteOffset"), F.lit(field).cast("string").alias("fieldId")
+        F.lit(code).alias("code"), F.lit(codes.CLAIM_WARNINGS[code]).alias("message"), offset.cast("int").alias("byteOffset"), F.lit(field).cast("string").alias("fieldId")
     ).cast(WARNING)
 
 
@@ -40,18 +40,26 @@ def _if(condition: Column, *found: Column) -> Column:
 # -- splitting
 
 
+def running_sums(numbers: Column) -> Column:
+    """The sum up to each place of an array of integers: places are added to those 1, 2, 4... before them, so the work grows
+    as n log n, also for a hostile message."""
+
+    def doubled(sums: Column, k: Column) -> Column:
+        before = F.concat(F.array_repeat(F.lit(0), F.pow(F.lit(2), k).cast("int")), sums)
+        return F.zip_with(sums, F.slice(before, F.lit(1), F.size(sums)), lambda a, b: a + b)
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(numbers))).cast("int") - 1)
+    return F.when(F.size(numbers) > 1, F.aggregate(rounds, numbers, doubled)).otherwise(numbers)
+
+
 def parts_with_offsets(text: Column, separator: str, base: Column) -> Column:
     """array<struct<text,offset>> of the non-empty parts, each with its place in the message."""
-    kind = "struct<at:int,out:array<struct<text:string,offset:int>>>"
-    folded = F.aggregate(
-        F.split(text, separator, -1),
-        F.struct(base.cast("int").alias("at"), F.array().alias("out")).cast(kind),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p) + 1).alias("at"),
-            F.when(p != "", F.concat(a["out"], F.array(F.struct(p.alias("text"), a["at"].alias("offset"))))).otherwise(a["out"]).alias("out"),
-        ).cast(kind),
-    )
-    return folded["out"]
+
+    def placed(parts: Column) -> Column:
+        part = lambda sums: F.transform(parts, lambda p, i: F.struct(p.alias("text"), (base + F.get(sums, i) - F.length(p) - 1).cast("int").alias("offset")))
+        return F.filter(let(running_sums(F.transform(parts, lambda p: F.length(p) + 1)), part), lambda p: p["text"] != "")
+
+    return let(F.split(text, separator, -1), placed)
 
 
 def _header(text: Column, layout: Sequence[tuple[str, int]]) -> Column:
@@ -103,15 +111,14 @@ def _segment(raw: Column) -> Column:
     ).cast(SEGMENT)
 
 
-def _segment_warnings(raw: Column) -> Column:
+def _segment_warnings(segment: Column) -> Column:
     """In the order in which a reader meets them: fields, then the segment's id."""
-    head, at = F.get(raw["fields"], F.lit(0)), raw["offset"]
-    short = F.transform(F.filter(raw["fields"], lambda f: f["id"] == ""), lambda f: warning("MALFORMED_FIELD", f["byteOffset"]))
-    starts = F.coalesce(head["id"] == "AM", F.lit(False))
-    sized = F.length(head["value"]) == codes.SEGMENT_ID_LENGTH
+    at, unnamed = segment["byteOffset"], segment["segmentId"] == ""
+    starts = F.coalesce(F.get(segment["fields"], F.lit(0))["id"] == "AM", F.lit(False))
+    short = F.transform(F.filter(segment["fields"], lambda f: f["id"] == ""), lambda f: warning("MALFORMED_FIELD", f["byteOffset"]))
     return F.concat(
-        short, _if(~starts, warning("MISSING_SEGMENT_ID", at)), _if(starts & ~sized, warning("MALFORMED_SEGMENT_ID", at, "AM")),
-        _if(starts & sized & ~known(codes.SEGMENT_NAMES, head["value"]), warning("UNKNOWN_SEGMENT", at, "AM")),
+        short, _if(unnamed & ~starts, warning("MISSING_SEGMENT_ID", at)), _if(unnamed & starts, warning("MALFORMED_SEGMENT_ID", at, "AM")),
+        _if(~unnamed & segment["name"].isNull(), warning("UNKNOWN_SEGMENT", at, "AM")),
     )
 
 
@@ -154,10 +161,10 @@ def parse_claims(raw: DataFrame, payload: str = "payload", *, encoding: str = "I
     short = F.length(t) < codes.REQUEST_HEADER_LENGTH
     fatal = (
         F.when(trim_blank(t) == "", _fatal("EMPTY_INPUT", 0))
-        .when(F.col("_r"), F.when(F.length(t) < codes.RESPONSE_HEADER_MIN_LENGTH, _fatal("NCPDP_TELECOM_NO_HEADER", 0)))
-        .when(short, _fatal("NCPDP_TELECOM_NO_HEADER", 0))
-        .when(F.col("_v") == "unsupported", _fatal("NCPDP_TELECOM_UNSUPPORTED_VERSION", 6, "A2"))
-        .when((F.col("_v") == "d0") & (F.col("_b") != "") & ~has_framing(F.col("_b")), _fatal("NCPDP_TELECOM_INVALID_FRAMING", codes.REQUEST_HEADER_LENGTH))
+        .when(F.col("_r"), F.when(F.length(t) < codes.RESPONSE_HEADER_MIN_LENGTH, _fatal("NO_HEADER", 0)))
+        .when(short, _fatal("NO_HEADER", 0))
+        .when(F.col("_v") == "unsupported", _fatal("UNSUPPORTED_VERSION", 6, "A2"))
+        .when((F.col("_v") == "d0") & (F.col("_b") != "") & ~has_framing(F.col("_b")), _fatal("INVALID_FRAMING", codes.REQUEST_HEADER_LENGTH))
     )
     step = step.withColumn("fatal", fatal)
     fine, response, f6 = F.col("fatal").isNull(), F.col("_r"), (F.col("_v") == "f6") & ~F.col("_r")
@@ -176,24 +183,23 @@ def parse_claims(raw: DataFrame, payload: str = "payload", *, encoding: str = "I
     own = {n for n, _ in codes.RESPONSE_HEADER}
     from_response = F.struct(*[(F.col("_rh")[n] if n in own else F.lit("")).alias(n) for n, _ in codes.REQUEST_HEADER])
     header = F.when(F.col("_r"), from_response).when(F.col("_f6"), empty).otherwise(F.col("_h"))
-    first_warnings = F.concat(
-        _if(F.col("_f6"), warning("VF6_NOT_DECODED", F.lit(0), "A2")),
-        _if(F.size("_groups") > 1, warning("MULTI_TRANSACTION_TRUNCATED", F.get("_groups", F.lit(1))["offset"])),
-        F.flatten(F.transform("_raw", _segment_warnings)),
-    )
     step = step.select(
-        *kept, "fatal", F.when(fine, F.when(F.col("_r"), "response").otherwise("request")).alias("kind"), F.when(fine, header).alias("header"),
-        F.when(fine & F.col("_r"), F.col("_rh")).alias("responseHeader"), F.when(fine, F.transform("_raw", _segment)).alias("segments"), first_warnings.alias("_w"),
+        *kept, "fatal", F.when(fine, F.when(F.col("_r"), "response").otherwise("request")).alias("kind"), F.when(fine, header).alias("header"), F.when(fine & F.col("_r"), F.col("_rh")).alias("responseHeader"),
+        F.when(fine, F.transform("_raw", _segment)).alias("segments"), "_f6", F.get("_groups", F.lit(1))["offset"].alias("_second"),
     )
-    step = settled(step, ["fatal", "kind", "header", "responseHeader", "segments", "_w"])
-    step = step.select(*kept, "kind", "header", "responseHeader", "segments", F.col("header.transactionCount").alias("transactionCount"), "_w", "fatal")
+    step = settled(step, ["fatal", "kind", "header", "responseHeader", "segments", "_f6", "_second"])
+    # warnings follow from the segments, in a projection of their own: a query that shows none doesn't work them out
     segments = F.col("segments")
-    with_parts = step.select(*step.columns, *[find_segment(segments, i).alias(f"_s{i}") for i in ("21", "10", "05", "28", "08")])
-    cob = F.concat(_count_warning("COB_COUNT_MISMATCH", F.col("_s05"), "4C", F.size(payer_blocks(F.col("_s05"), "4C"))), _count_warning("COB_COUNT_MISMATCH", F.col("_s28"), "NT", F.size(payer_blocks(F.col("_s28"), "NT"))))
-    request = F.concat(_count_warning("COMPOUND_COUNT_MISMATCH", F.col("_s10"), "EC", F.size(ingredient_blocks(F.col("_s10")))), cob, _dur_warnings(F.col("_s08")))
-    more = F.when(F.col("kind") == "response", F.concat(_response_warnings(F.col("_s21")), cob)).otherwise(request)
-    done = with_parts.select(
-        *kept, "kind", "header", "responseHeader", "segments", "transactionCount", F.when(fine, F.concat("_w", F.coalesce(more, _none()))).alias("warnings"), "fatal"
+    cob = lambda segment_id, count: let(find_segment(segments, segment_id), lambda s: _count_warning("COB_COUNT_MISMATCH", s, count, F.size(payer_blocks(s, count))))
+    compound = let(find_segment(segments, "10"), lambda s: _count_warning("COMPOUND_COUNT_MISMATCH", s, "EC", F.size(ingredient_blocks(s))))
+    both = F.concat(cob("05", "4C"), cob("28", "NT"))
+    first = F.concat(
+        _if(F.col("_f6"), warning("VF6_NOT_DECODED", F.lit(0), "A2")), _if(F.col("_second").isNotNull(), warning("MULTI_TRANSACTION_TRUNCATED", F.col("_second"))),
+        F.flatten(F.transform(segments, _segment_warnings)),
+    )
+    more = F.when(F.col("kind") == "response", F.concat(let(find_segment(segments, "21"), _response_warnings), both)).otherwise(F.concat(compound, both, let(find_segment(segments, "08"), _dur_warnings)))
+    done = step.select(
+        *kept, "kind", "header", "responseHeader", "segments", F.col("header.transactionCount").alias("transactionCount"), F.when(fine, F.concat(first, F.coalesce(more, _none()))).alias("warnings"), "fatal"
     )
     if mode == "DROPMALFORMED":
         return done.where("fatal IS NULL")
@@ -323,26 +329,21 @@ def with_adjudication(parsed: DataFrame, name: str = "adjudication") -> DataFram
     return _view(parsed, ("21", "23", "24"), name, build)
 
 
-# -- repeating groups: a fold gives each field the number of its block, a block is then the fields of one number
+# -- repeating groups: the places where blocks start cut the segment's fields into slices
 
-_TAGGED = "array<struct<block:int,id:string,value:string>>"
+_BLOCKS = "array<array<struct<id:string,value:string,name:string,byteOffset:int>>>"
 
 
-def _blocks(segment: Column, state: str, zero: Column, step) -> Column:
-    """array<array<struct<block,id,value>>>: the blocks of a segment. ``step(state, field)`` gives the next state, whose ``n``
-    is the block of the field (0: none)."""
-    kind = f"struct<state:{state},out:{_TAGGED}>"
+def _sliced(fields: Column, starts: Column) -> Column:
+    """The fields from each start (a place, from 1) to the next."""
+    build = lambda s: F.transform(s, lambda at, i: F.slice(fields, at, F.coalesce(F.get(s, i + 1), F.size(fields) + 1) - at))
+    return F.coalesce(let(starts, build), F.array().cast(_BLOCKS))
 
-    def fold(a: Column, f: Column) -> Column:
-        tag = lambda s: F.struct(s["n"].alias("block"), f["id"].alias("id"), f["value"].alias("value"))
-        return let(step(a["state"], f).cast(state), lambda s: F.struct(s.alias("state"), F.concat(a["out"], F.array(tag(s))).alias("out")).cast(kind))
 
-    def split(tagged: Column) -> Column:
-        numbers = F.filter(F.array_distinct(F.transform(tagged, lambda x: x["block"])), lambda n: n > 0)
-        return F.transform(numbers, lambda n: F.filter(tagged, lambda x: x["block"] == n))
-
-    tagged = F.aggregate(segment["fields"], F.struct(zero.cast(state).alias("state"), F.array().cast(_TAGGED).alias("out")).cast(kind), fold)["out"]
-    return F.coalesce(let(tagged, split), F.array().cast(f"array<{_TAGGED}>"))
+def _events(fields: Column, ids: Sequence[str]) -> Column:
+    """array<struct<at,id,value>> of the fields of these ids, with their places (from 1)."""
+    placed = F.transform(fields, lambda f, i: F.struct((i + 1).alias("at"), f["id"].alias("id"), f["value"].alias("value")))
+    return F.filter(placed, lambda e: e["id"].isin(*ids))
 
 
 def _first(block: Column, field_id: str) -> Column:
@@ -354,15 +355,14 @@ def _last(block: Column, field_id: str) -> Column:
 
 
 def alert_blocks(segment: Column, counter: str | None) -> Column:
-    """A block starts at the first field, at each ``counter`` field, and at a reason where the block has one already."""
+    """A block starts at the first field, at each ``counter`` field, and at a reason where the block has one already: that
+    is, where the counter or reason before it is a reason."""
 
-    def step(s: Column, f: Column) -> Column:
-        start = (s["n"] == 0) | ((f["id"] == "E4") & s["seen"])
-        if counter is not None:
-            start = start | (f["id"] == counter)
-        return F.struct((s["n"] + start.cast("int")).alias("n"), ((s["seen"] & ~start) | (f["id"] == "E4")).alias("seen"))
+    def starts(events: Column) -> Column:
+        again = F.transform(events, lambda e, i: F.when((e["id"] != "E4") | (F.get(events, i - 1)["id"] == "E4"), e["at"]))
+        return F.array_distinct(F.concat(F.slice(F.array(F.lit(1)), F.lit(1), F.least(F.size(segment["fields"]), F.lit(1))), F.array_compact(again)))
 
-    return _blocks(segment, "struct<n:int,seen:boolean>", F.struct(F.lit(0).alias("n"), F.lit(False).alias("seen")), step)
+    return _sliced(segment["fields"], let(_events(segment["fields"], ["E4"] if counter is None else [counter, "E4"]), starts))
 
 
 def _alert(fields: Sequence[tuple[str, str]]):
@@ -395,17 +395,18 @@ def with_request_dur(parsed: DataFrame, name: str = "interventions") -> DataFram
 def ingredient_blocks(segment: Column) -> Column:
     """A block starts at a qualifier or product id that the block has already, or at the first of them. An empty value is
     as if it weren't there; fields before the first anchor belong to no block."""
+    kind = "struct<q:boolean,p:boolean,starts:array<int>>"
 
-    def step(s: Column, f: Column) -> Column:
-        q, p = f["id"] == "RE", f["id"] == "TE"
-        start = (q & ((s["n"] == 0) | s["q"])) | (p & ((s["n"] == 0) | s["p"]))
-        full = f["value"] != ""
+    def step(s: Column, e: Column) -> Column:
+        q, full = e["id"] == "RE", e["value"] != ""
+        start = (F.size(s["starts"]) == 0) | F.when(q, s["q"]).otherwise(s["p"])
         return F.struct(
-            (s["n"] + start.cast("int")).alias("n"), F.when(q, full).otherwise(s["q"] & ~start).alias("q"), F.when(p, full).otherwise(s["p"] & ~start).alias("p")
+            F.when(q, full).otherwise(s["q"] & ~start).alias("q"), F.when(~q, full).otherwise(s["p"] & ~start).alias("p"),
+            F.when(start, F.array_append(s["starts"], e["at"])).otherwise(s["starts"]).alias("starts"),
         )
 
-    zero = F.struct(F.lit(0).alias("n"), F.lit(False).alias("q"), F.lit(False).alias("p"))
-    return _blocks(segment, "struct<n:int,q:boolean,p:boolean>", zero, step)
+    zero = F.struct(F.lit(False).alias("q"), F.lit(False).alias("p"), F.array().cast("array<int>").alias("starts")).cast(kind)
+    return _sliced(segment["fields"], F.aggregate(_events(segment["fields"], ["RE", "TE"]), zero, step)["starts"])
 
 
 def with_compound(parsed: DataFrame, name: str = "compound") -> DataFrame:
@@ -428,22 +429,25 @@ def with_compound(parsed: DataFrame, name: str = "compound") -> DataFrame:
 
 def payer_blocks(segment: Column, count_id: str) -> Column:
     """Without the count field: a block starts at the first field and at each coverage type."""
-    step = lambda s, f: F.struct((s["n"] + ((s["n"] == 0) | (f["id"] == "5C")).cast("int")).alias("n"))
-    rest = F.struct(F.filter(segment["fields"], lambda f: f["id"] != count_id).alias("fields"))
-    return _blocks(rest, "struct<n:int>", F.struct(F.lit(0).alias("n")), step)
+
+    def blocks(fields: Column) -> Column:
+        starts = F.transform(fields, lambda f, i: F.when((i == 0) | (f["id"] == "5C"), i + 1))
+        return _sliced(fields, F.array_compact(starts))
+
+    return F.coalesce(let(F.filter(segment["fields"], lambda f: f["id"] != count_id), blocks), F.array().cast(_BLOCKS))
 
 
 def amount_rows(block: Column, qualifier_id: str, amount_id: str) -> Column:
-    """Each amount with the last qualifier since the amount before; a qualifier without an amount is dropped."""
-    kind = "struct<pending:string,out:array<struct<qualifier:string,amount:string>>>"
-    folded = F.aggregate(
-        block,
-        F.struct(F.lit(None).cast("string").alias("pending"), F.array().alias("out")).cast(kind),
-        lambda a, f: F.when(f["id"] == qualifier_id, F.struct(f["value"].alias("pending"), a["out"].alias("out")).cast(kind))
-        .when(f["id"] == amount_id, F.struct(F.lit(None).cast("string").alias("pending"), F.concat(a["out"], F.array(F.struct(a["pending"].alias("qualifier"), f["value"].alias("amount")))).alias("out")).cast(kind))
-        .otherwise(a),
-    )
-    return F.transform(folded["out"], lambda x: F.struct(x["qualifier"].alias("qualifier"), money(x["amount"]).alias("amount")))
+    """Each amount with the qualifier right before it among qualifiers and amounts; a qualifier without an amount is dropped."""
+
+    def rows(events: Column) -> Column:
+        def row(e: Column, i: Column) -> Column:
+            before = let(F.get(events, i - 1), lambda b: F.when(b["id"] == qualifier_id, b["value"]))
+            return F.when(e["id"] == amount_id, F.struct(before.alias("qualifier"), money(e["value"]).alias("amount")))
+
+        return F.array_compact(F.transform(events, row))
+
+    return let(_events(block, [qualifier_id, amount_id]), rows)
 
 
 def with_other_payments(parsed: DataFrame, name: str = "otherPayments") -> DataFrame:
@@ -465,11 +469,17 @@ def _padded(value: Column, width: int) -> Column:
 
 
 def serialize_claims(header: Column, response_header: Column, kind: Column, segments: Column) -> Column:
-    """Canonical text: padded header, then segments and fields between separators."""
+    """Canonical text: padded header, then segments and fields between separators.
+
+    A segment without any token (only separators were read) is left out, and a request body of one token gets a separator at
+    its end, so what is written is always read back as the same.
+    """
     token = lambda f: F.concat(f["id"], f["value"])
     lead = lambda s: F.when(s["segmentId"] != "", F.array(F.concat(F.lit("AM"), s["segmentId"]))).otherwise(F.array().cast("array<string>"))
-    body = F.array_join(F.transform(segments, lambda s: F.array_join(F.concat(lead(s), F.transform(s["fields"], token)), FS)), RS)
-    request = F.concat(*[_padded(header[n], w) for n, w in codes.REQUEST_HEADER], body)
+    parts = F.transform(segments, lambda s: F.array_join(F.concat(lead(s), F.transform(s["fields"], token)), FS))
+    body = F.array_join(F.filter(parts, lambda p: p != ""), RS)
+    framed = let(body, lambda b: F.when((b == "") | has_framing(b), b).otherwise(F.concat(b, F.lit(RS))))
+    request = F.concat(*[_padded(header[n], w) for n, w in codes.REQUEST_HEADER], framed)
     response = F.concat(*[_padded(response_header[n], w) for n, w in codes.RESPONSE_HEADER], F.lit(GS), body)
     return F.when(kind == "response", response).otherwise(request)
 
@@ -497,7 +507,7 @@ def build_requests(inputs: DataFrame, header: str = "header", segments: str = "s
     step = inputs.withColumn("_h", F.struct(*columns))
 
     def error(code: str, field: str | None = None) -> Column:
-        return F.struct(F.lit(codes.CLAIM_BUILD_PREFIX + code).alias("code"), F.lit(codes.CLAIM_BUILD_ERRORS[code]).alias("message"), F.lit(field).cast("string").alias("headerField"))
+        return F.struct(F.lit(code).alias("code"), F.lit(codes.CLAIM_BUILD_ERRORS[code]).alias("message"), F.lit(field).cast("string").alias("headerField"))
 
     found = F.when(F.col("_h.transactionCode") == "", error("MISSING_TRANSACTION_CODE"))
     for n, width in codes.REQUEST_HEADER:
@@ -545,3 +555,21 @@ def long_fields(parsed: DataFrame, key: str) -> DataFrame:
 def long_warnings(parsed: DataFrame, key: str) -> DataFrame:
     """A row for each warning: key, ord, code, message, byteOffset, fieldId."""
     return parsed.select(key, F.posexplode("warnings").alias("ord", "w")).select(key, "ord", "w.*")
+
+
+# -- SQL
+
+
+def register(spark: SparkSession) -> None:
+    """The session's table function ``claim_fields(payload)``: seg_no, segment_id, field_no, field_id, value of each field of the
+    first transaction. It is SQL, for use in a LATERAL join; ``parse_claims`` has names, positions, warnings and errors."""
+    spark.sql(
+        r"""CREATE OR REPLACE TEMPORARY FUNCTION claim_fields(payload STRING) RETURNS TABLE (seg_no INT, segment_id STRING, field_no INT, field_id STRING, value STRING) RETURN
+        SELECT s.seg_no, n.segment_id, f.field_no, CASE WHEN length(f.token) < 2 THEN '' ELSE substring(f.token, 1, 2) END, CASE WHEN length(f.token) < 2 THEN f.token ELSE substring(f.token, 3) END
+        FROM posexplode(filter(split(regexp_extract(
+            CASE WHEN substring(payload, 7, 2) <> 'D0' AND substring(payload, 1, 2) = 'D0' THEN regexp_replace(payload, '^[^\\x1d\\x1e]*', '') ELSE substring(payload, 57) END,
+            '[^\\x1d]+', 0), '\\x1e'), x -> x <> '')) AS s(seg_no, segment),
+          LATERAL (SELECT filter(split(s.segment, '\\x1c'), x -> x <> '') AS tokens) AS t,
+          LATERAL (SELECT CASE WHEN get(t.tokens, 0) RLIKE '^AM..\\z' THEN substring(t.tokens[0], 3) ELSE '' END AS segment_id) AS n,
+          LATERAL posexplode(CASE WHEN n.segment_id <> '' THEN slice(t.tokens, 2, size(t.tokens)) ELSE t.tokens END) AS f(field_no, token)"""
+    )

@@ -18,11 +18,11 @@ from rxweave.functions.scalars import coded_value, decimal_value, disposition_of
 from rxweave.sources.xml import NODE, shred_messages
 
 WARNING = "struct<code:string,message:string,path:string>"
-NODES = "_nodes"
+NODES, INDEX = "_nodes", "_index"
 
 
 def warning(code: str, path: Column) -> Column:
-    return F.struct(F.lit(codes.SCRIPT_PREFIX + code).alias("code"), F.lit(codes.SCRIPT_WARNINGS[code]).alias("message"), path.alias("path")).cast(WARNING)
+    return F.struct(F.lit(code).alias("code"), F.lit(codes.SCRIPT_WARNINGS[code]).alias("message"), path.alias("path")).cast(WARNING)
 
 
 def _if(condition: Column, found: Column) -> Column:
@@ -32,13 +32,20 @@ def _if(condition: Column, found: Column) -> Column:
 # -- navigation
 
 
+def _found(el: Column, step: str) -> Column:
+    """A node by its key in the message's index."""
+    return F.get(F.col(NODES), F.try_element_at(F.col(INDEX), F.concat(el["id"].cast("string"), F.lit(step))))
+
+
 def first_child(el: Column, name: str) -> Column:
-    return let(el["id"], lambda i: F.get(F.filter(F.col(NODES), lambda n: (n["parent"] == i) & (n["name"] == name)), F.lit(0)))
+    return _found(el, f"/{name}")
 
 
 def first_descendant(el: Column, name: str) -> Column:
-    """In document order, the element itself included: the nodes below are those up to ``last``."""
-    return let(el, lambda e: F.get(F.filter(F.col(NODES), lambda n: (n["id"] >= e["id"]) & (n["id"] <= e["last"]) & (n["name"] == name)), F.lit(0)))
+    """In document order, the element itself included; for the names that the index has at any depth."""
+    if name not in codes.DEEP_ELEMENTS:
+        raise ValueError(f"{name} isn't indexed at any depth")
+    return _found(el, f"//{name}")
 
 
 def first_named(el: Column, names: Sequence[str]) -> Column:
@@ -46,10 +53,6 @@ def first_named(el: Column, names: Sequence[str]) -> Column:
     return F.coalesce(*[first_descendant(el, n) for n in names])
 
 
-def _named(nodes: str, name: str) -> Column:
-    return F.get(F.filter(nodes, lambda n: n["name"] == name), F.lit(0))
-
-
 def own_text(el: Column) -> Column:
     return text_or_null(el["text"])
 
@@ -73,6 +76,10 @@ def _add(df: DataFrame, **found: Column) -> DataFrame:
     return df.select("*", *[c.alias(k) for k, c in found.items()])
 
 
+def _how_many(found: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in found])
+
+
 # -- versions
 
 
@@ -100,7 +107,7 @@ def _party(df: DataFrame, parent: str, to: str) -> DataFrame:
         _bname=first_descendant(b, "BusinessName"), _bid=first_descendant(b, "Identification"), _cname=first_descendant(c, "Name"), _cid=first_descendant(c, "Identification"),
     )
     name = lambda x: _present(lastName=child_text(F.col(x), "LastName"), firstName=child_text(F.col(x), "FirstName"), middleName=child_text(F.col(x), "MiddleName"))
-    ident = lambda x: _present(npi=child_text(F.col(x), "NPI"), deaNumber=child_text(F.col(x), "DEANumber"), ncpdpId=child_text(F.col(x), "NCPDPID"))
+    ident = lambda x: _present(**{member: child_text(F.col(x), tag) for member, tag in codes.IDENTIFICATIONS.items()})
     df = _add(df, _n1=name("_pname"), _n2=name("_cname"), _i1=ident("_bid"), _i2=ident("_cid"))
     df = _add(
         df,
@@ -189,9 +196,9 @@ def parse_scripts(raw: DataFrame, payload: str = "payload", *, mode: str = "PERM
     kept = [c for c in raw.columns if c != payload] if keep is None else list(keep)
     text = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     refused = text.rlike("(?i)<!(?:DOCTYPE|ENTITY)\\b")
-    gate = F.when(trim_blank(text) == "", _fatal("EMPTY_INPUT")).when(refused, _fatal("NCPDP_SCRIPT_NOT_XML"))
+    gate = F.when(trim_blank(text) == "", _fatal("EMPTY_INPUT")).when(refused, _fatal("NOT_XML"))
     step = raw.select(F.struct(F.lit(0).alias("_"), *kept).alias("_rest"), gate.alias("_gate"), F.when(gate.isNull(), text).alias("_text"))
-    step = shred_messages(step, "_text", NODES).drop("_text")
+    step = shred_messages(step, "_text", NODES, index=INDEX, deep=codes.DEEP_ELEMENTS).drop("_text")
     step = _add(step, _root=F.get(F.col(NODES), F.lit(0)))
     root = F.col("_root")
     step = _add(step, _head=first_child(root, "Header"), _body0=first_child(root, "Body"))
@@ -200,25 +207,23 @@ def parse_scripts(raw: DataFrame, payload: str = "payload", *, mode: str = "PERM
     sort = classify_version(F.col("version"))
     fatal = (
         F.when(F.col("_gate").isNotNull(), F.col("_gate"))
-        .when(F.col(NODES).isNull(), _fatal("NCPDP_SCRIPT_NOT_XML"))
-        .when(root["name"] != "Message", _fatal("NCPDP_SCRIPT_NO_MESSAGE_ROOT", "/"))
-        .when(sort == "unsupported", _fatal("NCPDP_SCRIPT_UNSUPPORTED_VERSION", "/Message"))
+        .when(F.col(NODES).isNull(), _fatal("NOT_XML"))
+        .when(root["name"] != "Message", _fatal("NO_MESSAGE_ROOT", "/"))
+        .when(sort == "unsupported", _fatal("UNSUPPORTED_VERSION", "/Message"))
     )
     head = F.col("_head")
     names = (("to", "To"), ("from", "From"), ("messageId", "MessageID"), ("relatesToMessageId", "RelatesToMessageID"), ("sentTime", "SentTime"), ("prescriberOrderNumber", "PrescriberOrderNumber"))
     header = F.struct(F.col("version"), *[child_text(head, tag).alias(n) for n, tag in names])
     order = ("NewRx", *codes.LIFECYCLE_REQUESTS, *codes.LIFECYCLE_RESPONSES, *codes.RESPONSE_KINDS)
-    below = let(F.col("_body")["id"], lambda i: F.filter(F.col(NODES), lambda n: n["parent"] == i))
-    step = _add(step, fatal=fatal, header=header, _below=below, _sort=sort)
-    step = _add(step, _tx=F.coalesce(*[_named("_below", k) for k in order]))
+    step = _add(step, fatal=fatal, header=header, _sort=sort, _tx=F.coalesce(*[first_child(F.col("_body"), k) for k in order]))
     step = _add(step, kind=F.coalesce(F.col("_tx.name"), F.lit("unsupported")), _tpath=F.concat_ws("/", "_bpath", "_tx.name"))
     is_response = F.col("kind").isin(*codes.LIFECYCLE_RESPONSES)
     answers = F.col("kind").isin(*codes.RESPONSE_KINDS)
     has_parties = F.col("kind").isin("NewRx", *codes.LIFECYCLE_REQUESTS)
     step = _add(step, _resp0=F.when(is_response, first_child(F.col("_tx"), "Response")), _parties=F.when(has_parties, F.col("_tx")), _withmed=F.when(has_parties | is_response, F.col("_tx")))
     step = _add(step, _resp=F.when(is_response, F.coalesce("_resp0", "_tx")), _rpath=F.when(F.col("_resp0").isNull(), F.col("_tpath")).otherwise(F.concat_ws("/", "_tpath", F.lit("Response"))))
-    step = _add(step, _outs=let(F.col("_resp")["id"], lambda i: F.filter(NODES, lambda n: (n["parent"] == i) & n["name"].isin(*codes.OUTCOMES))))
-    step = _add(step, _out=F.coalesce(*[_named("_outs", k) for k in codes.OUTCOMES]), _nouts=F.size(F.array_distinct(F.transform("_outs", lambda n: n["name"]))))
+    outcomes = [first_child(F.col("_resp"), k) for k in codes.OUTCOMES]
+    step = _add(step, _out=F.coalesce(*outcomes), _nouts=_how_many(outcomes))
     out = F.col("_out")
     outcome = F.when(is_response, F.coalesce(*[F.when(out["name"] == k, v) for k, v in codes.OUTCOMES.items()], F.lit("unknown")))
     reason = _present(code=child_text(out, "ReasonCode"), referenceNumber=child_text(out, "ReferenceNumber"), denialReason=child_text(out, "DenialReason"), note=child_text(out, "Note"))
@@ -231,8 +236,8 @@ def parse_scripts(raw: DataFrame, payload: str = "payload", *, mode: str = "PERM
     tx = F.col("_tx")
     code = child_text(tx, "Code")
     response = F.when(answers, F.struct(F.col("kind"), code.alias("code"), child_text(tx, "DescriptionCode").alias("descriptionCode"), child_text(tx, "Description").alias("description")))
-    seen = F.size(F.array_distinct(F.filter(F.transform("_below", lambda n: n["name"]), lambda n: n.isin(*codes.RESPONSE_KINDS))))
-    first = F.get(F.filter("_below", lambda n: n["name"] != "Header"), F.lit(0))["name"]
+    seen = _how_many([first_child(F.col("_body"), k) for k in codes.RESPONSE_KINDS])
+    first = let(F.col("_body")["id"], lambda i: F.get(F.filter(NODES, lambda n: (n["parent"] == i) & (n["name"] != "Header")), F.lit(0)))["name"]
     found = F.concat(
         _if(F.col("_sort") == "absent", warning("VERSION_ABSENT", F.lit("/Message"))), _if(F.col("_sort") == "tolerated", warning("UNSUPPORTED_VERSION_TOLERATED", F.lit("/Message"))),
         _if(is_response & (F.col("_nouts") == 0), warning("LIFECYCLE_OUTCOME_UNRECOGNIZED", F.col("_rpath"))), _if(is_response & (F.col("_nouts") > 1), warning("LIFECYCLE_AMBIGUOUS_OUTCOME", F.col("_rpath"))),
@@ -304,7 +309,7 @@ def _parties_xml(depth: int) -> list[Column]:
         return container(depth + 1, "Name", [leaf(depth + 2, t, F.col(f"{of}.name.{c}")) for t, c in (("LastName", "lastName"), ("FirstName", "firstName"), ("MiddleName", "middleName"))])
 
     def ident(of: str) -> Column:
-        return container(depth + 1, "Identification", [leaf(depth + 2, t, F.col(f"{of}.identification.{c}")) for t, c in (("NPI", "npi"), ("DEANumber", "deaNumber"), ("NCPDPID", "ncpdpId"))])
+        return container(depth + 1, "Identification", [leaf(depth + 2, t, F.col(f"{of}.identification.{c}")) for c, t in codes.IDENTIFICATIONS.items()])
 
     return [
         container(depth, "Patient", [name("patient"), leaf(depth + 1, "Gender", F.col("patient.gender")), leaf(depth + 1, "DateOfBirth", F.col("patient.dateOfBirth"))]),
@@ -367,7 +372,7 @@ def with_xml(parsed: DataFrame, name: str = "xml") -> DataFrame:
 
 
 def _build_error(code: str) -> Column:
-    return F.struct(F.lit(codes.SCRIPT_BUILD_PREFIX + code).alias("code"), F.lit(codes.SCRIPT_BUILD_ERRORS[code]).alias("message"))
+    return F.struct(F.lit(code).alias("code"), F.lit(codes.SCRIPT_BUILD_ERRORS[code]).alias("message"))
 
 
 def _strings(column: Column, kind) -> list[Column]:
@@ -405,7 +410,7 @@ def build_response(inputs: DataFrame) -> DataFrame:
 
 #: Result columns that a built message may lack, and their types.
 _MODEL = {"transaction": "string", "requestReferenceNumber": "string", "outcome": "string", "reason": "struct<code:string,referenceNumber:string,denialReason:string,note:string>"}
-_NAME, _IDENT = "struct<lastName:string,firstName:string,middleName:string>", "struct<npi:string,deaNumber:string,ncpdpId:string>"
+_NAME, _IDENT = "struct<lastName:string,firstName:string,middleName:string>", "struct<" + ",".join(f"{member}:string" for member in codes.IDENTIFICATIONS) + ">"
 _CODED, _DECIMAL = "struct<value:string,qualifier:string,system:string>", "struct<source:string,isValid:boolean>"
 _MODEL |= {
     "patient": f"struct<name:{_NAME},gender:string,dateOfBirth:string>", "pharmacy": f"struct<businessName:string,identification:{_IDENT}>", "prescriber": f"struct<name:{_NAME},identification:{_IDENT}>",

@@ -13,7 +13,7 @@ from rxweave import codes
 
 STANDARDS, EFFECTS = ("script", "telecom"), ("relaxes", "adds", "requires")
 OPTIONS = ("name", "description", "quirks", "extends")
-WARNING_CODES = {codes.CLAIM_PREFIX + c for c in codes.CLAIM_WARNINGS} | {codes.SCRIPT_PREFIX + c for c in codes.SCRIPT_WARNINGS}
+WARNING_CODES = {*codes.CLAIM_WARNINGS, *codes.SCRIPT_WARNINGS}
 
 
 class ProfileError(ValueError):
@@ -124,7 +124,7 @@ PBM = define_profile(
     description="Payer conventions for claims: person code, a deeper reject taxonomy, alerts on responses",
     quirks=[
         Quirk("person-code-required", "telecom", "requires", "The insurance segment carries a person code.", "claims/person-code.txt", "Payer sheets: person code"),
-        Quirk("reject-code-depth", "telecom", "adds", "Responses carry reject codes beyond the core table.", "claims/unknown-reject.txt", "Payer sheets: reject codes", ("NCPDP_TELECOM_UNKNOWN_REJECT_CODE",)),
+        Quirk("reject-code-depth", "telecom", "adds", "Responses carry reject codes beyond the core table.", "claims/unknown-reject.txt", "Payer sheets: reject codes", ("UNKNOWN_REJECT_CODE",)),
         Quirk("response-dur-segment", "telecom", "adds", "A paid response carries an alert segment too.", "claims/response-alert.txt", "Payer sheets: clinical alerts"),
     ],
 )

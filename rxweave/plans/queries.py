@@ -54,6 +54,15 @@ AMOUNT = "(CAST((cents - cents % 100) / 100 AS BIGINT) || '.' || lpad(CAST(cents
 MILLI = "(CAST((milli - milli % 1000) / 1000 AS BIGINT) || '.' || lpad(CAST(milli % 1000 AS VARCHAR), 3, '0'))"
 
 
+#: The responses of the facts in their canonical form, segment by segment.
+RESPONSE_TEXTS = """, w AS (SELECT *, 'D0' || tx || '1A01' || rpad('P' || sk, 15, ' ') || chr(29) AS head,
+    concat_ws(chr(28), 'AM21', 'AN' || an, 'FA' || fa, CASE WHEN sk % 2 = 0 THEN 'F3' || k END, CASE WHEN n_fb > 0 THEN 'FB75' END, CASE WHEN n_fb > 1 THEN 'FBZZ' END, CASE WHEN n_fb > 2 THEN 'FBAG' END, CASE WHEN ln % 6 = 0 THEN 'FQsee note' END) AS s21,
+    concat_ws(chr(28), 'AM23', 'F5' || CASE WHEN neg THEN substr(CAST(cents AS VARCHAR), 1, length(CAST(cents AS VARCHAR)) - 1) || substr('}JKLMNOPQR', CAST(cents % 10 AS INT) + 1, 1) ELSE CAST(cents AS VARCHAR) END, 'F9' || cents,
+      CASE WHEN ln % 4 = 0 THEN 'F6bad' END, CASE WHEN ln % 4 = 1 THEN 'FM01' END, CASE WHEN ln % 4 = 2 THEN 'F7+' || cents END) AS s23,
+    CASE WHEN n_dur > 0 THEN concat_ws(chr(28), 'AM24', array_to_string(list_transform(range(1, n_dur + 1), lambda i: concat_ws(chr(28), CASE WHEN (sk + i) % 2 = 0 THEN 'J6' || i END, 'E4' || ['DD', 'TD', 'ZZ'][(pk + i) % 3 + 1], 'FYt' || i)), chr(28)), CASE WHEN ln % 2 = 0 THEN 'FYlast' END) END AS s24,
+    CASE WHEN n_pay > 0 THEN concat_ws(chr(28), 'AM28', 'NT' || (n_pay + CASE WHEN ln % 5 = 0 THEN 1 ELSE 0 END), array_to_string(list_transform(range(1, n_pay + 1), lambda i: concat_ws(chr(28), '5C0' || i, '7C' || sk, 'MHPCN', 'NU' || k)), chr(28))) END AS s28 FROM f)"""
+
+
 @query("r01_disposition_rollup", f"SELECT flag, {DISPOSITION} AS disposition, count(*) AS n, CAST(sum(CASE WHEN {CONFLICT} THEN 1 ELSE 0 END) AS BIGINT) AS n_conflict, CAST(sum(cents) AS BIGINT) AS paid_cents FROM f GROUP BY 1, 2")
 def r01(spark, sf_dir):
     found = C.with_response_pricing(C.with_response_status(responses(spark, sf_dir)))
@@ -69,25 +78,27 @@ def r01(spark, sf_dir):
     UNION ALL SELECT '21', 'FB', CAST(sum(least(n_fb, 3)) AS BIGINT) FROM f UNION ALL SELECT '23', 'F5', count(*) FROM f UNION ALL SELECT '23', 'F9', count(*) FROM f UNION ALL SELECT '23', 'F6', count(*) FROM f WHERE ln % 4 = 0
     UNION ALL SELECT '23', 'FM', count(*) FROM f WHERE ln % 4 = 1 UNION ALL SELECT '24', 'E4', CAST(sum(n_dur) AS BIGINT) FROM f UNION ALL SELECT '24', 'FY', CAST(sum(n_dur + CASE WHEN n_dur > 0 AND ln % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM f
     UNION ALL SELECT '24', 'J6', CAST(sum(CASE WHEN n_dur >= 1 AND (sk + 1) % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN n_dur >= 2 AND sk % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM f
-    UNION ALL SELECT '28', 'NT', count(*) FROM f WHERE n_pay > 0 UNION ALL SELECT '28', x, CAST(sum(n_pay) AS BIGINT) FROM f, (VALUES ('5C'), ('7C'), ('MH'), ('NU')) AS v(x) GROUP BY x)
-    SELECT segment_id, field_id, n FROM seg WHERE n > 0""",
+    UNION ALL SELECT '28', 'NT', count(*) FROM f WHERE n_pay > 0 UNION ALL SELECT '28', x, CAST(sum(n_pay) AS BIGINT) FROM f, (VALUES ('5C'), ('7C'), ('MH'), ('NU')) AS v(x) GROUP BY x
+    UNION ALL SELECT '21', 'FQ', count(*) FROM f WHERE ln % 6 = 0 UNION ALL SELECT '23', 'F7', count(*) FROM f WHERE ln % 4 = 2)
+    SELECT segment_id, field_id, n, """ + _sql_map("segment_id", codes.SEGMENT_NAMES) + " AS segment_name, " + _sql_map("field_id", codes.FIELD_NAMES) + " AS field_name FROM seg WHERE n > 0",
 )
 def t08(spark, sf_dir):
     fields = C.long_fields(responses(spark, sf_dir), "k")
-    return fields.groupBy("segment_id", "field_id").agg(F.count("*").alias("n"))
+    return fields.groupBy("segment_id", "segment_name", "field_id", "field_name").agg(F.count("*").alias("n"))
 
 
 @query(
     "t20_claim",
     f"""SELECT k, ln, tx AS code, CASE WHEN pk % 2 = 0 THEN 'G' || pk END AS group_id, 'SYNTH' || k AS cardholder, CASE WHEN pk % 3 = 0 THEN '01' END AS person, ship AS born, CASE WHEN ln % 2 = 0 THEN '1' END AS gender,
     k || '' || ln AS reference, CASE WHEN pk % 7 <> 0 OR pk % 7 < 5 THEN CASE WHEN pk % 7 <> 0 THEN lpad(CAST(pk AS VARCHAR), 11, '0') ELSE '' END END AS product,
-    CASE WHEN pk % 7 < 5 THEN {_sql_map("lpad(CAST(pk % 5 AS VARCHAR), 2, '0')", codes.PRODUCT_QUALIFIERS)} END AS qualifier, {MILLI} AS quantity, CASE WHEN sk % 2 = 0 THEN TRUE ELSE FALSE END AS days_valid, 'N' || sk AS prescriber FROM f""",
+    CASE WHEN pk % 7 < 5 THEN {_sql_map("lpad(CAST(pk % 5 AS VARCHAR), 2, '0')", codes.PRODUCT_QUALIFIERS)} END AS qualifier, {MILLI} AS quantity, CASE WHEN sk % 2 = 0 THEN TRUE ELSE FALSE END AS days_valid, 'N' || sk AS prescriber, '0' AS fill, '0' AS as_written, '1' AS reference_kind, '01' AS prescriber_kind FROM f""",
 )
 def t20(spark, sf_dir):
     found = C.with_claim(requests(spark, sf_dir))
     names = {
         "transactionCode": "code", "groupId": "group_id", "cardholderId": "cardholder", "personCode": "person", "dateOfBirth": "born", "genderCode": "gender", "prescriptionReferenceNumber": "reference",
         "product.id": "product", "product.qualifierMeaning": "qualifier", "quantityDispensed.impliedDecimal": "quantity", "daysSupply.isValid": "days_valid", "prescriberId": "prescriber",
+        "fillNumber": "fill", "dispenseAsWritten": "as_written", "prescriptionReferenceQualifier": "reference_kind", "prescriberIdQualifier": "prescriber_kind",
     }
     return found.select(*KEY, *[F.col(f"claim.{a}").alias(b) for a, b in names.items()])
 
@@ -95,7 +106,8 @@ def t20(spark, sf_dir):
 @query(
     "t23_response_status",
     f"""SELECT k, ln, an AS status, {_sql_map('an', codes.RESPONSE_STATUS_NAMES)} AS status_name, {DISPOSITION} AS disposition, {CONFLICT} AS conflict, fa AS declared, CAST(least(n_fb, 3) AS INT) AS n_rejects,
-    CAST(CASE n_fb WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END AS INT) AS n_known, CASE WHEN sk % 2 = 0 THEN CAST(k AS VARCHAR) END AS authorization_no FROM f""",
+    CAST(CASE n_fb WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END AS INT) AS n_known, CASE WHEN sk % 2 = 0 THEN CAST(k AS VARCHAR) END AS authorization_no,
+    CASE WHEN ln % 6 = 0 THEN 'see note' END AS note, CASE n_fb WHEN 0 THEN '' WHEN 1 THEN 'Prior Authorization Required' WHEN 2 THEN 'Prior Authorization Required;?' ELSE 'Prior Authorization Required;?;Days Supply Limitation For Product/Service' END AS reasons FROM f""",
 )
 def t23(spark, sf_dir):
     found = C.with_response_status(responses(spark, sf_dir))
@@ -103,17 +115,18 @@ def t23(spark, sf_dir):
     return found.select(
         *KEY, s("transactionResponseStatus").alias("status"), s("statusDescription").alias("status_name"), s("disposition"), s("statusConflict").alias("conflict"), s("rejectCount").alias("declared"),
         F.size(s("rejectCodes")).alias("n_rejects"), F.size(F.filter(s("rejectCodes"), lambda r: r["known"])).alias("n_known"), s("authorizationNumber").alias("authorization_no"),
+        s("additionalMessage").alias("note"), F.array_join(F.transform(s("rejectCodes"), lambda r: r["description"]), ";", "?").alias("reasons"),
     )
 
 
 @query(
     "t24_response_pricing",
-    f"SELECT k, ln, CASE WHEN neg AND cents > 0 THEN '-' ELSE '' END || {AMOUNT} AS patient_pay, neg AND cents > 0 AS negative, {AMOUNT} AS total, CASE WHEN ln % 4 = 0 THEN FALSE END AS cost_valid, CASE WHEN ln % 4 = 1 THEN '01' END AS basis FROM f",
+    f"SELECT k, ln, CASE WHEN neg AND cents > 0 THEN '-' ELSE '' END || {AMOUNT} AS patient_pay, neg AND cents > 0 AS negative, {AMOUNT} AS total, CASE WHEN ln % 4 = 0 THEN FALSE END AS cost_valid, CASE WHEN ln % 4 = 1 THEN '01' END AS basis, CASE WHEN ln % 4 = 2 THEN {AMOUNT} END AS fee FROM f",
 )
 def t24(spark, sf_dir):
     found = C.with_response_pricing(responses(spark, sf_dir))
     p = lambda n, to: F.col(f"pricing.{n}").alias(to)
-    return found.select(*KEY, p("patientPayAmount.amount", "patient_pay"), p("patientPayAmount.isNegative", "negative"), p("totalAmountPaid.amount", "total"), p("ingredientCostPaid.isValid", "cost_valid"), p("basisOfReimbursement", "basis"))
+    return found.select(*KEY, p("patientPayAmount.amount", "patient_pay"), p("patientPayAmount.isNegative", "negative"), p("totalAmountPaid.amount", "total"), p("ingredientCostPaid.isValid", "cost_valid"), p("basisOfReimbursement", "basis"), p("dispensingFeePaid.amount", "fee"))
 
 
 @query("t25_adjudication", f"SELECT k, ln, tx AS code, {DISPOSITION} AS disposition, {AMOUNT} AS total, n_dur AS n_alerts FROM f")
@@ -163,7 +176,7 @@ def t42(spark, sf_dir):
 
 @query(
     "t45_other_payments",
-    f"""SELECT k, ln, CAST(i - 1 AS INT) AS pos, '0' || i AS coverage, CAST(sk AS VARCHAR) AS payer, CAST(j AS INT) AS row_no, CASE j WHEN 0 THEN '07' END AS qualifier, CASE j WHEN 0 THEN {AMOUNT} ELSE '1.00' END AS amount, 0 AS n_responsibility
+    f"""SELECT k, ln, CAST(i - 1 AS INT) AS pos, '0' || i AS coverage, CAST(sk AS VARCHAR) AS payer, CAST(j AS INT) AS row_no, CASE j WHEN 0 THEN '07' END AS qualifier, CASE j WHEN 0 THEN {AMOUNT} ELSE '1.00' END AS amount, CASE WHEN sk % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN ln % 3 = 0 THEN 1 ELSE 0 END AS n_responsibility
     FROM f, (VALUES (1), (2)) AS v(i), (VALUES (0), (1)) AS w(j) WHERE i <= n_pay""",
 )
 def t45(spark, sf_dir):
@@ -172,6 +185,17 @@ def t45(spark, sf_dir):
     return found.select(*KEY, "pos", "coverage", "payer", "row_no", F.col("a.qualifier").alias("qualifier"), F.col("a.amount.amount").alias("amount"), "n_responsibility")
 
 
+@query(
+    "t43_responsibility",
+    f"""SELECT k, ln, pos, row_no, qualifier, amount FROM (SELECT k, ln, CAST(i - 1 AS INT) AS pos, 0 AS row_no, '06' AS qualifier, CASE WHEN sk % 2 = 0 THEN {AMOUNT} ELSE '0.50' END AS amount FROM f, (VALUES (1), (2)) AS v(i) WHERE i <= n_pay AND (sk % 2 = 0 OR ln % 3 = 0)
+    UNION ALL SELECT k, ln, CAST(i - 1 AS INT), 1, NULL, '0.50' FROM f, (VALUES (1), (2)) AS v(i) WHERE i <= n_pay AND sk % 2 = 0 AND ln % 3 = 0)""",
+)
+def t43(spark, sf_dir):
+    found = C.with_other_payments(requests(spark, sf_dir)).select(*KEY, F.posexplode("otherPayments").alias("pos", "p"))
+    found = found.select(*KEY, "pos", F.posexplode("p.patientResponsibilityAmounts").alias("row_no", "a"))
+    return found.select(*KEY, "pos", "row_no", F.col("a.qualifier").alias("qualifier"), F.col("a.amount.amount").alias("amount"))
+
+
 @query("t46_response_other_payers", "SELECT k, ln, CAST(i - 1 AS INT) AS pos, '0' || i AS coverage, CAST(sk AS VARCHAR) AS payer, 'PCN' AS pcn, CAST(k AS VARCHAR) AS cardholder, CAST(NULL AS VARCHAR) AS group_id FROM f, (VALUES (1), (2)) AS v(i) WHERE i <= n_pay")
 def t46(spark, sf_dir):
     found = C.with_response_other_payers(responses(spark, sf_dir)).select(*KEY, F.posexplode("otherPayers").alias("pos", "p"))
@@ -181,18 +205,58 @@ def t46(spark, sf_dir):
 
 @query(
     "t50_response_warnings",
-    f"""SELECT k, ln, code, byte_offset, field_id FROM (SELECT k, ln, 'NCPDP_TELECOM_UNKNOWN_RESPONSE_STATUS' AS code, 24 AS byte_offset, 'AN' AS field_id FROM f WHERE an = 'X'
-    UNION ALL SELECT k, ln, 'NCPDP_TELECOM_UNKNOWN_REJECT_CODE', 24, 'FB' FROM f WHERE n_fb > 1 UNION ALL SELECT k, ln, 'NCPDP_TELECOM_STATUS_CONFLICT', 24, 'AN' FROM f WHERE {CONFLICT})""",
+    f"""{RESPONSE_TEXTS} SELECT k, ln, code, byte_offset, field_id, {_sql_map('code', codes.CLAIM_WARNINGS)} AS message FROM (SELECT k, ln, 'UNKNOWN_RESPONSE_STATUS' AS code, 24 AS byte_offset, 'AN' AS field_id FROM f WHERE an = 'X'
+    UNION ALL SELECT k, ln, 'UNKNOWN_REJECT_CODE', 24, 'FB' FROM f WHERE n_fb > 1 UNION ALL SELECT k, ln, 'STATUS_CONFLICT', 24, 'AN' FROM f WHERE {CONFLICT}
+    UNION ALL SELECT k, ln, 'COB_COUNT_MISMATCH', CAST(length(head) + length(s21) + length(s23) + 2 + coalesce(length(s24) + 1, 0) AS INT), 'NT' FROM w WHERE n_pay > 0 AND ln % 5 = 0)""",
 )
 def t50(spark, sf_dir):
-    return responses(spark, sf_dir).select(*KEY, F.explode("warnings").alias("w")).select(*KEY, F.col("w.code"), F.col("w.byteOffset").alias("byte_offset"), F.col("w.fieldId").alias("field_id"))
+    return responses(spark, sf_dir).select(*KEY, F.explode("warnings").alias("w")).select(*KEY, F.col("w.code"), F.col("w.byteOffset").alias("byte_offset"), F.col("w.fieldId").alias("field_id"), F.col("w.message").alias("message"))
+
+
+@query(
+    "t06_headers",
+    """SELECT k, ln, 'request' AS side, concat_ws('|', '610066', 'D0', tx, 'PCN', '1', '01', 'P' || sk, ship, 'SW') AS header FROM f UNION ALL SELECT k, ln, 'response', concat_ws('|', 'D0', tx, '1', 'A', '01', 'P' || sk) FROM f""",
+)
+def t06(spark, sf_dir):
+    """Every value of both headers, by its name."""
+    shown = lambda parsed, column, layout, side: parsed.select(*KEY, F.lit(side).alias("side"), F.concat_ws("|", *[F.col(f"{column}.{n}") for n, _ in layout]).alias("header"))
+    return shown(requests(spark, sf_dir), "header", codes.REQUEST_HEADER, "request").unionByName(shown(responses(spark, sf_dir), "responseHeader", codes.RESPONSE_HEADER, "response"))
+
+
+@query(
+    "t02_response_gates",
+    """SELECT kind, fatal, n_segments, region, count(*) AS n FROM (SELECT CASE WHEN k % 4 <> 0 THEN 'response' END AS kind, CASE WHEN k % 4 = 0 THEN 'NO_HEADER' END AS fatal, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE 1 END AS n_segments,
+    CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'D0|B1|1|A|01|SHORT' WHEN 2 THEN 'D0|B1|1|A|01|P' ELSE 'D0|B1|1|R||' END AS region FROM f) GROUP BY ALL""",
+)
+def t02(spark, sf_dir):
+    """Responses that are too short, without a separator, with nothing after it, and with a header cut short."""
+    n = F.col("k") % 4
+    body = F.when(n == 0, F.lit("D0B1")).when(n == 1, F.lit("D0B11A01SHORT")).when(n == 2, F.lit("D0B11A01P              \x1d")).otherwise(F.lit("D0B11R\x1eAM21\x1cANR"))
+    found = C.parse_claims(claim_messages(spark, sf_dir).select(body.alias("payload")))
+    region = F.when(F.col("responseHeader").isNotNull(), F.concat_ws("|", *[F.col(f"responseHeader.{c}") for c, _ in codes.RESPONSE_HEADER]))
+    keyed = found.select("kind", F.col("fatal.code").alias("fatal"), F.when(F.col("segments").isNotNull(), F.size("segments")).alias("n_segments"), region.alias("region"))
+    return keyed.groupBy(*keyed.columns).agg(F.count("*").alias("n"))
+
+
+@query("t09_sql_fields", "SELECT field_id, count(*) AS n FROM (SELECT 'AN' AS field_id FROM f UNION ALL SELECT 'FA' FROM f WHERE fa IS NOT NULL UNION ALL SELECT 'FB' FROM f, (VALUES (1), (2), (3)) AS v(i) WHERE i <= n_fb UNION ALL SELECT 'F3' FROM f WHERE sk % 2 = 0 UNION ALL SELECT 'FQ' FROM f WHERE ln % 6 = 0) GROUP BY 1")
+def t09(spark, sf_dir):
+    """The fields of the status segment through the SQL table function."""
+    C.register(spark)
+    messages = claim_messages(spark, sf_dir, "response").select("response")
+    return spark.sql("SELECT field_id, count(*) AS n FROM {m} AS m, LATERAL claim_fields(m.response) AS f WHERE f.segment_id = '21' GROUP BY field_id", m=messages)
+
+
+@query("w01_canonical_text", f"{RESPONSE_TEXTS} SELECT k, ln, head || concat_ws(chr(30), s21, s23, s24, s28) AS wire FROM w")
+def w01_text(spark, sf_dir):
+    """Canonical text, byte for byte."""
+    return C.with_wire(responses(spark, sf_dir)).select(*KEY, "wire")
 
 
 @query(
     "t51_request_warnings",
-    """SELECT k, ln, code, field_id, CAST(ord AS INT) AS ord FROM (SELECT k, ln, 'NCPDP_TELECOM_COMPOUND_COUNT_MISMATCH' AS code, 'EC' AS field_id, 0 AS ord FROM f WHERE n_ing > 0 AND ln % 2 = 1
-    UNION ALL SELECT k, ln, 'NCPDP_TELECOM_COB_COUNT_MISMATCH', '4C', CASE WHEN n_ing > 0 AND ln % 2 = 1 THEN 1 ELSE 0 END FROM f WHERE n_pay > 0 AND ln % 2 = 1
-    UNION ALL SELECT k, ln, 'NCPDP_TELECOM_UNKNOWN_DUR_REASON', 'E4', CASE WHEN n_ing > 0 AND ln % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN n_pay > 0 AND ln % 2 = 1 THEN 1 ELSE 0 END FROM f WHERE n_dur > 1)""",
+    """SELECT k, ln, code, field_id, CAST(ord AS INT) AS ord FROM (SELECT k, ln, 'COMPOUND_COUNT_MISMATCH' AS code, 'EC' AS field_id, 0 AS ord FROM f WHERE n_ing > 0 AND ln % 2 = 1
+    UNION ALL SELECT k, ln, 'COB_COUNT_MISMATCH', '4C', CASE WHEN n_ing > 0 AND ln % 2 = 1 THEN 1 ELSE 0 END FROM f WHERE n_pay > 0 AND ln % 2 = 1
+    UNION ALL SELECT k, ln, 'UNKNOWN_DUR_REASON', 'E4', CASE WHEN n_ing > 0 AND ln % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN n_pay > 0 AND ln % 2 = 1 THEN 1 ELSE 0 END FROM f WHERE n_dur > 1)""",
 )
 def t51(spark, sf_dir):
     found = requests(spark, sf_dir).select(*KEY, F.posexplode("warnings").alias("ord", "w"))
@@ -205,10 +269,10 @@ _BAD = "CASE k % 8 WHEN 0 THEN 'blank' WHEN 1 THEN 'short' WHEN 2 THEN 'stamp' W
 @query(
     "t01_gates",
     f"""SELECT kind, fatal, n_segments, warnings, count(*) AS n FROM (SELECT CASE WHEN b IN ('blank', 'short', 'stamp', 'framing') THEN NULL ELSE 'request' END AS kind,
-    CASE b WHEN 'blank' THEN 'EMPTY_INPUT@0' WHEN 'short' THEN 'NCPDP_TELECOM_NO_HEADER@0' WHEN 'stamp' THEN 'NCPDP_TELECOM_UNSUPPORTED_VERSION@6' WHEN 'framing' THEN 'NCPDP_TELECOM_INVALID_FRAMING@56' END AS fatal,
+    CASE b WHEN 'blank' THEN 'EMPTY_INPUT@0' WHEN 'short' THEN 'NO_HEADER@0' WHEN 'stamp' THEN 'UNSUPPORTED_VERSION@6' WHEN 'framing' THEN 'INVALID_FRAMING@56' END AS fatal,
     CASE b WHEN 'f6' THEN 0 WHEN 'several' THEN 1 WHEN 'odd' THEN 4 WHEN 'fine' THEN 1 END AS n_segments,
-    CASE b WHEN 'f6' THEN 'NCPDP_TELECOM_VF6_NOT_DECODED@0' WHEN 'several' THEN 'NCPDP_TELECOM_MULTI_TRANSACTION_TRUNCATED@67'
-      WHEN 'odd' THEN 'NCPDP_TELECOM_MISSING_SEGMENT_ID@57,NCPDP_TELECOM_MALFORMED_SEGMENT_ID@62,NCPDP_TELECOM_UNKNOWN_SEGMENT@68,NCPDP_TELECOM_MALFORMED_FIELD@78' WHEN 'fine' THEN '' END AS warnings
+    CASE b WHEN 'f6' THEN 'VF6_NOT_DECODED@0' WHEN 'several' THEN 'MULTI_TRANSACTION_TRUNCATED@67'
+      WHEN 'odd' THEN 'MISSING_SEGMENT_ID@57,MALFORMED_SEGMENT_ID@62,UNKNOWN_SEGMENT@68,MALFORMED_FIELD@78' WHEN 'fine' THEN '' END AS warnings
     FROM (SELECT *, {_BAD} AS b FROM f)) GROUP BY 1, 2, 3, 4""",
 )
 def t01(spark, sf_dir):
@@ -239,8 +303,8 @@ def w01(spark, sf_dir):
 
 @query(
     "w04_build",
-    """SELECT b, CASE b WHEN 0 THEN 'NCPDP_TELECOM_BUILD_MISSING_TRANSACTION_CODE' WHEN 1 THEN 'NCPDP_TELECOM_BUILD_FIELD_TOO_LONG' WHEN 2 THEN 'NCPDP_TELECOM_BUILD_EMBEDDED_CONTROL_CHARACTER' WHEN 3 THEN 'NCPDP_TELECOM_BUILD_MISSING_SEGMENT_ID'
-    WHEN 4 THEN 'NCPDP_TELECOM_BUILD_INVALID_SEGMENT_ID' WHEN 5 THEN 'NCPDP_TELECOM_BUILD_INVALID_FIELD_ID' WHEN 6 THEN 'NCPDP_TELECOM_BUILD_EMBEDDED_CONTROL_CHARACTER' END AS code,
+    """SELECT b, CASE b WHEN 0 THEN 'MISSING_TRANSACTION_CODE' WHEN 1 THEN 'FIELD_TOO_LONG' WHEN 2 THEN 'EMBEDDED_CONTROL_CHARACTER' WHEN 3 THEN 'MISSING_SEGMENT_ID'
+    WHEN 4 THEN 'INVALID_SEGMENT_ID' WHEN 5 THEN 'INVALID_FIELD_ID' WHEN 6 THEN 'EMBEDDED_CONTROL_CHARACTER' END AS code,
     CASE b WHEN 1 THEN 'binNumber' WHEN 2 THEN 'processorControlNumber' END AS header_field, CASE WHEN b = 7 THEN CAST(count(*) AS BIGINT) ELSE 0 END AS n_read, count(*) AS n FROM (SELECT CAST(k % 8 AS INT) AS b FROM f) GROUP BY b""",
 )
 def w04(spark, sf_dir):
@@ -257,7 +321,7 @@ def w04(spark, sf_dir):
     return read.groupBy("b", F.col("buildError.code").alias("code"), F.col("buildError.headerField").alias("header_field")).agg(F.sum(same).alias("n_read"), F.count("*").alias("n"))
 
 
-@query("p05_expected_warnings", f"SELECT flag, CAST(sum(CASE WHEN n_fb > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_expected, CAST(sum(CASE WHEN an = 'X' THEN 1 ELSE 0 END + CASE WHEN {CONFLICT} THEN 1 ELSE 0 END) AS BIGINT) AS n_unexpected FROM f GROUP BY flag")
+@query("p05_expected_warnings", f"SELECT flag, CAST(sum(CASE WHEN n_fb > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_expected, CAST(sum(CASE WHEN an = 'X' THEN 1 ELSE 0 END + CASE WHEN {CONFLICT} THEN 1 ELSE 0 END + CASE WHEN n_pay > 0 AND ln % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_unexpected FROM f GROUP BY flag")
 def p05(spark, sf_dir):
     found = profiles.partition_warnings(responses(spark, sf_dir), profiles.PBM)
     return found.groupBy("flag").agg(F.sum(F.size("expected").cast("long")).alias("n_expected"), F.sum(F.size("unexpected").cast("long")).alias("n_unexpected"))
@@ -268,6 +332,21 @@ def p09(spark, sf_dir):
     return profiles.profile_rows(spark).select("profile", "ord", "id", "standard", "effect", F.size("expectedWarnings").alias("n_expected"))
 
 
+@query(
+    "p03_merged_profiles",
+    "SELECT * FROM (VALUES ('regional', 'pbm>surescripts>regional', 'Payer rules of a region', 0, 'person-code-required', 'relaxes', 'telecom', 0), ('regional', 'pbm>surescripts>regional', 'Payer rules of a region', 1, 'reject-code-depth', 'adds', 'telecom', 1), "
+    "('regional', 'pbm>surescripts>regional', 'Payer rules of a region', 2, 'response-dur-segment', 'adds', 'telecom', 0), ('regional', 'pbm>surescripts>regional', 'Payer rules of a region', 3, 'routing-identifiers', 'adds', 'script', 0)) AS v(profile, lineage, description, ord, id, effect, standard, n_expected)",
+)
+def p03(spark, sf_dir):
+    """A profile over two parents: later layers replace a quirk at its first place; lineage and description as described."""
+    own = profiles.Quirk("person-code-required", "telecom", "relaxes", "The person code may be absent.", "claims/person-code.txt", "Payer sheets: person code")
+    merged = profiles.define_profile(name="regional", description="Payer rules of a region", quirks=[own], extends=[profiles.PBM, profiles.SURESCRIPTS])
+    told = merged.describe()
+    return profiles.profile_rows(spark, [merged]).select(
+        "profile", F.lit(">".join(told["lineage"])).alias("lineage"), "description", "ord", "id", "effect", "standard", F.size("expectedWarnings").alias("n_expected")
+    )
+
+
 @query(
     "c01_scalars",
     """SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN p_partkey || '.' || p_size ELSE p_partkey || '.' END AS source, p_size % 2 = 0 AS is_decimal,
@@ -297,7 +376,7 @@ _MED = "sort IN (0, 1, 2, 12) OR (sort = 4 AND shape = 2)"
 
 @query(
     "s03_messages",
-    f"""SELECT k, {_KINDS} AS kind, CASE WHEN sort = 13 THEN 'NCPDP_SCRIPT_NOT_XML' END AS fatal, CASE WHEN sort < 13 THEN CASE v WHEN 0 THEN '2017071' WHEN 1 THEN '2023011' WHEN 2 THEN '2099001' WHEN 4 THEN '2017071' END END AS version,
+    f"""SELECT k, {_KINDS} AS kind, CASE WHEN sort = 13 THEN 'NOT_XML' END AS fatal, CASE WHEN sort < 13 THEN CASE v WHEN 0 THEN '2017071' WHEN 1 THEN '2023011' WHEN 2 THEN '2099001' WHEN 4 THEN '2017071' END END AS version,
     CASE WHEN sort < 13 THEN 'PH' || ck END AS to_id, CASE WHEN sort < 13 THEN 'DR ' || (k % 10) END AS from_id, CASE WHEN sort >= 4 AND sort < 10 THEN 'M' || (k - 3) END AS relates_to, CASE WHEN sort = 10 THEN 'RxFill' END AS transaction,
     CASE sort WHEN 7 THEN 'success' WHEN 8 THEN 'error' WHEN 9 THEN 'verify' END AS disposition FROM o""",
 )
@@ -305,13 +384,26 @@ def s03(spark, sf_dir):
     return scripts(spark, sf_dir).select("k", "kind", F.col("fatal.code").alias("fatal"), "version", F.col("header.to").alias("to_id"), F.col("header.from").alias("from_id"), F.col("correlatesTo").alias("relates_to"), "transaction", "disposition")
 
 
+@query(
+    "s05_headers",
+    """SELECT k, 'M' || k AS message, CASE WHEN k % 3 = 0 THEN '2024-01-02T03:04:05Z' END AS sent, CASE WHEN k % 3 = 0 THEN 'O' || k END AS order_number FROM o WHERE sort < 13""",
+)
+def s05(spark, sf_dir):
+    h = lambda n, to: F.col(f"header.{n}").alias(to)
+    return scripts(spark, sf_dir).where("kind IS NOT NULL").select("k", h("messageId", "message"), h("sentTime", "sent"), h("prescriberOrderNumber", "order_number"))
+
+
 @query(
     "s38_prescriptions",
     f"""SELECT k, {_KINDS} AS kind, CASE WHEN sort IN (0, 1, 2, 3) THEN 'L' || ck END AS last_name, CASE WHEN sort IN (0, 1, 2, 3) THEN CASE WHEN ck % 2 = 0 THEN 'M' ELSE 'F' END END AS gender,
     CASE WHEN sort IN (0, 1, 2, 3) THEN CASE WHEN k % 2 = 0 THEN '1980-01-01' ELSE '1980-01-02' END END AS born, CASE WHEN sort IN (0, 1, 2, 3) THEN 'Store &amp; Co' END AS store, CASE WHEN sort IN (0, 1, 2, 3) THEN CAST(k AS VARCHAR) END AS npi,
     CASE WHEN {_MED} THEN 'Drug ' || (k % 100) END AS drug, CASE WHEN {_MED} THEN CASE shape WHEN 0 THEN 'NDC' END END AS product_system, CASE WHEN {_MED} THEN CASE shape WHEN 1 THEN 'RXNORM' END END AS db_system,
     CASE WHEN {_MED} THEN CASE shape WHEN 1 THEN 'C42' END END AS form, CASE WHEN {_MED} THEN total || CASE shape WHEN 3 THEN '.5' WHEN 4 THEN '.' ELSE '' END END AS quantity, CASE WHEN {_MED} THEN shape <> 4 END AS quantity_valid,
-    CASE WHEN {_MED} THEN CASE shape WHEN 5 THEN '3' ELSE '1' END END AS refills, CASE WHEN {_MED} THEN CASE WHEN shape IN (2, 3, 4) THEN NULL ELSE 'none' END END AS directions FROM o WHERE sort <> 13""",
+    CASE WHEN {_MED} THEN CASE shape WHEN 5 THEN '3' ELSE '1' END END AS refills, CASE WHEN {_MED} THEN CASE WHEN shape IN (2, 3, 4) THEN NULL ELSE 'none' END END AS directions,
+    CASE WHEN sort IN (0, 1, 2, 3) THEN 'F' END AS first_name, CASE WHEN sort IN (0, 1, 2, 3) AND ck % 3 = 0 THEN 'Q' END AS middle_name, CASE WHEN sort IN (0, 1, 2, 3) THEN CAST(1000000 + ck AS VARCHAR) END AS pharmacy_number, CASE WHEN sort IN (0, 1, 2, 3) THEN 'Doc' END AS doctor,
+    CASE WHEN sort IN (0, 1, 2, 3) AND k % 2 = 0 THEN 'AB' || k END AS dea, CASE WHEN {_MED} THEN CASE k % 2 WHEN 0 THEN '30' ELSE '3x' END END AS days, CASE WHEN {_MED} THEN k % 2 = 0 END AS days_valid, CASE WHEN ({_MED}) AND k % 2 = 0 THEN '0' END AS substitutions,
+    CASE WHEN {_MED} THEN CASE k % 2 WHEN 0 THEN '2024-01-02' ELSE '2024-01-03' END END AS written, CASE WHEN ({_MED}) AND k % 2 = 0 THEN 'take care' END AS note, CASE WHEN {_MED} THEN CASE shape WHEN 2 THEN 'take one' WHEN 3 THEN 'take two' WHEN 4 THEN 'as told' WHEN 5 THEN 'plain' END END AS sig_text,
+    CASE WHEN ({_MED}) AND shape = 1 THEN '5' END AS strength, CASE WHEN ({_MED}) AND shape = 1 THEN 'mg' END AS strength_unit FROM o WHERE sort <> 13""",
 )
 def s38(spark, sf_dir):
     m = lambda n, to: F.col(f"medication.{n}").alias(to)
@@ -319,7 +411,9 @@ def s38(spark, sf_dir):
     return found.select(
         "k", "kind", F.col("patient.name.lastName").alias("last_name"), F.col("patient.gender").alias("gender"), F.col("patient.dateOfBirth").alias("born"), F.col("pharmacy.businessName").alias("store"), F.col("prescriber.identification.npi").alias("npi"),
         m("description", "drug"), m("coded.productCode.system", "product_system"), m("coded.drugDbCode.system", "db_system"), m("strength.form", "form"), m("quantity.value.source", "quantity"), m("quantity.value.isValid", "quantity_valid"),
-        m("numberOfRefills", "refills"), m("directions", "directions"),
+        m("numberOfRefills", "refills"), m("directions", "directions"), F.col("patient.name.firstName").alias("first_name"), F.col("patient.name.middleName").alias("middle_name"),
+        F.col("pharmacy.identification.pharmacyNumber").alias("pharmacy_number"), F.col("prescriber.name.lastName").alias("doctor"), F.col("prescriber.identification.deaNumber").alias("dea"),
+        m("daysSupply.source", "days"), m("daysSupply.isValid", "days_valid"), m("substitutions", "substitutions"), m("writtenDate", "written"), m("note", "note"), m("sigText", "sig_text"), m("strength.value", "strength"), m("strength.unitOfMeasure", "strength_unit"),
     )
 
 
@@ -352,13 +446,26 @@ def s49(spark, sf_dir):
     return found.select("k", s("sigText", "sig_text"), s("hasStructuredData", "structured"), s("dose.provenance", "dose"), s("route.provenance", "route"), s("route.code.value", "route_code"), s("route.code.system", "route_system"), s("route.text", "route_text"))
 
 
+@query(
+    "s49_sig_components",
+    f"""SELECT k, component, CASE WHEN shape = 2 THEN provenance ELSE 'absent' END AS provenance, CASE WHEN shape = 2 THEN text END AS text, CASE WHEN shape = 2 THEN code END AS code, CASE WHEN shape = 2 THEN system END AS system FROM o, (VALUES ('doseDeliveryMethod', 'derived', 'Take', NULL, NULL), ('dose', 'derived', '1', NULL, NULL),
+    ('doseUnitOfMeasure', 'coded', NULL, 'C48542', 'NCI'), ('route', 'coded', 'by mouth', 'PO', 'SNOMED'), ('siteOfAdministration', 'derived', 'mouth', NULL, NULL), ('administrationTiming', 'derived', 'daily', NULL, NULL), ('duration', 'coded', 'week', '7', 'UNKNOWN'), ('vehicle', 'absent', NULL, NULL, NULL),
+    ('indication', 'derived', 'pain', NULL, NULL), ('maximumDoseRestriction', 'absent', NULL, NULL, NULL)) AS v(component, provenance, text, code, system) WHERE ({_MED}) AND shape IN (2, 3, 4)""",
+)
+def s49_components(spark, sf_dir):
+    """All ten components of structured directions, a row each."""
+    one = lambda n: F.struct(F.lit(n).alias("component"), *[F.col(f"medication.sig.{n}.{c}").alias(a) for c, a in (("provenance", "provenance"), ("text", "text"), ("code.value", "code"), ("code.system", "system"))])
+    found = scripts(spark, sf_dir).where("medication.sig IS NOT NULL")
+    return found.select("k", F.inline(F.array(*map(one, codes.SIG_COMPONENTS))))
+
+
 _TX = f"'/Message/Body/' || {_KINDS}"
 _MEDPATH = f"({_TX} || CASE WHEN sort = 4 THEN '/Response/ApprovedWithChanges' ELSE '' END || '/MedicationPrescribed')"
 
 
 @query(
     "s20_script_warnings",
-    f"""SELECT k, 'NCPDP_SCRIPT_' || code AS code, path FROM (SELECT k, 'VERSION_ABSENT' AS code, '/Message' AS path FROM o WHERE sort < 13 AND v = 3 UNION ALL SELECT k, 'UNSUPPORTED_VERSION_TOLERATED', '/Message' FROM o WHERE sort < 13 AND v = 2
+    f"""SELECT k, code, path FROM (SELECT k, 'VERSION_ABSENT' AS code, '/Message' AS path FROM o WHERE sort < 13 AND v = 3 UNION ALL SELECT k, 'UNSUPPORTED_VERSION_TOLERATED', '/Message' FROM o WHERE sort < 13 AND v = 2
     UNION ALL SELECT k, 'STRENGTH_CODED_AND_EXPLICIT', {_MEDPATH} FROM o WHERE ({_MED}) AND shape = 1 UNION ALL SELECT k, 'SIG_STRUCTURED_LOSSY', {_MEDPATH} || '/Sig' FROM o WHERE ({_MED}) AND shape = 2
     UNION ALL SELECT k, 'SIG_AMBIGUOUS_DOSE', {_MEDPATH} || '/Sig/Dose' FROM o WHERE ({_MED}) AND shape = 3 UNION ALL SELECT k, 'LIFECYCLE_AMBIGUOUS_OUTCOME', {_TX} || '/Response' FROM o WHERE sort = 4 AND shape = 1
     UNION ALL SELECT k, 'LIFECYCLE_OUTCOME_UNRECOGNIZED', {_TX} || '/Response' FROM o WHERE sort = 4 AND shape = 4 UNION ALL SELECT k, 'RESPONSE_AMBIGUOUS_DISPOSITION', '/Message/Body' FROM o WHERE sort = 8
@@ -388,17 +495,41 @@ def w06(spark, sf_dir):
     return again.groupBy(F.col("was").alias("kind")).agg(F.count("*").alias("n"), F.sum((F.col("kind") == F.col("was")).cast("long")).alias("n_same_kind"), F.sum((F.col("first") == F.col("xml")).cast("long")).alias("n_stable"))
 
 
-@query("s01_gate", "SELECT CASE WHEN html IS NULL OR trim(html) = '' THEN 'EMPTY_INPUT' ELSE 'NCPDP_SCRIPT_NOT_XML' END AS fatal, count(*) AS n FROM pages WHERE regexp_matches(coalesce(html, ''), '(?i)<!(?:DOCTYPE|ENTITY)\\b') OR trim(coalesce(html, '')) = '' GROUP BY 1")
+_N = "' || chr(10) || '"
+
+
+@query(
+    "w06_canonical_text",
+    f"""SELECT k, '<Message' || CASE v WHEN 0 THEN ' version="2017071"' WHEN 1 THEN ' version="2023011"' WHEN 2 THEN ' version="2099001"' WHEN 4 THEN ' version="2017071"' ELSE '' END || '>{_N}  <Header>{_N}    <To>PH' || ck || '</To>{_N}    <From>DR ' || (k % 10) || '</From>{_N}    <MessageID>M' || k || '</MessageID>' ||
+    CASE WHEN sort >= 4 AND sort < 10 THEN '{_N}    <RelatesToMessageID>M' || (k - 3) || '</RelatesToMessageID>' ELSE '' END || CASE WHEN k % 3 = 0 THEN '{_N}    <SentTime>2024-01-02T03:04:05Z</SentTime>{_N}    <PrescriberOrderNumber>O' || k || '</PrescriberOrderNumber>' ELSE '' END ||
+    '{_N}  </Header>{_N}  <Body>{_N}    ' || CASE sort WHEN 7 THEN '<Status>{_N}      <Code>000</Code>{_N}      <Description>fine</Description>{_N}    </Status>' WHEN 8 THEN '<Error>{_N}      <Code>600</Code>{_N}      <DescriptionCode>10</DescriptionCode>{_N}    </Error>' WHEN 9 THEN '<Verify/>'
+    WHEN 10 THEN '<RxFill/>' WHEN 11 THEN '<UnsupportedTransaction/>' ELSE '<CancelRx>{_N}      <Patient>{_N}        <Name>{_N}          <LastName>L' || ck || '</LastName>{_N}          <FirstName>F</FirstName>' || CASE WHEN ck % 3 = 0 THEN '{_N}          <MiddleName>Q</MiddleName>' ELSE '' END ||
+    '{_N}        </Name>{_N}        <Gender>' || CASE WHEN ck % 2 = 0 THEN 'M' ELSE 'F' END || '</Gender>{_N}        <DateOfBirth>' || CASE WHEN k % 2 = 0 THEN '1980-01-01' ELSE '1980-01-02' END || '</DateOfBirth>{_N}      </Patient>{_N}      <Pharmacy>{_N}        <BusinessName>Store &amp;amp; Co</BusinessName>{_N}        <Identification>{_N}          <@>' ||
+    (1000000 + ck) || '</@>{_N}        </Identification>{_N}      </Pharmacy>{_N}      <Prescriber>{_N}        <Name>{_N}          <LastName>Doc</LastName>{_N}        </Name>{_N}        <Identification>{_N}          <NPI>' || k || '</NPI>' || CASE WHEN k % 2 = 0 THEN '{_N}          <DEANumber>AB' || k || '</DEANumber>' ELSE '' END ||
+    '{_N}        </Identification>{_N}      </Prescriber>{_N}    </CancelRx>' END || '{_N}  </Body>{_N}</Message>' AS xml FROM o WHERE sort IN (3, 7, 8, 9, 10, 11)""".replace("@>", codes.IDENTIFICATIONS["pharmacyNumber"] + ">"),
+)
+def w06_text(spark, sf_dir):
+    """Canonical XML, byte for byte."""
+    found = P.of_kind(scripts(spark, sf_dir), "CancelRx", *codes.RESPONSE_KINDS, "unsupported")
+    return P.with_xml(found).select("k", "xml")
+
+
+@query(
+    "s01_gate",
+    """SELECT fatal, path, count(*) AS n FROM (SELECT CASE WHEN trim(coalesce(html, '')) = '' THEN 'EMPTY_INPUT' WHEN page_id % 3 <> 1 AND regexp_matches(html, '(?i)<!(?:DOCTYPE|ENTITY)\\b') THEN 'NOT_XML' WHEN page_id % 3 = 2 THEN 'NOT_XML' ELSE 'NO_MESSAGE_ROOT' END AS fatal,
+    CASE WHEN page_id % 3 = 1 AND trim(coalesce(html, '')) <> '' THEN '/' END AS path FROM pages) GROUP BY ALL""",
+)
 def s01(spark, sf_dir):
-    """Pages are refused for their document type before any of them is read as XML."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("payload"))
-    refused = pages.where("payload IS NULL OR trim(payload) = '' OR payload RLIKE '(?i)<!(?:DOCTYPE|ENTITY)\\\\b'")
-    return P.parse_scripts(refused).groupBy(F.col("fatal.code").alias("fatal")).agg(F.count("*").alias("n"))
+    """Every page: as it is (refused for its document type), without it (read, but another root), and broken off inside a tag."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    plain = F.regexp_replace("html", "(?i)<!DOCTYPE[^>]*>", "")
+    payload = F.when(F.col("page_id") % 3 == 1, plain).when((F.col("page_id") % 3 == 2) & (F.trim("html") != ""), F.concat(plain, F.lit("<p class='"))).otherwise(F.col("html"))
+    return P.parse_scripts(pages.select(payload.alias("payload"))).groupBy(F.col("fatal.code").alias("fatal"), F.col("fatal.path").alias("path")).agg(F.count("*").alias("n"))
 
 
 @query(
     "w10_build_script",
-    """SELECT b, CASE b WHEN 0 THEN 'NCPDP_SCRIPT_BUILD_MISSING_MEDICATION' WHEN 1 THEN 'NCPDP_SCRIPT_BUILD_INVALID_CHARACTER' WHEN 3 THEN 'NCPDP_SCRIPT_BUILD_MISSING_RESPONSE_CODE' END AS code, CASE WHEN b IN (0, 1, 3) THEN 0 ELSE count(*) END AS n_read, count(*) AS n FROM (SELECT CAST(k % 5 AS INT) AS b FROM o) GROUP BY b""",
+    """SELECT b, CASE b WHEN 0 THEN 'MISSING_MEDICATION' WHEN 1 THEN 'INVALID_CHARACTER' WHEN 3 THEN 'MISSING_RESPONSE_CODE' END AS code, CASE WHEN b IN (0, 1, 3) THEN 0 ELSE count(*) END AS n_read, count(*) AS n FROM (SELECT CAST(k % 5 AS INT) AS b FROM o) GROUP BY b""",
 )
 def w10(spark, sf_dir):
     orders = script_messages(spark, sf_dir).selectExpr("CAST(k % 5 AS INT) AS b", "k")
@@ -420,7 +551,7 @@ def w10(spark, sf_dir):
 
 # -- governance
 
-_ALLOW = [("email-domain", "example.com"), ("id", "SYNTH"), ("dob", "19970101")]
+_ALLOW = [("email-domain", "example.com"), ("id", "SYNTH"), ("dob", "19970101"), ("name", "Testcase"), ("name", "Probe")]
 
 
 @query(
@@ -435,15 +566,40 @@ def g08(spark, sf_dir):
     return hits.select(F.col("path").cast("long").alias("doc_id"), "category", "value")
 
 
-@query("g04_scan_claims", "SELECT location, category, count(*) AS n FROM (SELECT 'C4' AS location, 'dob' AS category FROM f WHERE ship <> '19970101') GROUP BY 1, 2")
+@query(
+    "g10_report",
+    r"""SELECT doc_id, n_hits, categories, (SELECT count(*) FROM documents) AS n_texts FROM (SELECT doc_id, count(*) AS n_hits, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM (
+    SELECT doc_id, 'email' AS category, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS value FROM documents UNION ALL SELECT doc_id, 'ssn', unnest(regexp_extract_all(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')) FROM documents)
+    WHERE category = 'ssn' OR lower(regexp_extract(value, '@(.*)$', 1)) <> 'example.com' GROUP BY doc_id)""",
+)
+def g10(spark, sf_dir):
+    """Hits grouped by text, with the number of texts looked at."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), "text")
+    allow = scan.allow_rows(spark.createDataFrame(_ALLOW, "kind string, value string"))
+    return scan.report(scan.common_shapes(docs, allow), docs).select(F.col("path").cast("long").alias("doc_id"), "n_hits", "categories", "n_texts")
+
+
+_REASON = _sql_map("category", scan.REASONS)
+
+
+@query(
+    "g04_scan_claims",
+    f"""SELECT location, category, value, {_REASON} AS reason, count(*) AS n FROM (SELECT 'C4' AS location, 'dob' AS category, '' AS value FROM f WHERE ship <> '19970101' UNION ALL SELECT 'CA', 'name', given FROM f WHERE pk % 9 = 0 AND given = 'Ann' UNION ALL SELECT 'CB', 'name', 'Jo' FROM f WHERE pk % 9 = 0
+    UNION ALL SELECT 'CB', 'name', family FROM f WHERE pk % 9 = 0 AND family = 'Real' UNION ALL SELECT 'CM', 'address', street FROM f WHERE pk % 9 = 0 AND street <> 'Box 9' UNION ALL SELECT 'CQ', 'phone', phone FROM f WHERE pk % 9 = 0 AND phone LIKE '(%' UNION ALL SELECT 'CY', 'id', patient FROM f WHERE pk % 9 = 0 AND patient = '123456') GROUP BY 1, 2, 3""",
+)
 def g04(spark, sf_dir):
     texts = claim_messages(spark, sf_dir, "request").select(F.concat_ws("-", "k", "ln").alias("path"), F.col("request").alias("text"))
     allow = scan.allow_rows(spark.createDataFrame(_ALLOW, "kind string, value string"))
-    return scan.scan_texts(texts, allow).groupBy("location", "category").agg(F.count("*").alias("n"))
+    value = F.when(F.col("category") == "dob", "").otherwise(F.col("value"))
+    return scan.scan_texts(texts, allow).groupBy("location", "category", value.alias("value"), "reason").agg(F.count("*").alias("n"))
 
 
-@query("g03_scan_scripts", "SELECT location, category, value, n FROM (SELECT '<lastname>' AS location, 'name' AS category, 'L' AS value, count(*) AS n FROM o WHERE FALSE UNION ALL SELECT '<date>', 'dob', '19800101', count(*) FROM o WHERE sort IN (0, 1, 2, 3, 13) AND k % 2 = 0 UNION ALL SELECT '<dateofbirth>', 'dob', '19800102', count(*) FROM o WHERE sort IN (0, 1, 2, 3, 13) AND k % 2 = 1) WHERE n > 0")
+@query(
+    "g03_scan_scripts",
+    f"""SELECT location, category, value, {_REASON} AS reason, n FROM (SELECT '<LastName>' AS location, 'name' AS category, 'Doc' AS value, count(*) AS n FROM o WHERE sort IN (0, 1, 2, 3, 13) UNION ALL SELECT '<DateOfBirth>', 'dob', '19800101', count(*) FROM o WHERE sort IN (0, 1, 2, 3, 13) AND k % 2 = 0
+    UNION ALL SELECT '<DateOfBirth>', 'dob', '19800102', count(*) FROM o WHERE sort IN (0, 1, 2, 3, 13) AND k % 2 = 1) WHERE n > 0""",
+)
 def g03(spark, sf_dir):
     texts = script_messages(spark, sf_dir).select(F.col("k").cast("string").alias("path"), F.col("payload").alias("text"))
     allow = scan.allow_rows(spark.createDataFrame(_ALLOW, "kind string, value string"))
-    return scan.scan_texts(texts, allow).groupBy("location", "category", "value").agg(F.count("*").alias("n"))
+    return scan.scan_texts(texts, allow).groupBy("location", "category", "value", "reason").agg(F.count("*").alias("n"))

@@ -1,9 +1,9 @@
-"""XML messages as flat nodes: a small tolerant reader inside Arrow batches; all interpretation is done on columns."""
+"""XML messages as flat nodes: a small lenient reader inside Arrow batches; all interpretation is done on columns."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,61 +13,107 @@ NODE = "struct<id:int,parent:int,last:int,depth:int,name:string,text:string,attr
 _NODE = pa.struct(
     [("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]
 )
-#: A comment, CDATA, processing instruction, end tag or start tag.
+#: One piece of markup, from its ``<`` to its end: comment, CDATA, processing instruction, end tag or start tag. Quotes in a start
+#: tag may hold ``>``.
 _MARK = re.compile(
-    r"<!--.*?-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<\?.*?\?>|</(?P<end>[^\s<>/]+)\s*>|<(?P<start>[^\s<>/!?=\"']+)(?P<attrs>(?:\s+[^\s=<>/\"']+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*(?P<empty>/?)>", re.S
+    r"<(?:!--.*?-->|!\[.{6}(?P<cdata>.*?)\]\]>|\?(?P<pi>[^\s?]*)(?P<about>.*?)\?>|(?P<end>/)[^>]*>|(?!!--|!\[|[?/])(?P<start>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>)", re.S
 )
-_ATTR = re.compile(r"([^\s=<>/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+_ATTR = re.compile(r"([^\s=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')|[^\s=]+")
 
 
 def local_name(name: str) -> str:
     return name.rpartition(":")[2]
 
 
-def shred(text: str) -> list[dict] | None:
-    """Nodes in document order, or None if the text isn't well formed.
+def _attributes(text: str) -> list[tuple[str, str]]:
+    """Attributes with a quoted value; others are left out, and of two with one local name the later counts."""
+    return list({local_name(m[1]): m[2] or m[3] or "" for m in _ATTR.finditer(text) if m[1]}.items())
+
+
+def shred(text: str, strict: bool = True) -> list[dict] | None:
+    """Nodes in document order; None if the text isn't readable as XML.
+
+    What is readable: every piece of markup ends, there is an element, and no element, CDATA or instruction follows an end tag
+    that closes nothing. An end tag closes the open element whatever name it bears, open elements end with the text,
+    attributes without a quoted value are left out, text outside the elements is ignored, and only the first of several
+    roots counts. An instruction other than the XML declaration is an element whose name starts with ``?``. With
+    ``strict`` off the text is read as far as it is readable.
 
     ``last`` is the last node below. Prefixes are cut off; text is the element's own, untrimmed, with CDATA and with
-    entities as they stand. Only the first root counts.
+    entities as they stand.
     """
     nodes: list[dict] = []
-    open_nodes: list[tuple[int, str]] = []
-    at = 0
-    for m in _MARK.finditer(text):
-        between = text[at : m.start()]
+    texts: list[list[str]] = []
+    stack: list[int] = []  # open elements; -1 for those of later roots
+    at, closed_too_often = 0, False
+
+    def element(name: str, attrs: list[tuple[str, str]]) -> int:
+        if nodes and (not stack or stack[-1] < 0):
+            return -1
+        nodes.append({"id": len(nodes), "parent": stack[-1] if stack else None, "last": len(nodes), "depth": len(stack), "name": name, "text": "", "attrs": attrs})
+        texts.append([])
+        return len(nodes) - 1
+
+    while (start := text.find("<", at)) >= 0:
+        m = _MARK.match(text, start)
+        if m is None or (closed_too_often and (m["start"] is not None or m["cdata"] is not None or m["pi"] is not None)):
+            if strict:
+                return None
+            break
+        if stack and stack[-1] >= 0:
+            texts[stack[-1]] += [text[at:start], m["cdata"] or ""]
         at = m.end()
-        if "<" in between:
-            return None
-        if open_nodes:
-            nodes[open_nodes[-1][0]]["text"] += between + (m["cdata"] or "")
-        elif between.strip() or m["cdata"]:
-            return None
-        if m["start"]:
-            if not open_nodes and nodes:
-                break  # a second root
-            pairs = {local_name(k): a or b for k, a, b in _ATTR.findall(m["attrs"])}
-            nodes.append({"id": len(nodes), "parent": open_nodes[-1][0] if open_nodes else None, "last": len(nodes), "depth": len(open_nodes), "name": local_name(m["start"]), "text": "", "attrs": list(pairs.items())})
-            if not m["empty"]:
-                open_nodes.append((len(nodes) - 1, m["start"]))
+        if m["start"] is not None:
+            inner = m["start"].strip()
+            name = (inner.split(None, 1) or [""])[0]
+            node = element(local_name(name.rstrip("/")), _attributes(inner[len(name) :].rstrip("/")))
+            if not inner.endswith("/"):
+                stack.append(node)
         elif m["end"]:
-            if not open_nodes or open_nodes[-1][1] != m["end"]:
-                return None
-            nodes[open_nodes.pop()[0]]["last"] = len(nodes) - 1
-    else:
-        if text[at:].strip():
-            return None
-    return nodes if nodes and not open_nodes else None
+            if not stack:
+                closed_too_often = True
+            elif (n := stack.pop()) >= 0:
+                nodes[n]["last"] = len(nodes) - 1
+        elif m["pi"] is not None and m["pi"] != "xml":
+            element("?" + local_name(m["pi"]), _attributes(m["about"]))
+    for n in stack:
+        if n >= 0:
+            nodes[n]["last"] = len(nodes) - 1
+    for node, parts in zip(nodes, texts, strict=True):
+        node["text"] = "".join(parts)
+    return nodes or None
+
+
+def index_of(nodes: list[dict], deep: frozenset[str]) -> list[tuple[str, int]]:
+    """Keys by which columns look nodes up: ``id/name`` for an element's first child of a name, and ``id//name`` for the first
+    below it, itself included, for the names in ``deep``."""
+    found: dict[str, int] = {}
+    for n in nodes:
+        name, up = n["name"], n["parent"]
+        if up is not None:
+            found.setdefault(f"{up}/{name}", n["id"])
+        if name in deep:
+            up = n["id"]
+            while up is not None:
+                found.setdefault(f"{up}//{name}", n["id"])
+                up = nodes[up]["parent"]
+    return list(found.items())
 
 
-def shred_messages(raw: DataFrame, payload: str = "payload", name: str = "nodes") -> DataFrame:
-    """Add array column ``name`` of nodes; null where the payload isn't well formed. Other columns pass through."""
+def shred_messages(raw: DataFrame, payload: str = "payload", name: str = "nodes", *, strict: bool = True, index: str | None = None, deep: Collection[str] = ()) -> DataFrame:
+    """Add array column ``name`` of nodes, and map column ``index`` if it is named (see ``index_of``); null where the payload
+    isn't readable. Other columns pass through."""
+    names = frozenset(deep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([None if t is None else shred(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(_NODE))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["rest", "nodes"])
+            found = [None if t is None else shred(t, strict) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            columns = [batch.column(0), pa.array(found, pa.list_(_NODE))]
+            if index:
+                columns.append(pa.array([None if n is None else index_of(n, names) for n in found], pa.map_(pa.string(), pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=["rest", "nodes", "index"][: len(columns)])
 
     rows = raw.select(F.struct("*").alias("rest"), F.col(payload).alias("text"))
-    kind = f"rest {rows.schema['rest'].dataType.simpleString()}, nodes array<{NODE}>"
+    kind = f"rest {rows.schema['rest'].dataType.simpleString()}, nodes array<{NODE}>" + (", index map<string,int>" if index else "")
     done = rows.mapInArrow(run, kind)
-    return done.select("rest.*", F.col("nodes").alias(name))
+    return done.select("rest.*", F.col("nodes").alias(name), *([F.col("index").alias(index)] if index else []))

@@ -45,7 +45,7 @@ def test_defaults_and_partitions(spark):
         profiles.set_default_profile(spark, Profile("other", ("other",)))
     parsed = claims.parse_claims(spark.createDataFrame([(1, REJECTED)], "i int, payload string"))
     row = profiles.partition_warnings(parsed, profiles.PBM).first()
-    assert [w.code for w in row.expected] == ["NCPDP_TELECOM_UNKNOWN_REJECT_CODE"] and len(row.expected) + len(row.unexpected) == len(row.warnings)
+    assert [w.code for w in row.expected] == ["UNKNOWN_REJECT_CODE"] and len(row.expected) + len(row.unexpected) == len(row.warnings)
 
 
 def test_scan_finds_what_the_allow_list_lacks(spark, tmp_path):
