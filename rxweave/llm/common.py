@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,22 +39,41 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
-    This cuts the lineage, lets several steps read one result, and gives the optimizer the table's real size. A result may
-    read such tables until it is written; ``clear_stored`` then takes the application's tables away.
+    This cuts the lineage, lets several steps read one result, and gives the optimizer the table's real size. An operator
+    takes its tables away with ``drop_stored`` once what follows from them is written; those that its result reads stay until
+    ``clear_stored``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stored_path = path
+    return made
 
 
-def clear_stored(spark: SparkSession) -> None:
-    """Remove the tables that ``stored`` has written in this application; results that still read them no longer work."""
-    jvm = spark.sparkContext._jvm  # noqa: SLF001
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
 
 
+def drop_stored(*tables: DataFrame) -> None:
+    """Remove tables as ``stored`` returned them; nothing may read them any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.stored_path)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Remove all tables that ``stored`` has written in this application; results that still read them no longer work."""
+    _delete(spark, shared_dir(spark))
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: what a worker makes of a batch of long texts, and sends back at once, stays small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,14 +102,15 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         )
         # small-star: every node's smaller neighbours, and itself, go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
+        both = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
             .distinct()
         )
-        links = stored(small, name)
+        old, links = links, stored(both, name)
+        drop_stored(old)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

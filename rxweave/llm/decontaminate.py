@@ -12,13 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxweave.llm.common import Hashes, stored
+from rxweave.llm.common import Hashes, small, stored
 
 #: An overlap: in every window of this many words of the item, this share of the words is equal.
 WINDOW, SHARE = 13, 0.8
-#: Bits of the table that tells training tasks which hashes the benchmark has: cells for each seed, and the least and the
-#: largest size (powers of two; the largest is 32 MB).
-CELLS_A_SEED, LEAST_LOG, MOST_LOG = 16, 16, 28
+#: Bits of the table that tells training tasks which hashes the benchmark has: cells for each seed, those that are set for one, and
+#: the least and the largest size (powers of two; the largest is 32 MB). About one other hash in a million passes.
+CELLS_A_SEED, PROBES, LEAST_LOG, MOST_LOG = 128, 4, 16, 28
 #: Words that one task hashes at once.
 CHUNK = 1 << 17
 
@@ -97,25 +97,40 @@ def _seeds(window: int, share: float):
     return run
 
 
+_PROBE_FACTORS = [np.uint64(xxhash.xxh64_intdigest(f"probe{n}") | 1) for n in range(PROBES)]
+
+
 class BitTable:
-    """Which hashes may be in the benchmark: two cells for each, in words of 64 bits."""
+    """Which hashes may be in the benchmark: PROBES cells for each, in words of 64 bits."""
 
     def __init__(self, log: int, words: np.ndarray) -> None:
         self.log, self.words = log, words
 
-    def _holds(self, cells: np.ndarray) -> np.ndarray:
-        return (self.words[(cells >> np.uint64(6)).astype(np.int64)] >> (cells & np.uint64(63))) & np.uint64(1)
+    @staticmethod
+    def cells(hashes: np.ndarray, probe: int, log: int) -> np.ndarray:
+        return (hashes * _PROBE_FACTORS[probe]) >> np.uint64(64 - log)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        some = np.flatnonzero(self._holds(hashes >> np.uint64(64 - self.log)))
-        return some[self._holds(hashes[some] & np.uint64((1 << self.log) - 1)) == 1]
+        """The places of the hashes that may be in it."""
+        some = np.arange(len(hashes))
+        for probe in range(PROBES):
+            cells = self.cells(hashes[some] if probe else hashes, probe, self.log)
+            some = some[(self.words[(cells >> np.uint64(6)).astype(np.int64)] >> (cells & np.uint64(63))) & np.uint64(1) == 1]
+        return some
 
 
 def bit_table(seeds: DataFrame) -> BitTable:
     """Made by Spark: cells are or-ed into words by their place. The driver gets at most 2 ** (MOST_LOG - 6) words."""
     log = int(np.clip(int(seeds.count() * CELLS_A_SEED).bit_length(), LEAST_LOG, MOST_LOG))
-    cells = seeds.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - log), F.col("hash").bitwiseAND((1 << log) - 1))).alias("c"))
-    words = cells.select(F.shiftright("c", 6).alias("w"), F.expr("shiftleft(1L, CAST(c & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column(0).to_numpy().view(np.uint64)
+            cells = np.concatenate([BitTable.cells(hashes, probe, log) for probe in range(PROBES)])
+            bits = (np.uint64(1) << (cells & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((cells >> np.uint64(6)).astype(np.int64)), pa.array(bits)], names=["w", "b"])
+
+    words = seeds.select("hash").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     table = np.zeros(1 << (log - 6), np.int64)
     table[words.column(0).to_numpy()] = words.column(1).to_numpy()
     return BitTable(log, table.view(np.uint64))
@@ -167,7 +182,7 @@ def _regions(table, masks: list[str], reach: int):
             arrays = [pa.array([k for k, _ in keys], pa.int64()), pa.array([t for _, t in keys], pa.int64()), pa.array(lows, pa.int32()), pa.array(around, pa.list_(pa.int64())), pa.array(seeds, kind)]
             return pa.RecordBatch.from_arrays(arrays, names=["key", "th", "low", "around", "hits"])
 
-        for batch in batches:
+        for batch in small(batches):
             held, size = [], 0
             for k, th, t in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 held.append((k, th, words_of(t, known)))
