@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rxweave.llm.common import small
+
 #: Trigrams of bytes fall into this many cells.
 CELLS = 1 << 16
 #: Bytes of a lower-cased text: letters and bytes of longer characters stay, all else is a space.
@@ -93,7 +95,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", smoothing:
                 counts[name] = counts.get(name, 0) + np.bincount(np.concatenate(parts), minlength=CELLS)
             held.clear()
 
-        for batch in batches:
+        for batch in small(batches):
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = cells_of(t)
                 held.setdefault(name, []).append(found)
@@ -127,7 +129,7 @@ def identify(docs: DataFrame, training: Column, *, key: str = "doc_id", text: st
     model = docs.sparkSession.sparkContext.broadcast(train(docs.where(training), text=text, lang=lang))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [model.value.infer(t) for t in batch.column(1).to_pylist()]
             mixture = pa.array([[{"lang": a, "share": s} for a, s in m] for _, _, m in found], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), mixture], names=["key", "lang_pred", "score", "mixture"])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxweave.llm.common import stored
+from rxweave.llm.common import small, stored
 
 #: A-Z become lower case, and bytes outside words become spaces: words are runs of [0-9a-z] and of bytes over 0x7F.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -59,7 +59,7 @@ _RESULT = "n_base long, first_word long, last_word long, base_labels string, lab
 
 def _postings(vocabulary: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [(t or b"").translate(FOLD).split() for t in batch.column(1).to_pylist()]
             hits = [[(i, vocabulary[w]) for i, w in enumerate(ws) if w in vocabulary] for ws in rows]
             yield pa.RecordBatch.from_arrays(
@@ -170,7 +170,7 @@ def scan_licenses(
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         join = BlockJoin(templates, rank, block)
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for at, token in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 places, met = join.judge(at, [to_rank[t] for t in token])

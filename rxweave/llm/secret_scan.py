@@ -12,6 +12,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rxweave.functions.scalars import let, running_sums
 from rxweave.llm.common import stored
 
 #: An alternative of a Boolean query has at most this many trigrams; fewer only admit more candidates.
@@ -106,32 +107,21 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
 
 
 def _spans(text: Column, rule: SecretRule, order: int) -> Column:
-    """Kept matches as array<struct<s,k,e,kind>>: code points, end exclusive. Gaps between matches give the places."""
+    """Kept matches as array<struct<s,k,e,kind>>: code points, end exclusive. Running sums of the lengths of matches and of the
+    gaps between them give the places."""
     found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else found
     pairs = F.arrays_zip(F.split(text, rule.regex, -1).alias("gap"), found.alias("hit"), tested.alias("part"))
-    kind = "struct<at:int,out:array<struct<s:int,k:int,e:int,kind:string>>>"
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind),
-        lambda a, x: F.struct(
-            (a.at + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(
-                F.length(x["part"]) >= rule.least,
-                F.concat(
-                    a.out,
-                    F.array(
-                        F.struct(
-                            (a.at + F.length(x["gap"])).alias("s"), F.lit(order).alias("k"), (a.at + F.length(x["gap"]) + F.length(x["hit"])).alias("e"), F.lit(rule.kind).alias("kind")
-                        )
-                    ),
-                ),
-            )
-            .otherwise(a.out)
-            .alias("out"),
-        ).cast(kind),
-    ).out
-    return placed
+
+    def placed(pairs: Column) -> Column:
+        def span(x: Column, end: Column) -> Column:
+            there = F.struct((end - F.length(x["hit"])).alias("s"), F.lit(order).alias("k"), end.alias("e"), F.lit(rule.kind).alias("kind"))
+            return F.when(F.length(x["part"]) >= rule.least, there)
+
+        ends = running_sums(F.transform(pairs, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))))
+        return let(ends, lambda e: F.array_compact(F.zip_with(pairs, e, span)))
+
+    return let(pairs, placed)
 
 
 def _shorter(rule: SecretRule) -> SecretRule:
