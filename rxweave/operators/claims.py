@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rxweave import codes
 from rxweave.codes import FS, GS, RS
-from rxweave.functions.scalars import decimal_value, known, let, lookup, money, prefix_int, quantity, settled, trim_blank
+from rxweave.functions.scalars import decimal_value, known, let, lookup, money, prefix_int, quantity, running_sums, settled, trim_blank
 
 FIELD = "struct<id:string,value:string,name:string,byteOffset:int>"
 SEGMENT = f"struct<segmentId:string,name:string,byteOffset:int,fields:array<{FIELD}>>"
@@ -40,18 +40,6 @@ def _if(condition: Column, *found: Column) -> Column:
 # -- splitting
 
 
-def running_sums(numbers: Column) -> Column:
-    """The sum up to each place of an array of integers: places are added to those 1, 2, 4... before them, so the work grows
-    as n log n, also for a hostile message."""
-
-    def doubled(sums: Column, k: Column) -> Column:
-        before = F.concat(F.array_repeat(F.lit(0), F.pow(F.lit(2), k).cast("int")), sums)
-        return F.zip_with(sums, F.slice(before, F.lit(1), F.size(sums)), lambda a, b: a + b)
-
-    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(numbers))).cast("int") - 1)
-    return F.when(F.size(numbers) > 1, F.aggregate(rounds, numbers, doubled)).otherwise(numbers)
-
-
 def parts_with_offsets(text: Column, separator: str, base: Column) -> Column:
     """array<struct<text,offset>> of the non-empty parts, each with its place in the message."""
 

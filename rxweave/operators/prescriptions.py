@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxweave import codes
-from rxweave.functions.scalars import coded_value, decimal_value, disposition_of_kind, let, settled, text_or_null, trim_blank
+from rxweave.functions.scalars import BLANKS, coded_value, decimal_value, disposition_of_kind, let, settled, sql_text, text_or_null, trim_blank
 from rxweave.sources.xml import NODE, shred_messages
 
 WARNING = "struct<code:string,message:string,path:string>"
@@ -29,41 +29,45 @@ def _if(condition: Column, found: Column) -> Column:
     return F.when(F.coalesce(condition, F.lit(False)), F.array(found)).otherwise(F.array().cast(f"array<{WARNING}>"))
 
 
-# -- navigation
+# -- navigation: elements are named by the columns that hold them, and each lookup is one SQL expression
 
 
-def _found(el: Column, step: str) -> Column:
+def _found(el: str, step: str) -> str:
     """A node by its key in the message's index."""
-    return F.get(F.col(NODES), F.try_element_at(F.col(INDEX), F.concat(el["id"].cast("string"), F.lit(step))))
+    return f"get({NODES}, try_element_at({INDEX}, concat(CAST({el}.id AS STRING), {sql_text(step)})))"
 
 
-def first_child(el: Column, name: str) -> Column:
-    return _found(el, f"/{name}")
+def _trimmed(text: str) -> Column:
+    return F.expr(f"nullif(btrim({text}, {sql_text(BLANKS)}), '')")
 
 
-def first_descendant(el: Column, name: str) -> Column:
+def first_child(el: str, name: str) -> Column:
+    return F.expr(_found(el, f"/{name}"))
+
+
+def first_descendant(el: str, name: str) -> Column:
     """In document order, the element itself included; for the names that the index has at any depth."""
     if name not in codes.DEEP_ELEMENTS:
         raise ValueError(f"{name} isn't indexed at any depth")
-    return _found(el, f"//{name}")
+    return F.expr(_found(el, f"//{name}"))
 
 
-def first_named(el: Column, names: Sequence[str]) -> Column:
+def first_named(el: str, names: Sequence[str]) -> Column:
     """The first alias that occurs decides, before document order."""
     return F.coalesce(*[first_descendant(el, n) for n in names])
 
 
-def own_text(el: Column) -> Column:
-    return text_or_null(el["text"])
+def own_text(el: str) -> Column:
+    return _trimmed(f"{el}.text")
 
 
-def child_text(el: Column, name: str) -> Column:
+def child_text(el: str, name: str) -> Column:
     """Trimmed text of the first child of the name; blank is absent, and a second child isn't tried."""
-    return own_text(first_child(el, name))
+    return _trimmed(_found(el, f"/{name}") + ".text")
 
 
-def attribute(el: Column, name: str) -> Column:
-    return F.try_element_at(el["attrs"], F.lit(name))
+def attribute(el: str, name: str) -> Column:
+    return F.expr(f"try_element_at({el}.attrs, {sql_text(name)})")
 
 
 def _present(**members: Column) -> Column:
@@ -99,39 +103,39 @@ def _fatal(code: str, path: str | None = None) -> Column:
 
 def _party(df: DataFrame, parent: str, to: str) -> DataFrame:
     """Columns {to}patient, {to}pharmacy, {to}prescriber below the element in column ``parent``."""
-    p = F.col(parent)
+    p = parent
     df = _add(df, _patient=first_child(p, "Patient"), _pharmacy=first_child(p, "Pharmacy"), _prescriber=first_child(p, "Prescriber"))
-    a, b, c = F.col("_patient"), F.col("_pharmacy"), F.col("_prescriber")
+    a, b, c = "_patient", "_pharmacy", "_prescriber"
     df = _add(
         df, _pname=first_descendant(a, "Name"), _pgender=first_descendant(a, "Gender"), _pdob=first_descendant(a, "DateOfBirth"),
         _bname=first_descendant(b, "BusinessName"), _bid=first_descendant(b, "Identification"), _cname=first_descendant(c, "Name"), _cid=first_descendant(c, "Identification"),
     )
-    name = lambda x: _present(lastName=child_text(F.col(x), "LastName"), firstName=child_text(F.col(x), "FirstName"), middleName=child_text(F.col(x), "MiddleName"))
-    ident = lambda x: _present(**{member: child_text(F.col(x), tag) for member, tag in codes.IDENTIFICATIONS.items()})
+    name = lambda x: _present(lastName=child_text(x, "LastName"), firstName=child_text(x, "FirstName"), middleName=child_text(x, "MiddleName"))
+    ident = lambda x: _present(**{member: child_text(x, tag) for member, tag in codes.IDENTIFICATIONS.items()})
     df = _add(df, _n1=name("_pname"), _n2=name("_cname"), _i1=ident("_bid"), _i2=ident("_cid"))
     df = _add(
         df,
         **{
-            f"{to}patient": _present(name=F.col("_n1"), gender=own_text(F.col("_pgender")), dateOfBirth=_date(F.col("_pdob"))),
-            f"{to}pharmacy": _present(businessName=own_text(F.col("_bname")), identification=F.col("_i1")),
+            f"{to}patient": _present(name=F.col("_n1"), gender=own_text("_pgender"), dateOfBirth=_date("_pdob")),
+            f"{to}pharmacy": _present(businessName=own_text("_bname"), identification=F.col("_i1")),
             f"{to}prescriber": _present(name=F.col("_n2"), identification=F.col("_i2")),
         },
     )
     return df.drop("_patient", "_pharmacy", "_prescriber", "_pname", "_pgender", "_pdob", "_bname", "_bid", "_cname", "_cid", "_n1", "_n2", "_i1", "_i2")
 
 
-def _date(el: Column) -> Column:
+def _date(el: str) -> Column:
     return F.coalesce(child_text(el, "Date"), own_text(el))
 
 
-def _code_or_text(el: Column) -> Column:
+def _code_or_text(el: str) -> Column:
     return F.coalesce(child_text(el, "Code"), own_text(el))
 
 
 SIG_FIELD = "struct<provenance:string,text:string,code:struct<value:string,qualifier:string,system:string>>"
 
 
-def _sig_field(el: Column) -> Column:
+def _sig_field(el: str) -> Column:
     code = child_text(el, "Code")
     text = F.coalesce(child_text(el, "Text"), own_text(el))
     qualifier = F.coalesce(child_text(el, "Qualifier"), child_text(el, "CodeSystem"), attribute(el, "Qualifier"), attribute(el, "CodeSystem"), F.lit(""))
@@ -141,20 +145,20 @@ def _sig_field(el: Column) -> Column:
 
 def _medication(df: DataFrame, parent: str, path: Column, to: str) -> DataFrame:
     """Columns {to}medication and {to}medicationWarnings of the MedicationPrescribed below column ``parent``."""
-    df = _add(df, _med=first_child(F.col(parent), "MedicationPrescribed"), _mpath=path)
-    m = F.col("_med")
+    df = _add(df, _med=first_child(parent, "MedicationPrescribed"), _mpath=path)
+    m = "_med"
     df = _add(
         df, _coded=first_child(m, "DrugCoded"), _strength=first_child(m, "Strength"), _quantity=first_child(m, "Quantity"), _refills=first_child(m, "Refills"),
         _written=first_descendant(m, "WrittenDate"), _sigtext=first_descendant(m, "SigText"), _sig=first_child(m, "Sig"),
     )
-    sig, strength, coded, amount = F.col("_sig"), F.col("_strength"), F.col("_coded"), F.col("_quantity")
+    sig, strength, coded, amount = "_sig", "_strength", "_coded", "_quantity"
     df = _add(
         df, _product=first_child(coded, "ProductCode"), _db=first_child(coded, "DrugDBCode"), _form=first_child(strength, "StrengthForm"),
         _sunit=first_child(strength, "StrengthUnitOfMeasure"), _qunit=first_child(amount, "QuantityUnitOfMeasure"), _sigown=first_descendant(sig, "SigText"),
         **{f"_sig_{k}": first_named(sig, names) for k, names in codes.SIG_COMPONENTS.items()},
     )
-    product, db = F.col("_product"), F.col("_db")
-    df = _add(df, **{f"_field_{k}": _sig_field(F.col(f"_sig_{k}")) for k in codes.SIG_COMPONENTS}, _qvalue=child_text(amount, "Value"), _days=child_text(m, "DaysSupply"))
+    product, db = "_product", "_db"
+    df = _add(df, **{f"_field_{k}": _sig_field(f"_sig_{k}") for k in codes.SIG_COMPONENTS}, _qvalue=child_text(amount, "Value"), _days=child_text(m, "DaysSupply"))
     decoded = F.greatest(*[F.col(f"_field_{k}.provenance") != "absent" for k in codes.SIG_COMPONENTS])
     df = _add(
         df,
@@ -162,9 +166,9 @@ def _medication(df: DataFrame, parent: str, path: Column, to: str) -> DataFrame:
             productCode=coded_value(own_text(product), F.coalesce(attribute(product, "Qualifier"), F.lit(""))),
             drugDbCode=coded_value(_code_or_text(db), F.coalesce(child_text(db, "Qualifier"), attribute(db, "Qualifier"), F.lit(""))),
         ),
-        _s=_present(value=child_text(strength, "StrengthValue"), form=_code_or_text(F.col("_form")), unitOfMeasure=_code_or_text(F.col("_sunit"))),
-        _q=_present(value=decimal_value(F.col("_qvalue")), unitOfMeasure=_code_or_text(F.col("_qunit")), codeListQualifier=child_text(amount, "CodeListQualifier")),
-        _g=F.when(sig.isNotNull(), F.struct(own_text(F.col("_sigown")).alias("sigText"), *[F.col(f"_field_{k}").alias(k) for k in codes.SIG_COMPONENTS], decoded.alias("hasStructuredData"))),
+        _s=_present(value=child_text(strength, "StrengthValue"), form=_code_or_text("_form"), unitOfMeasure=_code_or_text("_sunit")),
+        _q=_present(value=decimal_value(F.col("_qvalue")), unitOfMeasure=_code_or_text("_qunit"), codeListQualifier=child_text(amount, "CodeListQualifier")),
+        _g=F.when(F.col(sig).isNotNull(), F.struct(own_text("_sigown").alias("sigText"), *[F.col(f"_field_{k}").alias(k) for k in codes.SIG_COMPONENTS], decoded.alias("hasStructuredData"))),
     )
     found = F.concat(
         _if(F.col("_c").isNotNull() & F.col("_s").isNotNull(), warning("STRENGTH_CODED_AND_EXPLICIT", F.col("_mpath"))),
@@ -173,8 +177,8 @@ def _medication(df: DataFrame, parent: str, path: Column, to: str) -> DataFrame:
     )
     medication = _present(
         description=child_text(m, "DrugDescription"), coded=F.col("_c"), strength=F.col("_s"), quantity=F.col("_q"), daysSupply=decimal_value(F.col("_days")),
-        numberOfRefills=F.coalesce(child_text(m, "NumberOfRefills"), child_text(F.col("_refills"), "Value")), substitutions=child_text(m, "Substitutions"),
-        writtenDate=_date(F.col("_written")), directions=child_text(m, "Directions"), sigText=own_text(F.col("_sigtext")), sig=F.col("_g"), note=child_text(m, "Note"),
+        numberOfRefills=F.coalesce(child_text(m, "NumberOfRefills"), child_text("_refills", "Value")), substitutions=child_text(m, "Substitutions"),
+        writtenDate=_date("_written"), directions=child_text(m, "Directions"), sigText=own_text("_sigtext"), sig=F.col("_g"), note=child_text(m, "Note"),
     )
     own = [c for c in df.columns if c.startswith(("_sig_", "_field_"))]
     df = _add(df, **{f"{to}medication": medication, f"{to}medicationWarnings": found})
@@ -200,43 +204,43 @@ def parse_scripts(raw: DataFrame, payload: str = "payload", *, mode: str = "PERM
     step = raw.select(F.struct(F.lit(0).alias("_"), *kept).alias("_rest"), gate.alias("_gate"), F.when(gate.isNull(), text).alias("_text"))
     step = shred_messages(step, "_text", NODES, index=INDEX, deep=codes.DEEP_ELEMENTS).drop("_text")
     step = _add(step, _root=F.get(F.col(NODES), F.lit(0)))
-    root = F.col("_root")
+    root = "_root"
     step = _add(step, _head=first_child(root, "Header"), _body0=first_child(root, "Body"))
     stamp = text_or_null(F.coalesce(attribute(root, "version"), attribute(root, "Version")))
-    step = _add(step, version=F.coalesce(stamp, child_text(F.col("_head"), "Version")), _body=F.coalesce("_body0", "_root"), _bpath=F.when(F.col("_body0").isNull(), "/Message").otherwise("/Message/Body"))
+    step = _add(step, version=F.coalesce(stamp, child_text("_head", "Version")), _body=F.coalesce("_body0", "_root"), _bpath=F.when(F.col("_body0").isNull(), "/Message").otherwise("/Message/Body"))
     sort = classify_version(F.col("version"))
     fatal = (
         F.when(F.col("_gate").isNotNull(), F.col("_gate"))
         .when(F.col(NODES).isNull(), _fatal("NOT_XML"))
-        .when(root["name"] != "Message", _fatal("NO_MESSAGE_ROOT", "/"))
+        .when(F.col("_root.name") != "Message", _fatal("NO_MESSAGE_ROOT", "/"))
         .when(sort == "unsupported", _fatal("UNSUPPORTED_VERSION", "/Message"))
     )
-    head = F.col("_head")
+    head = "_head"
     names = (("to", "To"), ("from", "From"), ("messageId", "MessageID"), ("relatesToMessageId", "RelatesToMessageID"), ("sentTime", "SentTime"), ("prescriberOrderNumber", "PrescriberOrderNumber"))
     header = F.struct(F.col("version"), *[child_text(head, tag).alias(n) for n, tag in names])
     order = ("NewRx", *codes.LIFECYCLE_REQUESTS, *codes.LIFECYCLE_RESPONSES, *codes.RESPONSE_KINDS)
-    step = _add(step, fatal=fatal, header=header, _sort=sort, _tx=F.coalesce(*[first_child(F.col("_body"), k) for k in order]))
+    step = _add(step, fatal=fatal, header=header, _sort=sort, _tx=F.coalesce(*[first_child("_body", k) for k in order]))
     step = _add(step, kind=F.coalesce(F.col("_tx.name"), F.lit("unsupported")), _tpath=F.concat_ws("/", "_bpath", "_tx.name"))
     is_response = F.col("kind").isin(*codes.LIFECYCLE_RESPONSES)
     answers = F.col("kind").isin(*codes.RESPONSE_KINDS)
     has_parties = F.col("kind").isin("NewRx", *codes.LIFECYCLE_REQUESTS)
-    step = _add(step, _resp0=F.when(is_response, first_child(F.col("_tx"), "Response")), _parties=F.when(has_parties, F.col("_tx")), _withmed=F.when(has_parties | is_response, F.col("_tx")))
+    step = _add(step, _resp0=F.when(is_response, first_child("_tx", "Response")), _parties=F.when(has_parties, F.col("_tx")), _withmed=F.when(has_parties | is_response, F.col("_tx")))
     step = _add(step, _resp=F.when(is_response, F.coalesce("_resp0", "_tx")), _rpath=F.when(F.col("_resp0").isNull(), F.col("_tpath")).otherwise(F.concat_ws("/", "_tpath", F.lit("Response"))))
-    outcomes = [first_child(F.col("_resp"), k) for k in codes.OUTCOMES]
+    outcomes = [first_child("_resp", k) for k in codes.OUTCOMES]
     step = _add(step, _out=F.coalesce(*outcomes), _nouts=_how_many(outcomes))
-    out = F.col("_out")
-    outcome = F.when(is_response, F.coalesce(*[F.when(out["name"] == k, v) for k, v in codes.OUTCOMES.items()], F.lit("unknown")))
+    out = "_out"
+    outcome = F.when(is_response, F.coalesce(*[F.when(F.col("_out.name") == k, v) for k, v in codes.OUTCOMES.items()], F.lit("unknown")))
     reason = _present(code=child_text(out, "ReasonCode"), referenceNumber=child_text(out, "ReferenceNumber"), denialReason=child_text(out, "DenialReason"), note=child_text(out, "Note"))
     step = _add(step, outcome=outcome, reason=reason)
     step = _party(step, "_parties", "")
     step = _medication(step, "_withmed", F.concat_ws("/", "_tpath", F.lit("MedicationPrescribed")), "_a")
     nested = F.concat_ws("/", "_rpath", "_out.name", F.lit("MedicationPrescribed"))
-    step = _add(step, _nest=F.when(is_response & F.col("_amedication").isNull(), out))
+    step = _add(step, _nest=F.when(is_response & F.col("_amedication").isNull(), F.col(out)))
     step = _medication(step, "_nest", nested, "_b")
-    tx = F.col("_tx")
+    tx = "_tx"
     code = child_text(tx, "Code")
     response = F.when(answers, F.struct(F.col("kind"), code.alias("code"), child_text(tx, "DescriptionCode").alias("descriptionCode"), child_text(tx, "Description").alias("description")))
-    seen = _how_many([first_child(F.col("_body"), k) for k in codes.RESPONSE_KINDS])
+    seen = _how_many([first_child("_body", k) for k in codes.RESPONSE_KINDS])
     first = let(F.col("_body")["id"], lambda i: F.get(F.filter(NODES, lambda n: (n["parent"] == i) & (n["name"] != "Header")), F.lit(0)))["name"]
     found = F.concat(
         _if(F.col("_sort") == "absent", warning("VERSION_ABSENT", F.lit("/Message"))), _if(F.col("_sort") == "tolerated", warning("UNSUPPORTED_VERSION_TOLERATED", F.lit("/Message"))),

@@ -76,3 +76,33 @@ def test_windowed_counts(spark):
     rows = spark.createDataFrame([("2024-01-01 00:01:00", PAID), ("2024-01-01 00:02:00", PAID), ("2024-01-01 00:12:00", REJECTED), ("2024-01-01 00:12:00", "bad")], "t string, payload string")
     counts = streaming.disposition_counts(rows.selectExpr("CAST(t AS TIMESTAMP) AS t", "payload"), "t")
     assert sorted((r.start.minute, r.disposition, r.n) for r in counts.collect()) == [(0, "paid", 2), (10, "rejected", 1)]
+
+
+def written(spark, stream, path):
+    stream.writeStream.format("parquet").option("path", f"file://{path}/out").option("checkpointLocation", f"file://{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"file://{path}/out").collect()
+
+
+def test_windowed_counts_of_a_stream_leave_the_state_with_the_watermark(spark, tmp_path):
+    schema = "t timestamp, payload string"
+    for n, rows in enumerate([[("2024-01-01 00:01:00", PAID), ("2024-01-01 00:02:00", PAID)], [("2024-01-01 02:00:00", PAID)], [("2024-01-01 05:00:00", PAID)]]):
+        spark.createDataFrame(rows, "t string, payload string").selectExpr("CAST(t AS TIMESTAMP) AS t", "payload").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    counts = streaming.disposition_counts(stream, "t")
+    assert counts.isStreaming
+    found = written(spark, counts, tmp_path)
+    assert ("paid", 2) in {(r.disposition, r.n) for r in found} and all(r.n <= 2 for r in found)
+
+
+def test_streams_of_requests_and_responses_meet(spark, tmp_path):
+    message = lambda head, kind: f'<Message version="2017071"><Header>{head}</Header><Body><{kind}/></Body></Message>'
+    request = lambda n: message(f"<MessageID>M{n}</MessageID>", "RxRenewalRequest")
+    answer = lambda n, to: message(f"<MessageID>A{n}</MessageID><RelatesToMessageID>M{to}</RelatesToMessageID>", "RxRenewalResponse")
+    for side, rows in (
+        ("requests", [(1, "2024-01-01 00:00:00", request(1)), (2, "2024-01-01 00:05:00", request(2)), (3, "2024-01-01 00:06:00", request(3))]),
+        ("responses", [(11, "2024-01-01 00:10:00", answer(11, 1)), (12, "2024-01-01 02:00:00", answer(12, 2)), (13, "2024-01-01 00:01:00", answer(13, 3)), (14, "2024-01-01 00:30:00", answer(14, 9))]),
+    ):
+        spark.createDataFrame(rows, "id long, t string, payload string").selectExpr("id", "CAST(t AS TIMESTAMP) AS t", "payload").write.parquet(f"file://{tmp_path}/{side}")
+    read = lambda side: spark.readStream.schema("id long, t timestamp, payload string").parquet(f"file://{tmp_path}/{side}")
+    joined = streaming.correlate_streams(read("responses"), read("requests"), "id", "t")
+    assert {(r.response_id, r.request_id) for r in written(spark, joined, tmp_path)} == {(11, 1)}
