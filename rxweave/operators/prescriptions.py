@@ -187,7 +187,7 @@ def _medication(df: DataFrame, parent: str, path: Column, to: str) -> DataFrame:
     )
 
 
-def parse_scripts(raw: DataFrame, payload: str = "payload", *, mode: str = "PERMISSIVE", keep: Sequence[str] | None = None) -> DataFrame:
+def parse_scripts(raw: DataFrame, payload: str = "payload", *, mode: str = "PERMISSIVE", keep: Sequence[str] | None = None, only: Sequence[str] | None = None) -> DataFrame:
     """Read each message: the ``keep`` columns (default: all but the payload) and version, header, kind, transaction, patient, pharmacy,
     prescriber, medication, requestReferenceNumber, outcome, reason, response, disposition, correlatesTo, warnings, fatal.
 
@@ -195,7 +195,8 @@ def parse_scripts(raw: DataFrame, payload: str = "payload", *, mode: str = "PERM
     named only if it is in the fixed list). A denial wins over an approval beside it, an error over a status; no outcome is
     ``unknown``. The gates come first: blank, a document type or entity declaration anywhere in the text, XML that isn't well
     formed, another root, a legacy version. ``fatal`` (code, message, path) is set there and the rest is null. Modes as for
-    claims. A null payload counts as empty.
+    claims. A null payload counts as empty. ``only`` names the results that are wanted (``fatal`` always is), and no others are
+    worked out.
     """
     kept = [c for c in raw.columns if c != payload] if keep is None else list(keep)
     text = F.coalesce(F.col(payload).cast("string"), F.lit(""))
@@ -255,6 +256,10 @@ def parse_scripts(raw: DataFrame, payload: str = "payload", *, mode: str = "PERM
     )
     fine = F.col("fatal").isNull()
     results = ("version", "header", "kind", "transaction", "patient", "pharmacy", "prescriber", "medication", "requestReferenceNumber", "outcome", "reason", "response", "disposition", "correlatesTo", "warnings")
+    if only is not None:
+        if unknown := set(only) - {*results, "fatal"}:
+            raise ValueError(f"no such results: {sorted(unknown)}")
+        results = tuple(r for r in results if r in only)
     done = step.select(*[F.col("_rest")[c].alias(c) for c in kept], *[F.when(fine, F.col(c)).alias(c) for c in results], "fatal")
     done = settled(done, [*results, "fatal"])
     if mode == "DROPMALFORMED":

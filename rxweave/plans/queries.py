@@ -366,8 +366,8 @@ def c01(spark, sf_dir):
 # -- e-prescribing
 
 
-def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.parse_scripts(script_messages(spark, sf_dir).select("k", "payload"))
+def scripts(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    return P.parse_scripts(script_messages(spark, sf_dir).select("k", "payload"), only=only or None)
 
 
 _KINDS = "CASE sort WHEN 0 THEN 'NewRx' WHEN 1 THEN 'RxRenewalRequest' WHEN 2 THEN 'RxChangeRequest' WHEN 3 THEN 'CancelRx' WHEN 4 THEN 'RxRenewalResponse' WHEN 5 THEN 'RxChangeResponse' WHEN 6 THEN 'CancelRxResponse' WHEN 7 THEN 'Status' WHEN 8 THEN 'Error' WHEN 9 THEN 'Verify' WHEN 12 THEN 'NewRx' WHEN 13 THEN NULL ELSE 'unsupported' END"
@@ -381,7 +381,7 @@ _MED = "sort IN (0, 1, 2, 12) OR (sort = 4 AND shape = 2)"
     CASE sort WHEN 7 THEN 'success' WHEN 8 THEN 'error' WHEN 9 THEN 'verify' END AS disposition FROM o""",
 )
 def s03(spark, sf_dir):
-    return scripts(spark, sf_dir).select("k", "kind", F.col("fatal.code").alias("fatal"), "version", F.col("header.to").alias("to_id"), F.col("header.from").alias("from_id"), F.col("correlatesTo").alias("relates_to"), "transaction", "disposition")
+    return scripts(spark, sf_dir, "kind", "version", "header", "correlatesTo", "transaction", "disposition").select("k", "kind", F.col("fatal.code").alias("fatal"), "version", F.col("header.to").alias("to_id"), F.col("header.from").alias("from_id"), F.col("correlatesTo").alias("relates_to"), "transaction", "disposition")
 
 
 @query(
@@ -390,7 +390,7 @@ def s03(spark, sf_dir):
 )
 def s05(spark, sf_dir):
     h = lambda n, to: F.col(f"header.{n}").alias(to)
-    return scripts(spark, sf_dir).where("kind IS NOT NULL").select("k", h("messageId", "message"), h("sentTime", "sent"), h("prescriberOrderNumber", "order_number"))
+    return scripts(spark, sf_dir, "kind", "header").where("kind IS NOT NULL").select("k", h("messageId", "message"), h("sentTime", "sent"), h("prescriberOrderNumber", "order_number"))
 
 
 @query(
@@ -407,7 +407,7 @@ def s05(spark, sf_dir):
 )
 def s38(spark, sf_dir):
     m = lambda n, to: F.col(f"medication.{n}").alias(to)
-    found = scripts(spark, sf_dir).where("fatal IS NULL")
+    found = scripts(spark, sf_dir, "kind", "patient", "pharmacy", "prescriber", "medication").where("fatal IS NULL")
     return found.select(
         "k", "kind", F.col("patient.name.lastName").alias("last_name"), F.col("patient.gender").alias("gender"), F.col("patient.dateOfBirth").alias("born"), F.col("pharmacy.businessName").alias("store"), F.col("prescriber.identification.npi").alias("npi"),
         m("description", "drug"), m("coded.productCode.system", "product_system"), m("coded.drugDbCode.system", "db_system"), m("strength.form", "form"), m("quantity.value.source", "quantity"), m("quantity.value.isValid", "quantity_valid"),
@@ -425,13 +425,13 @@ def s38(spark, sf_dir):
       WHEN 5 THEN CASE WHEN shape % 2 = 0 THEN 'validated' ELSE 'replace' END ELSE 'denied' END AS outcome FROM o WHERE sort IN (4, 5, 6))""",
 )
 def s47(spark, sf_dir):
-    found = P.of_kind(scripts(spark, sf_dir), *codes.LIFECYCLE_RESPONSES)
+    found = P.of_kind(scripts(spark, sf_dir, "kind", "outcome", "reason", "requestReferenceNumber"), *codes.LIFECYCLE_RESPONSES)
     return found.select("k", "kind", "outcome", S.approval(F.col("outcome")).alias("approval"), F.col("reason.denialReason").alias("denial"), F.col("reason.code").alias("code"), F.col("reason.note").alias("note"), F.col("requestReferenceNumber").alias("reference"))
 
 
 @query("s46_answers", "SELECT k, CASE sort WHEN 7 THEN 'Status' WHEN 8 THEN 'Error' ELSE 'Verify' END AS kind, CASE sort WHEN 7 THEN '000' WHEN 8 THEN '600' END AS code, CASE sort WHEN 8 THEN '10' END AS description_code, CASE sort WHEN 7 THEN 'fine' END AS description FROM o WHERE sort IN (7, 8, 9)")
 def s46(spark, sf_dir):
-    found = P.of_kind(scripts(spark, sf_dir), *codes.RESPONSE_KINDS)
+    found = P.of_kind(scripts(spark, sf_dir, "kind", "response"), *codes.RESPONSE_KINDS)
     return found.select("k", "kind", F.col("response.code").alias("code"), F.col("response.descriptionCode").alias("description_code"), F.col("response.description").alias("description"))
 
 
@@ -442,7 +442,7 @@ def s46(spark, sf_dir):
 )
 def s49(spark, sf_dir):
     s = lambda n, to: F.col(f"medication.sig.{n}").alias(to)
-    found = scripts(spark, sf_dir).where("medication.sig IS NOT NULL")
+    found = scripts(spark, sf_dir, "medication").where("medication.sig IS NOT NULL")
     return found.select("k", s("sigText", "sig_text"), s("hasStructuredData", "structured"), s("dose.provenance", "dose"), s("route.provenance", "route"), s("route.code.value", "route_code"), s("route.code.system", "route_system"), s("route.text", "route_text"))
 
 
@@ -455,7 +455,7 @@ def s49(spark, sf_dir):
 def s49_components(spark, sf_dir):
     """All ten components of structured directions, a row each."""
     one = lambda n: F.struct(F.lit(n).alias("component"), *[F.col(f"medication.sig.{n}.{c}").alias(a) for c, a in (("provenance", "provenance"), ("text", "text"), ("code.value", "code"), ("code.system", "system"))])
-    found = scripts(spark, sf_dir).where("medication.sig IS NOT NULL")
+    found = scripts(spark, sf_dir, "medication").where("medication.sig IS NOT NULL")
     return found.select("k", F.inline(F.array(*map(one, codes.SIG_COMPONENTS))))
 
 
@@ -472,7 +472,7 @@ _MEDPATH = f"({_TX} || CASE WHEN sort = 4 THEN '/Response/ApprovedWithChanges' E
     UNION ALL SELECT k, 'MISSING_REQUIRED_ELEMENT', {_TX} FROM o WHERE sort = 9 UNION ALL SELECT k, 'UNSUPPORTED_TRANSACTION', '/Message/Body' FROM o WHERE sort IN (10, 11))""",
 )
 def s20(spark, sf_dir):
-    return scripts(spark, sf_dir).select("k", F.explode("warnings").alias("w")).select("k", F.col("w.code"), F.col("w.path"))
+    return scripts(spark, sf_dir, "warnings").select("k", F.explode("warnings").alias("w")).select("k", F.col("w.code"), F.col("w.path"))
 
 
 @query("s30_nodes", "SELECT name, n FROM (SELECT 'Message' AS name, count(*) AS n FROM o WHERE sort < 13 UNION ALL SELECT 'Header', count(*) FROM o WHERE sort < 13 UNION ALL SELECT 'RelatesToMessageID', count(*) FROM o WHERE sort >= 4 AND sort < 10 UNION ALL SELECT 'RxFill', count(*) FROM o WHERE sort = 10) WHERE n > 0")
@@ -483,7 +483,7 @@ def s30(spark, sf_dir):
 
 @query("s37_correlation", "SELECT a.k AS response_id, b.k AS request_id FROM o a JOIN o b ON b.k = a.k - 3 WHERE a.sort IN (4, 5, 6) AND b.sort IN (1, 2, 3)")
 def s37(spark, sf_dir):
-    found = scripts(spark, sf_dir)
+    found = scripts(spark, sf_dir, "kind", "header", "correlatesTo")
     return P.correlate(P.of_kind(found, *codes.LIFECYCLE_RESPONSES), P.of_kind(found, *codes.LIFECYCLE_REQUESTS), "k")
 
 
@@ -524,7 +524,7 @@ def s01(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
     plain = F.regexp_replace("html", "(?i)<!DOCTYPE[^>]*>", "")
     payload = F.when(F.col("page_id") % 3 == 1, plain).when((F.col("page_id") % 3 == 2) & (F.trim("html") != ""), F.concat(plain, F.lit("<p class='"))).otherwise(F.col("html"))
-    return P.parse_scripts(pages.select(payload.alias("payload"))).groupBy(F.col("fatal.code").alias("fatal"), F.col("fatal.path").alias("path")).agg(F.count("*").alias("n"))
+    return P.parse_scripts(pages.select(payload.alias("payload")), only=()).groupBy(F.col("fatal.code").alias("fatal"), F.col("fatal.path").alias("path")).agg(F.count("*").alias("n"))
 
 
 @query(
