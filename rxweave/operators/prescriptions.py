@@ -37,8 +37,16 @@ def _found(el: str, step: str) -> str:
     return f"get({NODES}, try_element_at({INDEX}, concat(CAST({el}.id AS STRING), {sql_text(step)})))"
 
 
-def _trimmed(text: str) -> Column:
-    return F.expr(f"nullif(btrim({text}, {sql_text(BLANKS)}), '')")
+def _trimmed(text: str) -> str:
+    return f"nullif(btrim({text}, {sql_text(BLANKS)}), '')"
+
+
+def _child_text(el: str, name: str) -> str:
+    return _trimmed(_found(el, f"/{name}") + ".text")
+
+
+def _attribute(el: str, name: str) -> str:
+    return f"try_element_at({el}.attrs, {sql_text(name)})"
 
 
 def first_child(el: str, name: str) -> Column:
@@ -58,16 +66,16 @@ def first_named(el: str, names: Sequence[str]) -> Column:
 
 
 def own_text(el: str) -> Column:
-    return _trimmed(f"{el}.text")
+    return F.expr(_trimmed(f"{el}.text"))
 
 
 def child_text(el: str, name: str) -> Column:
     """Trimmed text of the first child of the name; blank is absent, and a second child isn't tried."""
-    return _trimmed(_found(el, f"/{name}") + ".text")
+    return F.expr(_child_text(el, name))
 
 
 def attribute(el: str, name: str) -> Column:
-    return F.expr(f"try_element_at({el}.attrs, {sql_text(name)})")
+    return F.expr(_attribute(el, name))
 
 
 def _present(**members: Column) -> Column:
@@ -136,11 +144,15 @@ SIG_FIELD = "struct<provenance:string,text:string,code:struct<value:string,quali
 
 
 def _sig_field(el: str) -> Column:
-    code = child_text(el, "Code")
-    text = F.coalesce(child_text(el, "Text"), own_text(el))
-    qualifier = F.coalesce(child_text(el, "Qualifier"), child_text(el, "CodeSystem"), attribute(el, "Qualifier"), attribute(el, "CodeSystem"), F.lit(""))
-    provenance = F.when(code.isNotNull(), "coded").when(text.isNotNull(), "derived").otherwise("absent")
-    return F.struct(provenance.alias("provenance"), text.alias("text"), F.when(code.isNotNull(), coded_value(code, qualifier)).alias("code")).cast(SIG_FIELD)
+    code, text = _child_text(el, "Code"), f"coalesce({_child_text(el, 'Text')}, {_trimmed(el + '.text')})"
+    qualifier = "coalesce(" + ", ".join([*(_child_text(el, n) for n in ("Qualifier", "CodeSystem")), *(_attribute(el, n) for n in ("Qualifier", "CodeSystem")), "''"]) + ")"
+    given = F.expr(f"named_struct('code', {code}, 'text', {text}, 'qualifier', {qualifier})")
+
+    def build(x: Column) -> Column:
+        provenance = F.when(x["code"].isNotNull(), "coded").when(x["text"].isNotNull(), "derived").otherwise("absent")
+        return F.struct(provenance.alias("provenance"), x["text"].alias("text"), coded_value(x["code"], x["qualifier"]).alias("code")).cast(SIG_FIELD)
+
+    return let(given, build)
 
 
 def _medication(df: DataFrame, parent: str, path: Column, to: str) -> DataFrame:
