@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxweave.llm.common import stored
+from rxweave.llm.common import drop_stored, small, stored
 
 #: A line of more words than this is a chunk of its own.
 LONG_WORDS = 50
@@ -41,7 +41,7 @@ def rolling(first: np.ndarray, last: np.ndarray, lines: np.ndarray) -> np.ndarra
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh64_intdigest
-    for batch in batches:
+    for batch in small(batches):
         rows, at, first, last = [], [], [], []
         for row, t in enumerate(batch.column(2).to_pylist()):
             lines = t.split(b"\n")
@@ -61,7 +61,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of a text's repeated chunks."""
     kind = pa.schema([("hash", pa.int64()), ("key", pa.int64()), ("th", pa.int64()), ("from", pa.int32()), ("to", pa.int32()), ("first", pa.bool_()), ("deals", pa.int32()), ("chunk", pa.binary())])
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for k, t, th, marks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             lines = t.split(b"\n")
@@ -95,20 +95,23 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kee
     repeated = stored(counted.select("hash", "low", (1 + F.floor(F.col("n") / DEAL)).cast("int").alias("deals")), "line-repeated")
     marked = chunks.join(repeated, "hash").withColumn("first", place == F.col("low"))
     marks = stored(marked.groupBy("key", "th").agg(F.collect_set(F.struct("from", "to", "hash", "first", "deals")).alias("marks")), "line-marks")
+    drop_stored(chunks, repeated)
     same = hashed["key"].eqNullSafe(F.col("mkey")) & (hashed["th"] == F.col("mth"))
     named = marks.withColumnsRenamed({"key": "mkey", "th": "mth"})
     found = hashed.select("key", "text", "th").join(named.hint("merge"), same).select("key", "text", "th", "marks")
     found = stored(found.mapInArrow(_places, "hash long, key long, th long, from int, to int, first boolean, deals int, chunk binary"), "line-places")
+    drop_stored(marks)
     once = found.where("first").groupBy("hash").agg(F.first(F.struct(F.col("chunk").alias("c"), F.col("key").alias("k"), F.col("th").alias("t"), F.col("to").alias("e"), "deals")).alias("f"))
     firsts = once.select("hash", "f", F.explode(F.sequence(F.lit(0), F.col("f.deals") - 1)).alias("deal"))
     others = found.where("not first").withColumn("deal", F.pmod(F.xxhash64("key", "th", "from"), F.col("deals")).cast("int"))
     overlapping = F.col("key").eqNullSafe(F.col("f.k")) & (F.col("th") == F.col("f.t")) & (F.col("from") < F.col("f.e"))
     pairs = others.join(firsts, ["hash", "deal"]).where((F.col("chunk") == F.col("f.c")) & ~overlapping)
     cuts = stored(pairs.groupBy("key", "th").agg(F.collect_set(F.struct("from", "to")).alias("cuts")), "line-cuts").withColumnsRenamed({"key": "mkey", "th": "mth"})
+    drop_stored(found)
     final = hashed.join(cuts.hint("merge"), same, "left").select("key", "text", "cuts", "rest")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, counts, gone, spans = [], [], [], []
             for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines = [] if t is None else t.split(b"\n")
