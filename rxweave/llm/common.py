@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Words whose hashes or ids one worker keeps.
+CACHE_WORDS = 100_000
+
+
 class Hashes(dict):
     """XXH64 of a word (bytes), kept while the worker lives and emptied at a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > CACHE_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
