@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rxweave.llm.common import stored
+from rxweave.llm.common import CACHE_WORDS, drop_stored, small, stored
 
 #: Words fall into this many cells; a word vector has this many dimensions.
 CELLS, DIMS = 1 << 13, 32
 #: A word's context is this many words on either side.
 REACH = 2
+#: Words that one task adds up at once.
+CHUNK = 1 << 17
 #: Labelled documents that the network is fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 12_000
 #: Network: hidden units, epochs, batch; parts of ten that calibrate the temperature.
@@ -31,7 +33,7 @@ class Cells(dict):
     """Cell of a word, kept while the worker lives and emptied at a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > CACHE_WORDS:
             self.clear()
         cell = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % CELLS
         return cell
@@ -48,70 +50,77 @@ def index_vectors() -> np.ndarray:
 
 def cells_of(text: str | None, cells: Cells) -> np.ndarray:
     words = _WORD.findall(text or "")
-    return np.fromiter((cells[w] for w in words), np.int64, len(words))
+    return np.fromiter(map(cells.__getitem__, words), np.uint16, len(words))
 
 
-def word_vectors(docs: DataFrame, *, text: str = "text") -> np.ndarray:
+def tokenized(docs: DataFrame, *, key: str, text: str) -> DataFrame:
+    """(key, cells): the cells of a whole text's words, two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = Cells()
+        for batch in small(batches):
+            found = pa.array([cells_of(t, cells).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["key", "cells"])
+
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, cells binary")
+
+
+def word_vectors(tokens: DataFrame) -> np.ndarray:
     """Context vectors from all documents: the sum of the index vectors of a word's neighbours, over all its places.
 
-    Each task adds up its own rows; Spark sums the tasks' integers by cell, so the result doesn't depend on order. What
-    reaches the driver has a fixed size: a row for each cell.
+    Each task adds up its own rows, many texts laid end to end at once; Spark sums the tasks' integers by cell, so the result
+    doesn't depend on order. What reaches the driver has a fixed size: a row for each cell.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, cells = index_vectors().astype(np.float64), Cells()
-        total = np.zeros((CELLS, DIMS))
-        seen = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                all_words = cells_of(t, cells)
-                for low in range(0, len(all_words), 1 << 16):  # with its neighbours, so no place is lost
-                    a = max(0, low - REACH)
-                    words = all_words[a : low + (1 << 16) + REACH]
-                    own = slice(low - a, low - a + min(1 << 16, len(all_words) - low))
-                    near = index[words]
-                    around = np.zeros_like(near)
-                    for d in range(1, REACH + 1):
-                        around[d:] += near[:-d]
-                        around[:-d] += near[d:]
-                    mine, around = words[own], around[own]
-                    order = np.argsort(mine, kind="stable")
-                    mine = mine[order]
-                    first = np.flatnonzero(np.diff(mine, prepend=-1))
-                    total[mine[first]] += np.add.reduceat(around[order], first, axis=0)
-                    seen += np.bincount(mine, minlength=CELLS)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at]), *[pa.array(total[at, d].astype(np.int64)) for d in range(DIMS)]], names=["cell", "n", *[f"d{d}" for d in range(DIMS)]])
+        index = np.vstack([index_vectors().astype(np.int8), np.zeros((1, DIMS), np.int8)])  # the last one stands between texts
+        total, seen = np.zeros((CELLS + 1, DIMS), np.int64), np.zeros(CELLS + 1, np.int64)
+        gap = np.full(REACH, CELLS, np.uint16)
+
+        def add(laid: np.ndarray) -> None:
+            for low in range(REACH, len(laid) - REACH, CHUNK):
+                words = laid[low - REACH : min(len(laid), low + CHUNK + REACH)]  # with their neighbours, so no place is lost
+                near, n = index[words], len(words) - 2 * REACH
+                around = sum(near[REACH + d : REACH + d + n] for d in range(-REACH, REACH + 1) if d)
+                mine = words[REACH : REACH + n]
+                order = np.argsort(mine, kind="stable")
+                mine = mine[order]
+                first = np.flatnonzero(np.diff(mine.astype(np.int32), prepend=-1))
+                total[mine[first]] += np.add.reduceat(around[order], first, axis=0, dtype=np.int64)
+                seen[:] += np.bincount(mine, minlength=CELLS + 1)
+
+        for batch in small(batches):
+            held, size = [gap], 0
+            for b in batch.column(0).to_pylist():
+                held += [np.frombuffer(b, "<u2"), gap]
+                size += len(b) // 2
+                if size > CHUNK:
+                    add(np.concatenate(held))
+                    held, size = [gap], 0
+            add(np.concatenate(held))
+        at = np.flatnonzero(seen[:CELLS])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at]), *[pa.array(total[at, d]) for d in range(DIMS)]], names=["cell", "n", *[f"d{d}" for d in range(DIMS)]])
 
     columns = [f"d{d}" for d in range(DIMS)]
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(run, "cell int, n long, " + ", ".join(f"{c} long" for c in columns))
+    parts = tokens.select("cells").mapInArrow(run, "cell int, n long, " + ", ".join(f"{c} long" for c in columns))
     sums = parts.groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in columns]).toPandas()
     out = np.zeros((CELLS, DIMS))
     out[sums["cell"].to_numpy(int)] = sums[columns].to_numpy(float) / sums[["n"]].to_numpy(float)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray, *, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, features, rest): the mean and the spread of a document's word vectors, and a few moments of its words."""
-    shared = docs.sparkSession.sparkContext.broadcast(vectors.astype(np.float32))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, table = Cells(), shared.value
-        for batch in batches:
-            rows = np.zeros((batch.num_rows, 2 * DIMS + 4), np.float32)
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                words = cells_of(t, cells)
-                if len(words):
-                    found, n = np.unique(words, return_counts=True)
-                    share, v = (n / len(words)).astype(np.float32), table[found]
-                    mean = share @ v
-                    rows[i, :DIMS], rows[i, DIMS : 2 * DIMS] = mean, share @ (v - mean) ** 2
-                    rows[i, 2 * DIMS :] = np.log1p(len(words)) / 10, len(found) / len(words), share.max(), np.mean(words[1:] == words[:-1]) if len(words) > 1 else 0
-            features = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), features, batch.column(2)], names=["key", "features", "rest"])
-
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("rest"))
-    return rows.mapInArrow(run, "key long, features array<float>, rest " + rows.schema["rest"].dataType.simpleString())
+def features_of(texts: list[bytes], table: np.ndarray) -> np.ndarray:
+    """A row for each text's cells: the mean and the spread of its word vectors, and a few moments of its words."""
+    rows = np.zeros((len(texts), 2 * DIMS + 4), np.float32)
+    for i, b in enumerate(texts):
+        words = np.frombuffer(b, "<u2")
+        if len(words):
+            found, n = np.unique(words, return_counts=True)
+            share, v = (n / len(words)).astype(np.float32), table[found]
+            mean = share @ v
+            rows[i, :DIMS], rows[i, DIMS : 2 * DIMS] = mean, share @ (v - mean) ** 2
+            rows[i, 2 * DIMS :] = np.log1p(len(words)) / 10, len(found) / len(words), share.max(), np.mean(words[1:] == words[:-1]) if len(words) > 1 else 0
+    return rows
 
 
 @dataclass
@@ -171,24 +180,38 @@ def fit_network(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
 def score_quality(docs: DataFrame, labels: DataFrame, training: Column, *, key: str = "doc_id", text: str = "text", label: str = "quality", train_rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Score every whole text: key, score (probability of label 1, calibrated), and the ``keep`` columns.
 
-    Word vectors come from all documents. The network is fitted on the labelled rows that ``training`` (a condition on
+    Words share CELLS hashed cells, so a word's vector is its cell's. The vectors come from all documents. The network is fitted on the labelled rows that ``training`` (a condition on
     ``key``) marks, at most ``train_rows`` of those that are in ``docs``, taken by the smallest hash of the key; a key with several labels
     counts as its largest. Null and empty texts have zero features and a score; null keys are scored and never
-    learned from; repeated rows are kept; without labels every score is one half; other columns are ignored.
+    learned from; repeated rows are kept (of a repeated key the least features are learned from); without labels every score is one half; other columns are ignored.
     """
-    vectors = word_vectors(docs, text=text)
-    features = stored(pooled(docs, vectors, key=key, text=text, keep=keep), "quality-features")
+    spark = docs.sparkSession
+    tokens = stored(tokenized(docs, key=key, text=text), "quality-tokens")
+    table = spark.sparkContext.broadcast(word_vectors(tokens).astype(np.float32))
     marks = labels.select(F.col(key).cast("long").alias(key), F.col(label).cast("int").alias("y")).where(F.col(key).isNotNull() & F.col("y").isNotNull() & training)
-    marks = marks.groupBy(F.col(key).alias("key")).agg(F.max("y").alias("y")).join(features.select("key"), "key", "left_semi").withColumn("h", F.xxhash64("key")).orderBy("h", "key").limit(train_rows)
-    sample = features.drop("rest").join(marks, "key").groupBy("key").agg(F.first("features").alias("features"), F.first("y").alias("y"), F.first("h").alias("h")).toPandas()
-    sample = sample.sort_values(["h", "key"])
+    marks = marks.groupBy(F.col(key).alias("key")).agg(F.max("y").alias("y")).join(tokens.select("key"), "key", "left_semi").withColumn("h", F.xxhash64("key")).orderBy("h", "key").limit(train_rows)  # a few numbers a row
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            rows = features_of(batch.column(3).to_pylist(), table.value)
+            features = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], features], names=["key", "y", "h", "features"])
+
+    sample = tokens.select("key", "cells").join(F.broadcast(marks), "key").select("key", "y", "h", "cells").mapInArrow(pooled, "key long, y int, h long, features array<float>")
+    sample = sample.groupBy("h", "key", "y").agg(F.min("features").alias("features")).toPandas().sort_values(["h", "key"])
+    drop_stored(tokens)
     x = np.array(sample["features"].tolist(), float).reshape(len(sample), 2 * DIMS + 4)
-    net = docs.sparkSession.sparkContext.broadcast(fit_network(x, (sample["y"].to_numpy() >= 1).astype(float)))
+    net = spark.sparkContext.broadcast(fit_network(x, (sample["y"].to_numpy() >= 1).astype(float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).values.to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 2 * DIMS + 4))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.value.probability(x)), batch.column(2)], names=["key", "score", "rest"])
-
-    scored = features.mapInArrow(run, "key long, score double, rest " + features.schema["rest"].dataType.simpleString())
-    return scored.select(F.col("key").alias(key), "score", *[F.col("rest")[c].alias(c) for c in keep])
+        cells = Cells()
+        for batch in small(batches):
+            x = features_of([cells_of(t, cells).tobytes() for t in batch.column(1).to_pylist()], table.value).astype(float)
+            texts = batch.columns[1:2] if text in keep else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.value.probability(x)), batch.column(2), *texts], names=["key", "score", "rest", "text"][: 3 + len(texts)])
+
+    others = [c for c in keep if c != text]  # a kept text goes through once
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *others).alias("rest"))
+    kind = "key long, score double, rest " + rows.schema["rest"].dataType.simpleString() + (", text string" if text in keep else "")
+    scored = rows.mapInArrow(run, kind)
+    return scored.select(F.col("key").alias(key), "score", *[(F.col("text") if c == text else F.col("rest")[c]).alias(c) for c in keep])
