@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rxweave.llm.common import components, stored
+from rxweave.llm.common import Hashes, components, drop_stored, small, stored
 
 #: Four segments of 16 bits. At two differing bits the proportional budgets of a chain of one to four segments are
 #: 0, 1, 1 and 2 bits.
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, size: int = 3, *, key: str = "doc_id", text: s
     """(key, fp): the signed 64-bit fingerprint of every whole text. A-Z are lower-cased; words lie between white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = np.array([fingerprint_of((t or b"").lower().split(), size) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found.astype(np.uint64).view(np.int64))], names=["key", "fp"])
 
@@ -106,27 +106,41 @@ def near_duplicates(docs: DataFrame, size: int = 3, *, key: str = "doc_id", text
 BOXES, SAMPLE, BUDGET = 20, 3, 16
 
 
-def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
-    """Distinct XXH64 hashes (seed 42) of the shingles, sorted; no words: none."""
+def shingle_hashes(text: bytes | None, size: int, known: Hashes) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, sorted: the words' XXH64, each times an odd factor of its place, summed and mixed.
+    Fewer words are one shingle; no words: none."""
+    words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    n = max(1, len(words) - size + 1)
-    return np.unique(np.fromiter((digest(join(words[i : i + size]), seed=42) for i in range(n)), np.uint64, n))
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    size = min(size, len(words))
+    n = len(words) - size + 1
+    out = np.full(n, np.uint64(size))
+    for i in range(size):
+        out += hashes[i : i + n] * np.uint64(2 * xxhash.xxh32_intdigest(f"place{i}") * 0x9E3779B9 & 0xFFFFFFFFFFFFFFFF | 1)
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return np.unique(out)
+
 
+#: What the boxes' permutations flip and multiply by.
+_FLIPS = np.array([[xxhash.xxh64_intdigest(f"flip{b}")] for b in range(BOXES)], np.uint64)
+_FACTORS = np.array([[xxhash.xxh64_intdigest(f"box{b}") | 1] for b in range(BOXES)], np.uint64)
 
-def boxes_of(hashes: np.ndarray, boxes: int = BOXES, sample: int = SAMPLE) -> list[int]:
+
+def boxes_of(hashes: np.ndarray, sample: int = SAMPLE) -> np.ndarray:
     """A SimHash for each box, voted by the shingles that are least under the box's permutation."""
-    if not len(hashes):
-        return [0] * boxes
-    out = []
-    for b in range(boxes):
-        mixed = (hashes ^ np.uint64(xxhash.xxh64_intdigest(f"flip{b}"))) * np.uint64(xxhash.xxh64_intdigest(f"box{b}") | 1)
-        mixed ^= mixed >> np.uint64(32)
-        k = min(sample, len(mixed))
-        votes = hashes[np.argpartition(mixed, k - 1)[:k]]
-        bits = np.unpackbits(votes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
-        out.append(int(np.packbits(bits * 2 > k, bitorder="little").view("<i8")[0]))
+    out = np.zeros(BOXES, np.int64)
+    if len(hashes):
+        k = min(sample, len(hashes))
+        step = max(1, min(BOXES, (1 << 20) // len(hashes)))  # boxes at once, so a long text needs no more memory
+        for low in range(0, BOXES, step):
+            mixed = (hashes ^ _FLIPS[low : low + step]) * _FACTORS[low : low + step]
+            mixed ^= mixed >> np.uint64(32)
+            votes = hashes[np.argpartition(mixed, k - 1, axis=1)[:, :k]]
+            bits = np.unpackbits(votes.astype("<u8").view(np.uint8).reshape(-1, k, 8), axis=2, bitorder="little").sum(axis=1)
+            out[low : low + step] = np.packbits(bits * 2 > k, axis=1, bitorder="little").view("<i8").ravel()
     return out
 
 
@@ -148,8 +162,8 @@ def ring_holds(differ: np.ndarray, budget: int | np.ndarray) -> np.ndarray:
     return held.any(axis=1)
 
 
-#: Cells of the table of shingle frequencies, rows that it is counted on, and nodes in a block of a large group.
-CELLS_LOG, COUNTED_ROWS, GROUP_BLOCK = 22, 65_536, 512
+#: Cells of the table of shingle frequencies, the count from which a task reports a cell, and nodes in a block of a large group.
+CELLS_LOG, REPORTED, GROUP_BLOCK = 22, 4, 512
 
 
 def toggles_of(hashes: np.ndarray, boxes: int = BOXES) -> list[int]:
@@ -168,21 +182,21 @@ def prefix_of(hashes: np.ndarray, levels: np.ndarray, similarity: float) -> np.n
 
 
 def _levels(rows: DataFrame, size: int) -> np.ndarray:
-    """A level (log2 of a count) for each cell of shingle hashes, counted on some rows: it only orders shingles."""
-    some = rows.where(F.pmod(F.xxhash64("key", "node"), F.lit(1 + rows.count() // COUNTED_ROWS)) == 0).select("text")
+    """A level (log2 of a count over all rows) for each cell of shingle hashes. It only orders shingles, so that the common ones
+    come last: cells that a task has met less than REPORTED times may be left out of its count without a loss."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELLS_LOG, np.int32)
-        for batch in batches:
+        counts, known = np.zeros(1 << CELLS_LOG, np.int32), Hashes()
+        for batch in small(batches):
             for t in batch.column(0).to_pylist():
-                counts[(shingle_hashes(t.lower().split(), size) >> np.uint64(64 - CELLS_LOG)).astype(np.int64)] += 1
-        cells = np.flatnonzero(counts)
+                counts[(shingle_hashes(t, size, known) >> np.uint64(64 - CELLS_LOG)).astype(np.int64)] += 1
+        cells = np.flatnonzero(counts >= REPORTED)
         for low in range(0, len(cells), 100_000):
             part = cells[low : low + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["cell", "n"])
 
-    cells = some.mapInArrow(run, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 7")
-    found = cells.select("cell", F.log2("n").cast("int").alias("level")).toArrow()
+    cells = rows.select("text").mapInArrow(run, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 7")
+    found = cells.select("cell", F.log2("n").cast("int").alias("level")).toArrow()  # at most a row for each cell
     levels = np.zeros(1 << CELLS_LOG, np.uint8)
     levels[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return levels
@@ -212,9 +226,10 @@ def _rest(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
         & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= both * (similarity / (1 + similarity)) - 1e-6)
     )
     pairs = stored(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "similar-rest")
+    drop_stored(member)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows:
                 x, y = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, BOXES) for i in (2, 3))
                 differ = np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64)
@@ -225,18 +240,21 @@ def _rest(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     left = nodes.select(F.col("node").alias("a"), F.col("toggles").alias("x"), F.col("size").alias("m"))
     right = nodes.select(F.col("node").alias("b"), F.col("toggles").alias("y"), F.col("size").alias("n"))
     laid = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", (F.col("m") + F.col("n")).alias("both"))
-    return stored(laid.mapInArrow(held, "a long, b long"), "similar-held")
+    found = stored(laid.mapInArrow(held, "a long, b long"), "similar-held")
+    drop_stored(pairs)
+    return found
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, node, component_id): documents linked at a Jaccard similarity of their shingle sets of ``similarity`` or more.
+    """(key, node, component_id, leader): documents linked at a Jaccard similarity of their shingle sets of ``similarity`` or more.
 
     At that similarity one 64-bit SimHash differs in about ten bits, so here a fingerprint is a ring of 20 boxes, each the
     SimHash of a small sample of the shingles, and a box differs or not. Candidates are found by pigeonring: the first box of
     a viable chain is equal, the cumulative differences of the boxes after it stay within the proportional budget, and the
     full count of differing boxes within the budget. The similarity of the rest is then counted exactly.
 
-    Equal texts are one node (the 64-bit hash of the text, returned as ``node``). First, in a group of nodes that share a box,
+    Equal texts are one node (the 64-bit hash of the text, returned as ``node``); ``leader`` is the node of
+    the document that component_id names, or, where all keys are null, the least node. First, in a group of nodes that share a box,
     or a box and the next, each is compared with three members (the least, the greatest and one by hash), which joins most
     of what is similar in few rows. That alone loses links, so all pairs that are still in different components then go
     through an exact path (see ``_rest``): the components are those of all pairs. Words and case as
@@ -246,8 +264,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, *
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).withColumn("node", F.xxhash64("text"))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_hashes(t.lower().split(), size) for t in batch.column(1).to_pylist()]
+        known = Hashes()
+        for batch in small(batches):
+            sets = [shingle_hashes(t, size, known) for t in batch.column(1).to_pylist()]
             found = [[boxes_of(x) for x in sets], [toggles_of(x) for x in sets], [prefix_of(x, levels.value, similarity).view(np.int64) for x in sets]]
             sizes = pa.array([len(x) for x in sets], pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -255,19 +274,20 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, *
             )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([shingle_hashes(t.lower().split(), size).view(np.int64) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))
+        known = Hashes()
+        for batch in small(batches):
+            found = pa.array([shingle_hashes(t, size, known).view(np.int64) for t in batch.column(0).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(1), found], names=["node", "set"])
 
     def viable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows:
                 a, b = (np.array(batch.column(i).to_pylist(), np.int64) for i in (2, 3))
                 ok = pa.array(chain_holds(a, b) & ((a != b).sum(axis=1) <= BUDGET))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 both = len(np.intersect1d(np.array(x, np.int64), np.array(y, np.int64), assume_unique=True))
@@ -280,6 +300,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, *
     prints = stored(rows.mapInArrow(sampled, kind), "similar-prints")
     made = F.first(F.struct("boxes", "toggles", "prefix", "size")).alias("made")
     nodes = stored(prints.groupBy("node").agg(F.min("key").alias("least"), made).select("node", "least", "made.*"), "similar-nodes")
+    keys = stored(prints.select("key", "node"), "similar-keys")
+    drop_stored(prints)
     ring = F.arrays_zip("boxes", F.concat(F.slice("boxes", 2, BOXES - 1), F.slice("boxes", 1, 1)).alias("then"))
     starts = F.flatten(F.transform(ring, lambda x, i: F.array(F.xxhash64(i, x["boxes"]), F.xxhash64(i, x["boxes"], x["then"]))))
     box = nodes.select("node", F.explode(starts).alias("start"))
@@ -290,22 +312,28 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, *
     left = nodes.select(F.col("node").alias("a"), F.col("boxes").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("boxes").alias("y"))
     near = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(viable, "a long, b long"), "similar-viable")
+    drop_stored(pairs)
 
     def linked(near: DataFrame) -> DataFrame:
-        """The pairs whose similarity, counted exactly, is high enough."""
+        """The pairs whose similarity, counted exactly, is high enough (a stored table)."""
         asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b"))).distinct()
         asked = stored(asked.join(nodes.select("node", F.col("least").alias("lkey")), "node").withColumnRenamed("node", "lnode"), "similar-asked")
         chosen = rows.join(asked, (F.col("node") == F.col("lnode")) & F.col("key").eqNullSafe(F.col("lkey"))).select("text", "node")
         found = stored(chosen.mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"]), "similar-sets")
         left, right = found.select(F.col("node").alias("a"), F.col("set").alias("x")), found.select(F.col("node").alias("b"), F.col("set").alias("y"))
-        return near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+        links = stored(near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "similar-alike")
+        drop_stored(near, asked, found)
+        return links
 
-    roots = stored(components(linked(near), "similar-links"), "similar-roots")
+    links = linked(near)
+    roots = stored(components(links, "similar-links"), "similar-roots")
     rest = _rest(nodes, roots, similarity)
     if not rest.isEmpty():
-        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = stored(components(stars.unionByName(linked(rest)), "similar-links"), "similar-roots")
+        roots = stored(components(links.unionByName(linked(rest)), "similar-links"), "similar-roots")
+    drop_stored(links)
     ids = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = stored(ids.join(named, "root").select("node", "component_id"), "similar-components")
-    return prints.select("key", "node").join(by_node, "node").select(F.col("key").alias(key), "node", "component_id")
+    lead = F.min(F.struct(F.col("least").isNull().alias("last"), F.col("least").alias("component_id"), F.col("node").alias("leader"))).alias("lead")
+    named = ids.groupBy("root").agg(lead).select("root", "lead.component_id", "lead.leader")
+    by_node = stored(ids.join(named, "root").select("node", "component_id", "leader"), "similar-components")
+    drop_stored(nodes)
+    return keys.join(by_node, "node").select(F.col("key").alias(key), "node", "component_id", "leader")

@@ -80,3 +80,23 @@ def test_no_long_benchmark_passage_is_left(spark, stages):
 
 def test_the_rest_is_packed_whole(stages):
     check_packing(stages[5].collect(), {r.doc_id: r.text for r in stages[4].collect()}, 2048)
+
+
+def test_odd_rows_pass_through_every_stage(spark):
+    from pyspark.sql import functions as F
+
+    rng = __import__("random").Random(5)
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars between 400 and 2000 and lang = 'en'").orderBy("doc_id").limit(12).collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    other = lambda t: " ".join(rng.sample(t.split(), len(t.split())))
+    rows = [(None, None), (None, ""), (1, None), (2, ""), (3, good[0]), (3, good[0]), (None, good[1]), (None, good[1] + " more"), (None, other(good[2]) + "\n" + item), (4, other(good[3]) + "\n" + item), *enumerate(map(other, good[4:]), 10)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("node", F.lit("x")).withColumn("key", F.lit(1))
+    kept = {}
+    for (name, stage), empty in zip(corpus_pipeline.STAGES, [docs.limit(0)] * 5, strict=True):
+        assert stage(spark, empty, SF).count() == 0
+        kept[name] = stage(spark, docs, SF).collect()
+    lines, near, clean = (kept[n] for n in ("line dedup", "SimHash near-dedup", "benchmark decontamination"))
+    assert len(lines) == len(rows) and sum(r.text is None for r in lines) == 2
+    assert sorted((r.doc_id or 0, r.text or "") for r in near) == sorted([(1, ""), (3, good[0]), (0, next(r.text for r in near if r.doc_id is None and r.text.startswith(good[1]))), *[(k or 0, t) for k, t in rows[8:]]])
+    assert sorted((r.doc_id or 0, r.text or "") for r in clean) == sorted((k or 0, t or "") for k, t in rows if not (t or "").endswith(item))
+    assert len(kept["best-fit packing"]) >= len(rows)
