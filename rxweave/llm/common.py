@@ -26,11 +26,17 @@ class Hashes(dict):
         return h
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: texts are long, and both sides of a worker's pipe hold whole batches.
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's part of the folder that driver and executors share (``spark.checkpoint.dir``).
 
     Where the setting is absent, a local session gets a new folder; a cluster has no folder of its own to fall back to.
     """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
