@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
@@ -13,14 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxweave.llm.common import stored
+from rxweave.llm.common import CACHE_WORDS, small, stored
 
 #: Rows that share a length and a bucket are numbered by one task; the number of buckets follows the rows.
 BUCKET_ROWS = 2000
 #: Triples tried for each length, and rounds of the least-squares fit.
 TRIPLES, ROUNDS = 24, 400
-#: Words whose ids one worker keeps.
-CACHE_WORDS = 400_000
 
 
 def _bytes_of_characters() -> dict[str, int]:
@@ -38,7 +37,6 @@ class Encoder:
     """
 
     def __init__(self, path: str, pattern: str) -> None:
-        import regex
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
@@ -48,15 +46,15 @@ class Encoder:
         ranks = {bytes(map(spelled.__getitem__, token)): n for token, n in made["model"]["vocab"].items() if token not in special}
         self.bpe = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.special = {s: np.array([n], "<u4").tobytes() for s, n in special.items()}
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.runs = regex.compile(r"\s\s")
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+        self.runs = re.compile(r"\s\s")
         self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.marks is not None and self.marks.search(text):
+        if any(s in text for s in self.special):
             return b"".join(self.special.get(part) or self.plain(part) for part in self.marks.split(text) if part)
         return self.plain(text)
 
@@ -88,7 +86,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, size: int, end: int, wit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, pattern)
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = (encoder.encode(t) if t else b"") + last
@@ -102,6 +100,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, size: int, end: int, wit
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["key", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)][: 5 + with_ids], names=names[: 5 + with_ids])
+        encoder.words.clear()  # the vocabulary stays with the worker, a task's words don't
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "key long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
