@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rxweave.llm.common import stored
+from rxweave.llm.common import small, stored
 
 #: Rows that the codebooks are fitted on, at most: those with the smallest hashes of their ids.
 TRAIN_ROWS = 8192
@@ -18,6 +18,8 @@ TRAIN_ROWS = 8192
 BOOKS, ENTRIES, BEAM = 8, 256, 4
 #: Rows of a cell, and queries that visit it, that one task takes at once.
 ROWS, QUERIES = 16_384, 1024
+#: Pairs of a query and a row that are scored at once.
+PAIRS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -89,19 +91,16 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Euclidean distances, with the squares added up from the first component to the last."""
+    """Euclidean distances of rows of x and q, with the squares added up from the first component to the last."""
     return np.sqrt(np.cumsum((x - q) ** 2, axis=1)[:, -1])
 
 
-def _nearest(x: np.ndarray, keys: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, distances) of the n nearest rows; ties by the smaller key."""
-    if len(keys) > n:  # all but a few go by a quicker sum, with room for what rounding does to it
-        rough = ((x - q) ** 2).sum(-1)
-        some = np.flatnonzero(rough <= np.partition(rough, n - 1)[n - 1] * (1 + 1e-9))
-        x, keys = x[some], keys[some]
-    score = distances(x, q)
-    top = np.lexsort((keys, score))[:n]
-    return keys[top], score[top]
+def _pairs_within(table: np.ndarray, codes: np.ndarray, limit: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the pairs whose ``limit`` is at most twice the sum of the query's table entries for the row's codes."""
+    sums = np.zeros((len(table), rows))
+    for b in range(len(codes)):
+        sums += table[:, b, codes[b]]
+    return np.nonzero(2 * sums >= limit)
 
 
 def _first_copies(x: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
@@ -173,28 +172,28 @@ def _planner(books, seen, dims: int, n: int):
         (keys, x), radius = seen.value
         cells = np.array(sorted(radius), np.int64)
         centres, radii = books.value.books[0][cells], np.array([radius[c] for c in cells.tolist()])
-        for batch in batches:
-            ids, rows = batch.column(0).to_numpy(), _matrix(batch.column(1), dims)
-            at, most, to = [], [], []
-            for i, (own, q) in enumerate(zip(ids.tolist(), rows, strict=True)):
-                score = ((x - q) ** 2).sum(-1)
-                score = np.sqrt(score[keys != own])
-                bound = np.partition(score, n - 1)[n - 1] * (1 + 1e-9) + 1e-300 if len(score) >= n else np.inf
-                visited = cells[np.sqrt(((centres - q) ** 2).sum(-1)) * (1 - 1e-9) <= bound + radii]
-                at += [i] * len(visited)
-                most += [bound] * len(visited)
-                to.append(visited)
-            some = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(some), batch.column(1).take(some), pa.array(most, pa.float64()), pa.array(np.concatenate([np.zeros(0, np.int64), *to]).astype(np.int32))], names=["query_id", "q", "most", "cell"]
-            )
+        norms, centre_norms = (x**2).sum(-1), (centres**2).sum(-1)
+        for batch in small(batches, 256):
+            ids, q = batch.column(0).to_numpy(), _matrix(batch.column(1), dims)
+            size = (q**2).sum(-1)[:, None]
+            rounding = 1e-9 * (size[:, 0] + norms.max())  # above what rounding does to a difference of squares
+            square = size - 2 * q @ x.T + norms
+            square[ids[:, None] == keys] = np.inf
+            if len(keys) >= n:
+                most = np.sqrt(np.maximum(np.partition(square, n - 1, axis=1)[:, n - 1], 0) + rounding)
+            else:
+                most = np.full(len(ids), np.inf)
+            away = np.sqrt(np.maximum(size - 2 * q @ centres.T + centre_norms - rounding[:, None], 0))
+            at, to = np.nonzero(away * (1 - 1e-9) <= most[:, None] + radii)
+            some = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(most[at]), pa.array(cells[to].astype(np.int32))], names=["query_id", "q", "most", "cell"])
 
     return run
 
 
 def _scorer(books, dims: int, n: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, near_keys, near_scores = [], [], []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if left.num_rows and right.num_rows:
             left, right = left.combine_chunks(), right.combine_chunks()
             keys, x = left.column("key").to_numpy(), _matrix(left.column("vec").combine_chunks(), dims)
@@ -202,18 +201,23 @@ def _scorer(books, dims: int, n: int):
             codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(keys), -1)
             some = _first_copies(x, keys, n + 1)  # one may be the query itself
             keys, x, norms, err, codes = keys[some], x[some], norms[some], err[some], codes[some].T.copy()
-            queries = _matrix(right.column("q").combine_chunks(), dims)
-            for own, q, most in zip(right.column("query_id").to_pylist(), queries, right.column("most").to_pylist(), strict=True):
-                table = books.value.books @ q
-                score = norms - 2 * sum(t[c] for t, c in zip(table, codes, strict=True))
-                size = (q**2).sum()
-                slack = 1e-6 * np.sqrt(size + norms)  # above what rounding does to a difference of squares
-                some = np.flatnonzero((np.sqrt(np.maximum(score + size, 0)) <= most + err + slack) & (keys != own))
-                k, s = _nearest(x[some], keys[some], q, n)
-                ids.append(np.full(len(k), own))
-                near_keys.append(k)
-                near_scores.append(s)
-        none = np.zeros(0, np.int64)
-        return pa.table({"query_id": pa.array(np.concatenate([none, *ids])), "key": pa.array(np.concatenate([none, *near_keys])), "score": pa.array(np.concatenate([np.zeros(0), *near_scores]))})
+            ids, queries, most = right.column("query_id").to_numpy(), _matrix(right.column("q").combine_chunks(), dims), right.column("most").to_numpy()
+            size = (queries**2).sum(-1)
+            step = max(1, PAIRS // len(keys))
+            for low in range(0, len(ids), step):
+                part = slice(low, low + step)
+                table = np.einsum("qd,bed->qbe", queries[part], books.value.books, optimize=True)
+                # the table distance less the error is within the bound; the slack is above what rounding does to a difference of squares
+                reach = most[part, None] + err + 1e-6 * np.sqrt(size[part, None] + norms)
+                i, r = _pairs_within(table, codes, norms + size[part, None] - reach**2, len(keys))
+                differ = ids[part][i] != keys[r]
+                i, r = i[differ], r[differ]
+                score = np.concatenate([np.zeros(0), *[distances(x[r[k : k + 50_000]], queries[part][i[k : k + 50_000]]) for k in range(0, len(r), 50_000)]])
+                order = np.lexsort((keys[r], score, i))
+                i, r, score = i[order], r[order], score[order]
+                top = np.arange(len(i)) - np.searchsorted(i, i) < n
+                found.append((ids[part][i[top]], keys[r[top]], score[top]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        return pa.table(dict(zip(("query_id", "key", "score"), columns, strict=True)))
 
     return run
