@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxweave.llm.ann import search
+from rxweave.llm.clustering import cluster_vectors
 from rxweave.llm.common import crc_of_id, table
 from rxweave.llm.decontaminate import overlaps
 from rxweave.llm.language_id import identify
@@ -17,6 +18,8 @@ from rxweave.llm.packing import pack
 from rxweave.llm.quality import score_quality
 from rxweave.llm.secret_scan import BASE_RULES, scan_secrets
 from rxweave.llm.simhash import near_duplicates
+from rxweave.llm.spelling import spelling_groups
+from rxweave.llm.substrings import dedup_substrings
 from rxweave.llm.url_filter import PatternRule, SiteRule, filter_urls
 
 #: The site rules of the URL query.
@@ -206,6 +209,71 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, v
 """
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB's levenshtein compares bytes, so letters beyond ASCII are written as ASCII characters that no word has; CRC-32 is worked out bit by bit.
+_WIDE = "".join(chr(c) for c in range(0xC0, 0x100))
+_NARROW = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-./:;<=>?@[]^_{|}~"[: len(_WIDE)]
+OP11_SQL = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents),
+each AS (SELECT doc_id, w, count(*) AS n, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), lambda c: ord(c)) AS cs FROM runs WHERE length(w) >= 6 GROUP BY doc_id, w),
+bytes AS (SELECT w, n, list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(cs, lambda c: CASE WHEN c < 128 THEN [CAST(c AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(c - 64 AS BIGINT)] END))) AS bs FROM each),
+hashed AS (SELECT w, n, xor(list_reduce(bs, lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295) AS h FROM bytes),
+typed AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END AS w, n FROM hashed),
+words AS MATERIALIZED (SELECT w, CAST(sum(n) AS BIGINT) AS n, translate(w, '{_WIDE}', '{_NARROW.replace("'", "''")}') AS a FROM typed WHERE length(w) >= 6 GROUP BY w HAVING sum(n) >= 5),
+near AS (SELECT x.w, y.w AS form, y.n AS form_n FROM words x JOIN words y ON x.w <> y.w AND abs(length(x.w) - length(y.w)) <= 1 AND levenshtein(x.a, y.a) = 1),
+best AS (SELECT w, count(*) OVER (PARTITION BY w) AS n_near, form, form_n FROM near QUALIFY row_number() OVER (PARTITION BY w ORDER BY form_n DESC, encode(form)) = 1),
+formed AS MATERIALIZED (SELECT words.w, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (w)),
+chain AS (SELECT w, w AS root, 0 AS step FROM formed UNION ALL SELECT c.w, f.form, step + 1 FROM chain c JOIN formed f ON f.w = c.root WHERE f.form IS NOT NULL)
+SELECT f.w AS word, form, root, n, n_near, form_n FROM formed f JOIN (SELECT w, arg_max(root, step) AS root FROM chain GROUP BY w) USING (w)
+"""
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_round(n: int) -> str:
+    """Assignment to the centroids of round ``n``, and the centroids of the next."""
+    assign = f"a{n} AS MATERIALIZED (SELECT r, x, min(d * 16 + j) % 16 AS j, min(d * 16 + j) // 16 AS d FROM (SELECT r, x, j, list_sum(list_transform(list_zip(x, c), lambda p: CAST((p[1] - p[2]) * (p[1] - p[2]) AS HUGEINT))) AS d FROM x, c{n}) GROUP BY r, x)"
+    means = (
+        f"s{n} AS (SELECT j, list(CAST((s - ((s % m) + m) % m) / m AS BIGINT) ORDER BY i) AS c FROM (SELECT j, i, sum(y) AS s, CAST(count(*) AS HUGEINT) AS m FROM (SELECT j, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{n}) GROUP BY j, i) GROUP BY j), "
+        f"c{n + 1} AS MATERIALIZED (SELECT j, coalesce(s{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN s{n} USING (j))"
+    )
+    return f"{assign}, {means}" if n < 3 else assign
+
+
+OP12_SQL = f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: CAST(floor(64 * CAST(y AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS j, x AS c FROM x QUALIFY j < 16),
+{", ".join(_op12_round(n) for n in range(4))}
+SELECT vec_id, CAST(j AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN x USING (r) JOIN c3 USING (j)
+"""
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
+
+OP13_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+blocks AS (SELECT r, unnest(range(0, greatest(length(x) // 2 - 399, 0), 1000)) AS b, x FROM docs),
+cut AS (SELECT r, b, substring(x, CAST(2 * b + 1 AS BIGINT), 2798) AS x FROM blocks),
+places AS (SELECT r, b + i AS p, md5_number(substring(x, CAST(2 * i + 1 AS BIGINT), 800)) AS h FROM (SELECT r, b, x, unnest(range(0, least(1000, length(x) // 2 - 399))) AS i FROM cut)),
+twice AS (SELECT h FROM places GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, p FROM places SEMI JOIN twice USING (h)),
+begun AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 400 THEN 0 ELSE 1 END AS s FROM hit),
+runs AS (SELECT r, g, min(p) AS a, max(p) + 400 AS b FROM (SELECT r, p, sum(s) OVER (PARTITION BY r ORDER BY p) AS g FROM begun) GROUP BY r, g),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs),
+kept AS (SELECT r, string_agg(substring(x, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substring(any_value(x), CAST(2 * max(b) + 1 AS BIGINT)) AS x, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM gaps JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(docs.x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, docs.x))) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
@@ -217,5 +285,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_ann": op10_ann,
+    "op11_spelling": op11_spelling,
+    "op12_clusters": op12_clusters,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
-ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op5_secret_scan": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_ann": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_license_scan": OP1_SQL, "op5_secret_scan": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_ann": OP10_SQL, "op11_spelling": OP11_SQL, "op12_clusters": OP12_SQL, "op13_suffix_dedup": OP13_SQL}
