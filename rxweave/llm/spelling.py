@@ -24,8 +24,8 @@ RUN = "[A-Za-zÀ-ÿ]+"
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: One bigram destroyed for each letter of it, and one more.
 PREFIX = 3
-#: Of a word, one end of so many letters is as it was, whichever letter is changed.
-END = 3
+#: Letters of the shortest words: their halves must be longer than nothing but a bigram.
+SHORTEST = 6
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 200_000
 
@@ -75,23 +75,29 @@ def _bigrams(word: str):
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, b): all ordered pairs of near words of ``words`` (column ``word``, distinct, of six letters or more).
 
-    Words meet on a rare bigram, its place, and the first or last three letters: a change in the first three leaves the
-    last three alone, and any other leaves the first three alone. The join's condition verifies, so only near pairs come
-    out of it.
+    Of a pair, the shorter word (or the smaller of one length) looks for the other: on a rare bigram, its length, one of its
+    halves (a change in one half leaves the other alone), and the bigram's place, which is the same or, with a longer
+    partner, one later. The join's condition verifies, so only near pairs come out of it.
     """
     grams = words.select(F.explode(_bigrams("word")).alias("x")).groupBy("x.g").agg(F.count("*").alias("f"))
-    # letters are of 26 + 64 kinds, so the order has at most 8,100 rows
-    placed = words.select("word", F.posexplode(_bigrams("word")).alias("_", "x")).select("word", F.col("x.g").alias("g"), F.col("x.at").alias("at"))
+    placed = words.select("word", F.explode(_bigrams("word")).alias("x")).select("word", F.col("x.g").alias("g"), F.col("x.at").alias("at"))
+    # letters are of 26 + 64 kinds, so there are at most 8,100 bigrams
     ranked = placed.join(F.broadcast(grams), "g").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("f", "g", "at"))).alias("gs"))
     third = F.col("gs")[PREFIX - 1]
     rare = ranked.select("word", F.explode(F.filter("gs", lambda x: (x["f"] < third["f"]) | ((x["f"] == third["f"]) & (x["g"] <= third["g"])))).alias("x"))
+    rare = rare.select("word", F.col("x.g").alias("g"), F.col("x.at").alias("at"))
+
+    def halves(size) -> list:
+        """Keys of a word that meets a partner whose shorter word has ``size`` letters."""
+        return [F.concat(F.lit(sign), side("word", F.floor(size / 2).cast("int"))) for sign, side in (("<", F.left), (">", F.right))]
+
     size = F.length("word")
-    ends = F.explode(F.array(F.concat(F.lit("<"), F.left("word", F.lit(END))), F.concat(F.lit(">"), F.right("word", F.lit(END)))))
-    left = rare.select("word", F.col("x.g").alias("g"), F.col("x.at").alias("at"), size.alias("size"), ends.alias("end"))
-    right = left.select(F.col("word").alias("b"), "g", F.explode(F.array(*[F.col("at") + d for d in (-1, 0, 1)])).alias("at"), F.col("size").alias("size_b"), "end")
-    met = left.withColumnRenamed("word", "a").join(right, ["g", "at", "end"])
-    close = (F.col("a") != F.col("b")) & (F.abs(F.col("size") - F.col("size_b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)
-    return met.where(close).select("a", "b").distinct()
+    short = rare.select(F.col("word").alias("a"), "g", "at", size.alias("size"), F.explode(F.array(*halves(size))).alias("half"))
+    meets = [F.struct((F.col("at") - shift).alias("at"), (size - longer).alias("size"), half.alias("half")) for longer, shift in ((0, 0), (1, 0), (1, 1)) for half in halves(size - longer)]
+    long = rare.select(F.col("word").alias("b"), "g", F.explode(F.array(*meets)).alias("m")).select("b", "g", "m.*")
+    close = ((F.length("b") > F.col("size")) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1)
+    once = short.join(long, ["g", "at", "size", "half"]).where(close).select("a", "b").distinct()
+    return once.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
 
 
 def spelling_groups(docs: DataFrame, *, least: int = 6, often: int = 5, every: int = 199, times: int = 5) -> DataFrame:
@@ -104,8 +110,8 @@ def spelling_groups(docs: DataFrame, *, least: int = 6, often: int = 5, every: i
     count whole however long, repeated rows count as often as they are there, other columns are left out, and an empty
     table gives no rows.
     """
-    if least < 2 * END:
-        raise ValueError(f"words need {2 * END} letters at least")
+    if least < SHORTEST:
+        raise ValueError(f"words need {SHORTEST} letters at least")
     words = stored(words_of(docs, least=least, often=often, every=every), "words")
     pairs = near_pairs(words).join(words.select(F.col("word").alias("b"), F.col("n").alias("b_n")), "b")
     best = pairs.groupBy("a").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("b_n")).alias("less"), F.col("b").alias("b"))).alias("m"))
