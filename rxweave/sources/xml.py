@@ -1,10 +1,16 @@
-"""XML messages as flat nodes: a small lenient reader inside Arrow batches; all interpretation is done on columns."""
+"""XML messages as flat nodes: a small lenient reader inside Arrow batches; all interpretation is done on columns.
+
+Nodes are written as flat Arrow columns, not as an object each. A reader by column expressions alone (pieces by one regular
+expression, depths by running sums, texts and ends by a sort) gave the same nodes and was 2.4 times slower.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Collection, Iterator
+from dataclasses import dataclass, field, fields
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +36,23 @@ def _attributes(text: str) -> list[tuple[str, str]]:
     return list({local_name(m[1]): m[2] or m[3] or "" for m in _ATTR.finditer(text) if m[1]}.items())
 
 
-def shred(text: str, strict: bool = True) -> list[dict] | None:
+@dataclass
+class Nodes:
+    """The nodes of one message or of many, a list for each member; a node's id is its place in its message."""
+
+    parent: list[int | None] = field(default_factory=list)
+    last: list[int] = field(default_factory=list)
+    depth: list[int] = field(default_factory=list)
+    name: list[str] = field(default_factory=list)
+    text: list[str] = field(default_factory=list)
+    attrs: list[list[tuple[str, str]]] = field(default_factory=list)
+
+    def add(self, other: Nodes) -> None:
+        for f in fields(self):
+            getattr(self, f.name).extend(getattr(other, f.name))
+
+
+def read_nodes(text: str, strict: bool = True) -> Nodes | None:
     """Nodes in document order; None if the text isn't readable as XML.
 
     What is readable: every piece of markup ends, there is an element, and no element, CDATA or instruction follows an end tag
@@ -42,17 +64,22 @@ def shred(text: str, strict: bool = True) -> list[dict] | None:
     ``last`` is the last node below. Prefixes are cut off; text is the element's own, untrimmed, with CDATA and with
     entities as they stand.
     """
-    nodes: list[dict] = []
+    nodes = Nodes()
+    names = nodes.name
     texts: list[list[str]] = []
     stack: list[int] = []  # open elements; -1 for those of later roots
     at, closed_too_often = 0, False
 
     def element(name: str, attrs: list[tuple[str, str]]) -> int:
-        if nodes and (not stack or stack[-1] < 0):
+        if names and (not stack or stack[-1] < 0):
             return -1
-        nodes.append({"id": len(nodes), "parent": stack[-1] if stack else None, "last": len(nodes), "depth": len(stack), "name": name, "text": "", "attrs": attrs})
+        nodes.parent.append(stack[-1] if stack else None)
+        nodes.last.append(len(names))
+        nodes.depth.append(len(stack))
+        nodes.attrs.append(attrs)
+        names.append(name)
         texts.append([])
-        return len(nodes) - 1
+        return len(names) - 1
 
     while (start := text.find("<", at)) >= 0:
         m = _MARK.match(text, start)
@@ -66,40 +93,58 @@ def shred(text: str, strict: bool = True) -> list[dict] | None:
         if m["start"] is not None:
             inner = m["start"].strip()
             name = (inner.split(None, 1) or [""])[0]
-            node = element(local_name(name.rstrip("/")), _attributes(inner[len(name) :].rstrip("/")))
+            rest = inner[len(name) :]
+            node = element(local_name(name.rstrip("/")), _attributes(rest.rstrip("/")) if "=" in rest else [])
             if not inner.endswith("/"):
                 stack.append(node)
         elif m["end"]:
             if not stack:
                 closed_too_often = True
             elif (n := stack.pop()) >= 0:
-                nodes[n]["last"] = len(nodes) - 1
+                nodes.last[n] = len(names) - 1
         elif m["pi"] is not None and m["pi"] != "xml":
             element("?" + local_name(m["pi"]), _attributes(m["about"]))
     for n in stack:
         if n >= 0:
-            nodes[n]["last"] = len(nodes) - 1
-    for node, parts in zip(nodes, texts, strict=True):
-        node["text"] = "".join(parts)
-    return nodes or None
+            nodes.last[n] = len(names) - 1
+    nodes.text = ["".join(parts) for parts in texts]
+    return nodes if names else None
 
 
-def index_of(nodes: list[dict], deep: frozenset[str]) -> list[tuple[str, int]]:
+def index_of(nodes: Nodes, deep: frozenset[str]) -> list[tuple[str, int]]:
     """Keys by which columns look nodes up: ``id/name`` for an element's first child of a name, and ``id//name`` for the first
-    below it, itself included, for the names in ``deep``."""
+    below it, itself included, for the names in ``deep``. Work grows with the nodes: who has a key of a name has told all above."""
     found: dict[str, int] = {}
-    for n in nodes:
-        name, up = n["name"], n["parent"]
+    for n, (name, up) in enumerate(zip(nodes.name, nodes.parent, strict=True)):
         if up is not None:
-            found.setdefault(f"{up}/{name}", n["id"])
+            found.setdefault(f"{up}/{name}", n)
         if name in deep:
-            up = n["id"]
-            while up is not None:
-                found.setdefault(f"{up}//{name}", n["id"])
-                up = nodes[up]["parent"]
+            up = n
+            while up is not None and (key := f"{up}//{name}") not in found:
+                found[key] = n
+                up = nodes.parent[up]
     return list(found.items())
 
 
+def _offsets(sizes: list[int | None]) -> pa.Array:
+    """Where each list begins; null for a list that is null."""
+    at = np.cumsum([0, *(n or 0 for n in sizes)])
+    return pa.array(at.astype(np.int32), mask=np.array([*(n is None for n in sizes), False]))
+
+
+def _array(found: list[Nodes | None]) -> pa.Array:
+    every = Nodes()
+    for nodes in found:
+        if nodes is not None:
+            every.add(nodes)
+    sizes = [None if nodes is None else len(nodes.name) for nodes in found]
+    ids = np.concatenate([np.arange(n or 0) for n in sizes] or [np.zeros(0)]).astype(np.int32)
+    pairs = [p for attrs in every.attrs for p in attrs]
+    maps = pa.MapArray.from_arrays(_offsets([len(a) for a in every.attrs]), pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string()))
+    ints = [pa.array(x, pa.int32()) for x in (ids, every.parent, every.last, every.depth)]
+    return pa.ListArray.from_arrays(_offsets(sizes), pa.StructArray.from_arrays([*ints, pa.array(every.name, pa.string()), pa.array(every.text, pa.string()), maps], fields=list(_NODE)))
+
+
 def shred_messages(raw: DataFrame, payload: str = "payload", name: str = "nodes", *, strict: bool = True, index: str | None = None, deep: Collection[str] = ()) -> DataFrame:
     """Add array column ``name`` of nodes, and map column ``index`` if it is named (see ``index_of``); null where the payload
     isn't readable. Other columns pass through."""
@@ -107,8 +152,8 @@ def shred_messages(raw: DataFrame, payload: str = "payload", name: str = "nodes"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [None if t is None else shred(t, strict) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            columns = [batch.column(0), pa.array(found, pa.list_(_NODE))]
+            found = [None if t is None else read_nodes(t, strict) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            columns = [batch.column(0), _array(found)]
             if index:
                 columns.append(pa.array([None if n is None else index_of(n, names) for n in found], pa.map_(pa.string(), pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=["rest", "nodes", "index"][: len(columns)])

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rxweave.operators import claims as C
 from rxweave.operators import prescriptions as P
-from rxweave.sources.xml import shred
+from rxweave.sources.xml import read_nodes, shred_messages
 
 FS, GS, RS = "\x1c", "\x1d", "\x1e"
 HEAD = "610014D0B1PCN       1" + "01" + "1234567890     " + "20240101" + "VENDOR    "
@@ -108,6 +110,30 @@ def test_canonical_xml(spark):
     assert found.rstrip("\n").split("\n") == lines
 
 
+def shred(text, strict=True):
+    nodes = read_nodes(text, strict)
+    return nodes and [{"id": i, "parent": p, "last": e, "name": n, "text": t, "attrs": a} for i, (p, e, n, t, a) in enumerate(zip(nodes.parent, nodes.last, nodes.name, nodes.text, nodes.attrs, strict=True))]
+
+
+def test_nodes_as_columns(spark):
+    """Unreadable and null messages between others, attributes, no rows."""
+    texts = ["<a x='1' n:y='2' x='3'><b>t</b></a>", "<a", None, "<c/>", "", "<a><b z='q'/></a>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, payload string").coalesce(1)
+    for r in shred_messages(df).collect():
+        want = None if texts[r.i] is None else shred(texts[r.i])
+        assert (r.nodes and [{"id": n.id, "parent": n.parent, "last": n.last, "name": n.name, "text": n.text, "attrs": list(n.attrs.items())} for n in r.nodes]) == want
+    assert shred_messages(df.where("i < 0")).count() == 0
+
+
+def test_hostile_messages_take_seconds(spark):
+    """A megabyte of nested elements of names that are looked up at any depth, and one of attributes."""
+    texts = ["<Message><Body><NewRx>" + "<Name><Identification>" * 45_000, "<Message " + "version='2017071' " * 60_000 + "><Body/></Message>"]
+    start = time.time()
+    rows = scripts(spark, *texts)
+    assert rows[0].kind == "NewRx" and rows[1].version == "2017071"
+    assert time.time() - start < 60
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="<>/ab=\"'!-[]CDATA?&; \n", max_size=60))
 def test_shredding_never_fails(text):
