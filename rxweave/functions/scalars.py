@@ -14,6 +14,14 @@ BLANKS = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) +
 BLANK = "[\\t\\n\\u000B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
 
 
+MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
+
+
+def check_mode(mode: str, modes: Sequence[str] = MODES) -> None:
+    if mode not in modes:
+        raise ValueError(f"mode is one of {', '.join(modes)}; got {mode!r}")
+
+
 def let(value: Column, build) -> Column:
     """``build(value)``, with the value worked out once however often it is used."""
     return F.get(F.transform(F.array(value), build), F.lit(0))

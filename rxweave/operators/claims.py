@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rxweave import codes
 from rxweave.codes import FS, GS, RS
-from rxweave.functions.scalars import decimal_value, known, let, lookup, money, prefix_int, quantity, running_sums, settled, trim_blank
+from rxweave.functions.scalars import BLANK, MODES, check_mode, decimal_value, known, let, lookup, money, prefix_int, quantity, running_sums, settled, trim_blank
 
 FIELD = "struct<id:string,value:string,name:string,byteOffset:int>"
 SEGMENT = f"struct<segmentId:string,name:string,byteOffset:int,fields:array<{FIELD}>>"
@@ -136,6 +136,7 @@ def parse_claims(raw: DataFrame, payload: str = "payload", *, encoding: str = "I
     ``fatal`` (code, message, byteOffset, fieldId) is set where a message can't be read, and the other results are then null.
     Modes: PERMISSIVE keeps such rows, DROPMALFORMED leaves them out, FAILFAST raises an error. Null payloads count as empty.
     """
+    check_mode(mode)
     kept = [c for c in raw.columns if c != payload] if keep is None else list(keep)
     is_binary = raw.schema[payload].dataType.typeName() == "binary"
     text = F.coalesce(F.decode(F.col(payload), encoding) if is_binary else F.col(payload), F.lit(""))
@@ -483,6 +484,7 @@ def build_requests(inputs: DataFrame, header: str = "header", segments: str = "s
     Columns added: buildError (code, message, headerField; null if it is fine), and then kind, header, segments,
     transactionCount as a parsed request has them. Checks run in a fixed order and the first failure counts. FAILFAST raises.
     """
+    check_mode(mode, (MODES[0], MODES[2]))
     given = {f.name for f in inputs.schema[header].dataType.fields}
     defaults = {"versionRelease": "D0", "transactionCount": "1"}
     h = F.col(header)
@@ -550,13 +552,20 @@ def long_warnings(parsed: DataFrame, key: str) -> DataFrame:
 
 def register(spark: SparkSession) -> None:
     """The session's table function ``claim_fields(payload)``: seg_no, segment_id, field_no, field_id, value of each field of the
-    first transaction. It is SQL, for use in a LATERAL join; ``parse_claims`` has names, positions, warnings and errors."""
+    first transaction. It is SQL, for use in a LATERAL join, and has the gates of ``parse_claims``: a message that isn't read
+    there, or isn't decoded, has no rows here. ``parse_claims`` also has names, positions, warnings and errors."""
+    blank, controls = BLANK.replace("\\", "\\\\"), "[\\\\x1c-\\\\x1e]"
+    head = codes.REQUEST_HEADER_LENGTH
+    response = "substring(payload, 7, 2) <> 'D0' AND substring(payload, 1, 2) = 'D0'"
+    refused = (
+        f"payload IS NULL OR payload RLIKE '^{blank}*\\\\z' OR CASE WHEN {response} THEN length(payload) < {codes.RESPONSE_HEADER_MIN_LENGTH} ELSE length(payload) < {head} "
+        f"OR substring(payload, 7, 2) <> 'D0' OR (length(payload) > {head} AND NOT substring(payload, {head + 1}) RLIKE '{controls}') END"
+    )
+    body = f"CASE WHEN {refused} THEN '' WHEN {response} THEN regexp_replace(payload, '^[^\\\\x1d\\\\x1e]*', '') ELSE substring(payload, {head + 1}) END"
     spark.sql(
-        r"""CREATE OR REPLACE TEMPORARY FUNCTION claim_fields(payload STRING) RETURNS TABLE (seg_no INT, segment_id STRING, field_no INT, field_id STRING, value STRING) RETURN
+        rf"""CREATE OR REPLACE TEMPORARY FUNCTION claim_fields(payload STRING) RETURNS TABLE (seg_no INT, segment_id STRING, field_no INT, field_id STRING, value STRING) RETURN
         SELECT s.seg_no, n.segment_id, f.field_no, CASE WHEN length(f.token) < 2 THEN '' ELSE substring(f.token, 1, 2) END, CASE WHEN length(f.token) < 2 THEN f.token ELSE substring(f.token, 3) END
-        FROM posexplode(filter(split(regexp_extract(
-            CASE WHEN substring(payload, 7, 2) <> 'D0' AND substring(payload, 1, 2) = 'D0' THEN regexp_replace(payload, '^[^\\x1d\\x1e]*', '') ELSE substring(payload, 57) END,
-            '[^\\x1d]+', 0), '\\x1e'), x -> x <> '')) AS s(seg_no, segment),
+        FROM posexplode(filter(split(regexp_extract({body}, '[^\\x1d]+', 0), '\\x1e'), x -> x <> '')) AS s(seg_no, segment),
           LATERAL (SELECT filter(split(s.segment, '\\x1c'), x -> x <> '') AS tokens) AS t,
           LATERAL (SELECT CASE WHEN get(t.tokens, 0) RLIKE '^AM..\\z' THEN substring(t.tokens[0], 3) ELSE '' END AS segment_id) AS n,
           LATERAL posexplode(CASE WHEN n.segment_id <> '' THEN slice(t.tokens, 2, size(t.tokens)) ELSE t.tokens END) AS f(field_no, token)"""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxweave import codes
-from rxweave.functions.scalars import BLANKS, coded_value, decimal_value, disposition_of_kind, let, settled, sql_text, text_or_null, trim_blank
+from rxweave.functions.scalars import BLANKS, check_mode, coded_value, decimal_value, disposition_of_kind, let, settled, sql_text, text_or_null, trim_blank
 from rxweave.sources.xml import NODE, shred_messages
 
 WARNING = "struct<code:string,message:string,path:string>"
@@ -210,6 +210,7 @@ def parse_scripts(raw: DataFrame, payload: str = "payload", *, mode: str = "PERM
     claims. A null payload counts as empty. ``only`` names the results that are wanted (``fatal`` always is), and no others are
     worked out.
     """
+    check_mode(mode)
     kept = [c for c in raw.columns if c != payload] if keep is None else list(keep)
     text = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     refused = text.rlike("(?i)<!(?:DOCTYPE|ENTITY)\\b")

@@ -15,6 +15,8 @@ from rxweave import codes
 from rxweave.functions import scalars as S
 from rxweave.operators import claims as C
 from rxweave.operators import prescriptions as P
+from rxweave.operators import longform as L
+from rxweave.operators import profile_tables as T
 from rxweave.operators import profiles, scan
 from rxweave.plans.encoders import FACTS, ORDER_FACTS, claim_messages, script_messages
 
@@ -246,6 +248,92 @@ def t09(spark, sf_dir):
     return spark.sql("SELECT field_id, count(*) AS n FROM {m} AS m, LATERAL claim_fields(m.response) AS f WHERE f.segment_id = '21' GROUP BY field_id", m=messages)
 
 
+@query(
+    "t09_sql_gates",
+    """SELECT k, ln, seg_no, segment_id, field_no, field_id, value FROM (SELECT k, ln, 0 AS seg_no, '04' AS segment_id, 0 AS field_no, 'C2' AS field_id, 'X' || pk AS value FROM f WHERE k % 8 IN (5, 7)
+    UNION ALL SELECT k, ln, 0, '', 0, 'C2', 'XY' || pk FROM f WHERE k % 8 = 6 UNION ALL SELECT k, ln, 1, '', 0, 'AM', '123' FROM f WHERE k % 8 = 6 UNION ALL SELECT k, ln, 3, '04', 0, '', 'Q' FROM f WHERE k % 8 = 6
+    UNION ALL SELECT k, ln, 0, '21', 0, 'AN', 'R' || sk FROM f WHERE k % 4 = 3)""",
+)
+def t09_gates(spark, sf_dir):
+    """The table function over messages that are refused, not decoded, cut short, of several transactions or odd, and their responses."""
+    C.register(spark)
+    n, head = F.col("k") % 8, F.rpad(F.lit("610066D0B1PCN"), 56, " ")
+    value = F.concat(F.lit("C2X"), F.col("pk"))
+    request = (
+        F.when(n == 0, F.lit(" \t\n")).when(n == 1, F.lit("610066D0B1")).when(n == 2, F.concat(F.rpad(F.lit("61006651B1PCN"), 56, " "), F.lit("\x1eAM04\x1c"), value)).when(n == 3, F.concat(head, F.lit("AM04"), value))
+        .when(n == 4, F.concat(F.rpad(F.lit("610066F6B1"), 56, " "), F.lit("\x1eAM04\x1c"), value)).when(n == 5, F.concat(head, F.lit("\x1dAM04\x1c"), value, F.lit("\x1d\x1dAM07")))
+        .when(n == 6, F.concat(head, F.lit("\x1eC2XY"), F.col("pk"), F.lit("\x1eAM123\x1eAM99\x1eAM04\x1cQ"))).otherwise(F.concat(head, F.lit("\x1eAM04\x1c"), value))
+    )
+    m = F.col("k") % 4
+    answer = F.when(m == 0, F.lit("D0B1")).when(m == 1, F.lit("D0B11A01SHORT")).when(m == 2, F.lit("D0B11A01P              \x1d")).otherwise(F.concat(F.lit("D0B11R\x1eAM21\x1cANR"), F.col("sk")))
+    messages = claim_messages(spark, sf_dir).select(*KEY, F.explode(F.array(request, answer)).alias("payload"))
+    return spark.sql("SELECT k, ln, f.* FROM {m} AS m, LATERAL claim_fields(m.payload) AS f", m=messages)
+
+
+#: The requests of the facts in their canonical form; a masked one has X for each letter of what the scan finds.
+REQUEST_TEXTS = """, v AS (SELECT *, pk % 9 = 0 AS named, CASE WHEN ship = '19970101' THEN ship ELSE 'XXXXXXXX' END AS m_ship, CASE WHEN given = 'Ann' THEN 'XXX' ELSE given END AS m_given,
+    'XXXXXX' || repeat('X', length(family) + 1) AS m_family, CASE WHEN street = 'Box 9' THEN street ELSE repeat('X', length(street)) END AS m_street, CASE WHEN phone LIKE '(%' THEN repeat('X', length(phone)) ELSE phone END AS m_phone, CASE WHEN patient = '123456' THEN 'XXXXXX' ELSE patient END AS m_patient FROM f),
+  q AS (SELECT *, '610066D0' || tx || 'PCN       ' || '101' || rpad('P' || sk, 15, ' ') || ship || 'SW        ' AS head,
+    concat_ws(chr(28), 'AM01', 'C4' || ship, CASE WHEN ln % 2 = 0 THEN 'C51' END, CASE WHEN named THEN concat_ws(chr(28), 'CA' || given, 'CBDr. Jo ' || family, 'CM' || street, 'CQ' || phone, 'CY' || patient) END) AS s01,
+    concat_ws(chr(28), 'AM01', 'C4' || m_ship, CASE WHEN ln % 2 = 0 THEN 'C51' END, CASE WHEN named THEN concat_ws(chr(28), 'CA' || m_given, 'CB' || m_family, 'CM' || m_street, 'CQ' || m_phone, 'CY' || m_patient) END) AS m01,
+    concat_ws(chr(28), 'AM04', 'C2SYNTH' || k, CASE WHEN pk % 2 = 0 THEN 'C1G' || pk END, CASE WHEN pk % 3 = 0 THEN 'C301' END) AS s04,
+    concat_ws(chr(28), 'AM07', 'EM1', 'D2' || k || ln, CASE WHEN pk % 7 <> 0 THEN 'D7' || lpad(CAST(pk AS VARCHAR), 11, '0') END, CASE WHEN pk % 7 < 5 THEN 'E1' || lpad(CAST(pk % 5 AS VARCHAR), 2, '0') END, 'E7' || milli, 'D5' || CASE WHEN sk % 2 = 0 THEN '30' ELSE '3x' END, 'D80', 'D30') AS s07,
+    concat_ws(chr(28), 'AM03', 'EZ01', 'DBN' || sk) AS s03, CASE WHEN n_dur > 0 THEN concat_ws(chr(28), 'AM08', 'E4DD', 'E5M0', CASE WHEN n_dur > 1 THEN 'E4ZZ' END, CASE WHEN n_dur > 1 THEN '8E11' END) END AS s08,
+    CASE WHEN n_ing > 0 THEN concat_ws(chr(28), 'AM10', 'EF01', 'EC' || (n_ing + ln % 2), array_to_string(list_transform(range(1, n_ing + 1), lambda i: concat_ws(chr(28), CASE WHEN NOT bare THEN 'RE03' END, 'TE' || pk || i, 'ED' || milli, 'EE' || cents)), chr(28))) END AS s10,
+    CASE WHEN n_pay > 0 THEN concat_ws(chr(28), 'AM05', '4C' || (n_pay + ln % 2), array_to_string(list_transform(range(1, n_pay + 1), lambda i: concat_ws(chr(28), '5C0' || i, '6C99', '7C' || sk, 'HC07', 'DV' || cents, 'DV100', '6E06', CASE WHEN sk % 2 = 0 THEN '7E' || cents END, CASE WHEN ln % 3 = 0 THEN '7E50' END)), chr(28))) END AS s05,
+    CASE WHEN pk % 11 = 0 THEN concat_ws(chr(28), 'AM12', 'EU1', CASE WHEN sk % 2 = 0 THEN 'EV' || k END) END AS s12 FROM v)"""
+
+
+@query("w01_request_text", f"{REQUEST_TEXTS} SELECT k, ln, head || concat_ws(chr(30), s01, s04, s07, s03, s08, s10, s05, s12) AS wire FROM q")
+def w01_request_text(spark, sf_dir):
+    """Canonical text of requests, byte for byte."""
+    return C.with_wire(requests(spark, sf_dir)).select(*KEY, "wire")
+
+
+def _long(spark: SparkSession, sf_dir: str, side: str) -> tuple[DataFrame, DataFrame]:
+    """(parsed messages with an id of their own, their field rows)."""
+    whole = F.struct(*KEY, F.nullif(F.monotonically_increasing_id(), F.lit(-1)).alias("n")).alias("id")
+    read = C.parse_claims(claim_messages(spark, sf_dir, side).select(whole, side), side)
+    return read, L.fields_of(read, "id")
+
+
+@query("w03_masked_text", f"{REQUEST_TEXTS} SELECT k, ln, head || concat_ws(chr(30), s01, s04, s07, s03, s08, s10, s05, s12) AS wire, head || concat_ws(chr(30), m01, s04, s07, s03, s08, s10, s05, s12) AS masked FROM q")
+def w03(spark, sf_dir):
+    """Requests written back from their field rows, as they are and with the scan's hits written over."""
+    read, fields = _long(spark, sf_dir, "request")
+    heads = read.select("id", "kind", "header", "responseHeader")
+    at = F.to_json(F.struct("id", "seg_no", "field_no"))
+    values = fields.select(at.alias("path"), F.col("field_id").alias("location"), S.lookup(scan.FIELD_CATEGORIES, F.col("field_id")).alias("category"), "value").where("category IS NOT NULL")
+    hits = scan.check_values(values, scan.allow_rows(spark.createDataFrame(_ALLOW, "kind string, value string"))).select("path").distinct()
+    place = F.from_json("path", "id struct<k:bigint,ln:int,n:bigint>, seg_no int, field_no int")
+    hits = hits.select(place.alias("p")).select("p.id", "p.seg_no", "p.field_no")
+    plain = L.text_of(fields, heads, "id")
+    over = L.text_of(L.masked(fields, hits, "id"), heads, "id").withColumnRenamed("wire", "masked")
+    return plain.join(over, "id").select("id.k", "id.ln", "wire", "masked")
+
+
+@query(
+    "t40_long_alerts",
+    f"""SELECT k, ln, CAST(i - 1 AS INT) AS pos, CASE WHEN (sk + i) % 2 = 0 THEN CAST(i AS VARCHAR) END AS counter, r AS reason, r <> 'ZZ' AS known, {_sql_map('r', codes.DUR_REASONS)} AS reason_name,
+    CASE WHEN i = n_dur AND ln % 2 = 0 THEN 'last' ELSE 't' || i END AS note FROM (SELECT *, CASE (pk + i) % 3 WHEN 0 THEN 'DD' WHEN 1 THEN 'TD' ELSE 'ZZ' END AS r FROM f, (VALUES (1), (2)) AS v(i) WHERE i <= n_dur)""",
+)
+def t40_long(spark, sf_dir):
+    """The alerts of t40 from field rows."""
+    found = L.alerts(_long(spark, sf_dir, "response")[1], "id")
+    return found.select("id.k", "id.ln", F.col("block").alias("pos"), "counter", "reason", F.col("reason_known").alias("known"), "reason_name", "note")
+
+
+@query(
+    "t45_long_payers",
+    f"""SELECT k, ln, CAST(i - 1 AS INT) AS pos, '0' || i AS coverage, CAST(sk AS VARCHAR) AS payer, CAST(j AS INT) AS row_no, CASE j WHEN 0 THEN '07' END AS qualifier, CASE j WHEN 0 THEN {AMOUNT} ELSE '1.00' END AS amount FROM f, (VALUES (1), (2)) AS v(i), (VALUES (0), (1)) AS w(j) WHERE i <= n_pay""",
+)
+def t45_long(spark, sf_dir):
+    """Other payers and what they paid, from field rows that are shuffled once."""
+    blocks = L.payer_blocks(_long(spark, sf_dir, "request")[1], "id")
+    found = L.payers(blocks, "id").join(L.amounts(blocks, "id"), ["id", "block"])
+    return found.select("id.k", "id.ln", F.col("block").alias("pos"), "coverage", "payer", "row_no", "qualifier", F.col("amount.amount").alias("amount"))
+
+
 @query("w01_canonical_text", f"{RESPONSE_TEXTS} SELECT k, ln, head || concat_ws(chr(30), s21, s23, s24, s28) AS wire FROM w")
 def w01_text(spark, sf_dir):
     """Canonical text, byte for byte."""
@@ -327,24 +415,70 @@ def p05(spark, sf_dir):
     return found.groupBy("flag").agg(F.sum(F.size("expected").cast("long")).alias("n_expected"), F.sum(F.size("unexpected").cast("long")).alias("n_unexpected"))
 
 
-@query("p09_profiles", "SELECT * FROM (VALUES ('surescripts', 0, 'routing-identifiers', 'script', 'adds', 0), ('pbm', 0, 'person-code-required', 'telecom', 'requires', 0), ('pbm', 1, 'reject-code-depth', 'telecom', 'adds', 1), ('pbm', 2, 'response-dur-segment', 'telecom', 'adds', 0)) AS v(profile, ord, id, standard, effect, n_expected)")
+#: Partners from the tables: a region's profile, a nation's that extends it, and a supplier's that extends its nation's and, for
+#: every third, a shared one. SQL that Spark and DuckDB read alike.
+PARTNERS = """, pr AS (SELECT 'region-' || r_regionkey AS name, 'Rules of ' || r_name AS description FROM region UNION ALL SELECT 'nation-' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'Rules of ' || n_name END FROM nation
+    UNION ALL SELECT 'shared', 'Shared rules' UNION ALL SELECT 'supplier-' || s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN s_name END FROM supplier),
+  pa AS (SELECT 'nation-' || n_nationkey AS name, 'region-' || n_regionkey AS parent, 0 AS ord FROM nation UNION ALL SELECT 'supplier-' || s_suppkey, 'nation-' || s_nationkey, 0 FROM supplier UNION ALL SELECT 'supplier-' || s_suppkey, 'shared', 1 FROM supplier WHERE s_suppkey % 3 = 0),
+  qu AS (SELECT 'region-' || r_regionkey AS name, 0 AS ord, 'person-code' AS id, 'telecom' AS standard, 'requires' AS effect, 'region' AS summary, CAST(NULL AS STRING) AS code FROM region UNION ALL SELECT 'region-' || r_regionkey, 1, 'routing', 'script', 'adds', 'region', 'VERSION_ABSENT' FROM region WHERE r_regionkey % 2 = 0
+    UNION ALL SELECT 'nation-' || n_nationkey, 0, 'reject-depth', 'telecom', 'adds', 'nation', 'UNKNOWN_REJECT_CODE' FROM nation WHERE n_nationkey % 3 <> 0 UNION ALL SELECT 'nation-' || n_nationkey, 1, 'person-code', 'telecom', 'relaxes', 'nation', NULL FROM nation WHERE n_nationkey % 4 = 0
+    UNION ALL SELECT 'shared', 0, 'status-conflicts', 'telecom', 'adds', 'shared', 'STATUS_CONFLICT' UNION ALL SELECT 'shared', 1, 'reject-depth', 'telecom', 'relaxes', 'shared', NULL
+    UNION ALL SELECT 'supplier-' || s_suppkey, 0, 'payer-counts', 'telecom', 'adds', 'supplier', 'COB_COUNT_MISMATCH' FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT 'supplier-' || s_suppkey, 1, 'person-code', 'telecom', 'adds', 'supplier', NULL FROM supplier WHERE s_suppkey % 2 = 0)"""
+#: The layers of every profile in their order, and its quirks, by the depth that the partners have.
+MERGED = PARTNERS + """, ly AS (SELECT name, name AS layer, 9 AS rk FROM pr UNION ALL SELECT name, parent, 2 FROM pa WHERE name LIKE 'nation%' UNION ALL SELECT name, parent, 3 + ord FROM pa WHERE name LIKE 'supplier%'
+    UNION ALL SELECT s.name, n.parent, 2 FROM pa s JOIN pa n ON n.name = s.parent WHERE s.name LIKE 'supplier%'),
+  oc AS (SELECT ly.name, rk * 10 + qu.ord AS place, id, standard, effect, summary, code FROM ly JOIN qu ON qu.name = layer),
+  mq AS (SELECT name, id, min(place) AS first, max_by(standard, place) AS standard, max_by(effect, place) AS effect, max_by(summary, place) AS summary, max_by(coalesce(code, ''), place) AS code FROM oc GROUP BY name, id)"""
+
+
+def partners(spark: SparkSession, sf_dir: str):
+    """(profiles, parents, quirks) of the partners."""
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "supplier")}
+    names = ("pr", "pa", "qu")
+    text = PARTNERS
+    for t in frames:
+        text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
+    profiles_, parents, quirks = (spark.sql(f"WITH {text[1:]} SELECT * FROM {n}", **frames) for n in names)
+    codes_ = F.array_compact(F.array("code"))
+    quirks = quirks.select("name", "ord", "id", "standard", "effect", "summary", F.lit("claims/partner.txt").alias("fixture"), F.lit("Partner sheet").alias("source_category"), codes_.alias("expected_warnings"))
+    return profiles_, parents, quirks
+
+
+@query("p03_merged_profiles", f"{MERGED} SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY first) - 1 AS INT) AS ord, id, standard, effect, summary, code FROM mq")
+def p03(spark, sf_dir):
+    """The quirks of all partners over three levels: later layers replace one at its first place."""
+    profiles_, parents, quirks = partners(spark, sf_dir)
+    merged = T.merge_quirks(T.layers_of(profiles_, parents), quirks)
+    return merged.select("name", "ord", "id", "standard", "effect", "summary", F.array_join("expected_warnings", ",").alias("code"))
+
+
+@query(
+    "p09_profiles",
+    f"""{MERGED} SELECT name, description, lineage, coalesce(standards, '') AS standards, coalesce(expected, '') AS expected, coalesce(n_relaxes, 0) AS n_relaxes, coalesce(n_adds, 0) AS n_adds, coalesce(n_requires, 0) AS n_requires
+    FROM (SELECT ly.name, max_by(pr.description, CASE WHEN pr.description IS NOT NULL THEN rk END) AS description, string_agg(layer, '>' ORDER BY rk) AS lineage FROM ly JOIN pr ON pr.name = layer GROUP BY ly.name)
+    LEFT JOIN (SELECT name, string_agg(DISTINCT standard, ',' ORDER BY standard) AS standards, string_agg(DISTINCT nullif(code, ''), ',' ORDER BY nullif(code, '')) AS expected, count(*) FILTER (effect = 'relaxes') AS n_relaxes, count(*) FILTER (effect = 'adds') AS n_adds, count(*) FILTER (effect = 'requires') AS n_requires FROM mq GROUP BY name) USING (name)""",
+)
 def p09(spark, sf_dir):
-    return profiles.profile_rows(spark).select("profile", "ord", "id", "standard", "effect", F.size("expectedWarnings").alias("n_expected"))
+    """Every partner's description, lineage, standards and expected warnings."""
+    profiles_, parents, quirks = partners(spark, sf_dir)
+    layers = T.layers_of(profiles_, parents)
+    told = T.describe_profiles(profiles_, layers, T.merge_quirks(layers, quirks))
+    joined = [F.array_join(c, s).alias(n) for c, s, n in (("lineage", ">", "lineage"), ("standards", ",", "standards"), ("expected_warnings", ",", "expected"))]
+    return told.select("name", "description", *joined, "n_relaxes", "n_adds", "n_requires")
 
 
 @query(
-    "p03_merged_profiles",
-    "SELECT * FROM (VALUES ('regional', 'pbm>surescripts>regional', 'Payer rules of a region', 0, 'person-code-required', 'relaxes', 'telecom', 0), ('regional', 'pbm>surescripts>regional', 'Payer rules of a region', 1, 'reject-code-depth', 'adds', 'telecom', 1), "
-    "('regional', 'pbm>surescripts>regional', 'Payer rules of a region', 2, 'response-dur-segment', 'adds', 'telecom', 0), ('regional', 'pbm>surescripts>regional', 'Payer rules of a region', 3, 'routing-identifiers', 'adds', 'script', 0)) AS v(profile, lineage, description, ord, id, effect, standard, n_expected)",
+    "p05_partner_warnings",
+    f"""{MERGED}, wa AS (SELECT sk, code FROM (SELECT sk, CASE WHEN an = 'X' THEN 'UNKNOWN_RESPONSE_STATUS' END AS code FROM f UNION ALL SELECT sk, 'UNKNOWN_REJECT_CODE' FROM f WHERE n_fb > 1 UNION ALL SELECT sk, 'STATUS_CONFLICT' FROM f WHERE {CONFLICT} UNION ALL SELECT sk, 'COB_COUNT_MISMATCH' FROM f WHERE n_pay > 0 AND ln % 5 = 0) WHERE code IS NOT NULL)
+    SELECT sk, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM mq WHERE mq.name = 'supplier-' || sk AND mq.code = wa.code) THEN 1 ELSE 0 END) AS BIGINT) AS n_expected, count(*) AS n FROM wa GROUP BY sk""",
 )
-def p03(spark, sf_dir):
-    """A profile over two parents: later layers replace a quirk at its first place; lineage and description as described."""
-    own = profiles.Quirk("person-code-required", "telecom", "relaxes", "The person code may be absent.", "claims/person-code.txt", "Payer sheets: person code")
-    merged = profiles.define_profile(name="regional", description="Payer rules of a region", quirks=[own], extends=[profiles.PBM, profiles.SURESCRIPTS])
-    told = merged.describe()
-    return profiles.profile_rows(spark, [merged]).select(
-        "profile", F.lit(">".join(told["lineage"])).alias("lineage"), "description", "ord", "id", "effect", "standard", F.size("expectedWarnings").alias("n_expected")
-    )
+def p05_partners(spark, sf_dir):
+    """Warnings of responses by whether the partner that the row names expects them."""
+    profiles_, parents, quirks = partners(spark, sf_dir)
+    layers = T.layers_of(profiles_, parents)
+    told = T.describe_profiles(profiles_, layers, T.merge_quirks(layers, quirks))
+    found = T.partition_warnings_by(responses(spark, sf_dir, "sk"), told, F.concat(F.lit("supplier-"), F.col("sk")))
+    return found.groupBy("sk").agg(F.sum(F.size("expected").cast("long")).alias("n_expected"), F.sum(F.size("warnings").cast("long")).alias("n")).where("n > 0")
 
 
 @query(
@@ -481,6 +615,21 @@ def s30(spark, sf_dir):
     return nodes.where(F.col("name").isin("Message", "Header", "RelatesToMessageID", "RxFill")).groupBy("name").agg(F.count("*").alias("n"))
 
 
+@query(
+    "s31_first_descendants",
+    f"""SELECT k, ancestor, descendant, text FROM (SELECT k, 'Patient' AS ancestor, 'Name' AS descendant, '' AS text FROM o WHERE sort IN (0, 1, 2, 3) UNION ALL SELECT k, 'Prescriber', 'LastName', 'Doc' FROM o WHERE sort IN (0, 1, 2, 3) UNION ALL SELECT k, 'Message', 'LastName', 'L' || ck FROM o WHERE sort IN (0, 1, 2, 3)
+    UNION ALL SELECT k, 'Body', 'DrugDescription', 'Drug ' || (k % 100) FROM o WHERE {_MED} UNION ALL SELECT k, 'Sig', 'SigText', CASE shape WHEN 2 THEN 'take one' WHEN 3 THEN 'take two' ELSE 'as told' END FROM o WHERE ({_MED}) AND shape IN (2, 3, 4)
+    UNION ALL SELECT k, 'Header', 'Header', '' FROM o WHERE sort < 13 UNION ALL SELECT k, 'Body', 'Code', CASE sort WHEN 7 THEN '000' WHEN 8 THEN '600' WHEN 9 THEN ' ' ELSE CASE shape WHEN 1 THEN '77' ELSE 'C48542' END END FROM o WHERE sort IN (7, 8, 9) OR (({_MED}) AND shape IN (1, 2)))""",
+)
+def s31(spark, sf_dir):
+    """For pairs of names, the first element of the one in each element of the other, over all messages' node rows."""
+    pairs = spark.createDataFrame([("Patient", "Name"), ("Prescriber", "LastName"), ("Message", "LastName"), ("Body", "DrugDescription"), ("Sig", "SigText"), ("Header", "Header"), ("Body", "Code"), ("Code", "Message")], "ancestor string, descendant string")
+    nodes = P.script_nodes(script_messages(spark, sf_dir), "k")
+    found = L.first_descendants(nodes, pairs, "k")
+    texts = nodes.select("k", F.col("id").alias("found"), "text")
+    return found.join(texts, ["k", "found"]).select("k", "ancestor", "descendant", "text")
+
+
 @query("s37_correlation", "SELECT a.k AS response_id, b.k AS request_id FROM o a JOIN o b ON b.k = a.k - 3 WHERE a.sort IN (4, 5, 6) AND b.sort IN (1, 2, 3)")
 def s37(spark, sf_dir):
     found = scripts(spark, sf_dir, "kind", "header", "correlatesTo")
