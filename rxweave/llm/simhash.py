@@ -162,8 +162,9 @@ def ring_holds(differ: np.ndarray, budget: int | np.ndarray) -> np.ndarray:
     return held.any(axis=1)
 
 
-#: Cells of the table of shingle frequencies, the count from which a task reports a cell, and nodes in a block of a large group.
-CELLS_LOG, REPORTED, GROUP_BLOCK = 22, 4, 512
+#: Cells of the table of shingle frequencies, cells of one of its blocks, the count up to which a cell is rare, and nodes in a block of a
+#: large group.
+CELLS_LOG, BLOCK_LOG, RARE, GROUP_BLOCK = 22, 12, 7, 512
 
 
 def toggles_of(hashes: np.ndarray, boxes: int = BOXES) -> list[int]:
@@ -182,24 +183,38 @@ def prefix_of(hashes: np.ndarray, levels: np.ndarray, similarity: float) -> np.n
 
 
 def _levels(rows: DataFrame, size: int) -> np.ndarray:
-    """A level (log2 of a count over all rows) for each cell of shingle hashes. It only orders shingles, so that the common ones
-    come last: cells that a task has met less than REPORTED times may be left out of its count without a loss."""
+    """A level (log2 of a count over all rows) for each cell of shingle hashes; it orders shingles, so that the common ones come last.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = np.zeros(1 << CELLS_LOG, np.int32), Hashes()
+    The counts are those of all rows, however they are dealt over tasks. A task hands on the cells that it has met, packed
+    by block; blocks are summed where they meet, and the driver gets a byte for each of the table's cells.
+    """
+    blocks, cells = 1 << (CELLS_LOG - BLOCK_LOG), 1 << BLOCK_LOG
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, known = np.zeros(blocks * cells, np.uint32), Hashes()
         for batch in small(batches):
             for t in batch.column(0).to_pylist():
                 counts[(shingle_hashes(t, size, known) >> np.uint64(64 - CELLS_LOG)).astype(np.int64)] += 1
-        cells = np.flatnonzero(counts >= REPORTED)
-        for low in range(0, len(cells), 100_000):
-            part = cells[low : low + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["cell", "n"])
-
-    cells = rows.select("text").mapInArrow(run, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 7")
-    found = cells.select("cell", F.log2("n").cast("int").alias("level")).toArrow()  # at most a row for each cell
-    levels = np.zeros(1 << CELLS_LOG, np.uint8)
-    levels[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return levels
+        for n, block in enumerate(counts.reshape(blocks, cells)):
+            met = np.flatnonzero(block)
+            if len(met):
+                packed = met.astype("<u2").tobytes() + block[met].astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([packed], pa.binary())], names=["block", "packed"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                k = len(packed) // 6
+                sums.setdefault(n, np.zeros(cells, np.int64))[np.frombuffer(packed, "<u2", k)] += np.frombuffer(packed, "<u4", k, 2 * k)
+        levels = [np.where(x > RARE, np.log2(np.maximum(x, 1)), 0).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array(levels, pa.binary())], names=["block", "levels"])
+
+    packed = rows.select("text").mapInArrow(count, "block int, packed binary").repartition("block")
+    levels = np.zeros((blocks, cells), np.uint8)
+    for r in packed.mapInArrow(total, "block int, levels binary").collect():  # a row for each block
+        levels[r["block"]] = np.frombuffer(r["levels"], np.uint8)
+    return levels.ravel()
 
 
 def _rest(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:

@@ -133,3 +133,26 @@ def test_a_hub_links_a_thousand_variants_that_are_not_similar_to_each_other(spar
     found = {r.doc_id: r.component_id for r in similar_documents(df).collect()}
     assert {found[k] for k in order[:1001]} == {min(order[:1001])}
     assert all(found[k] == k for k in order[1001:])
+
+
+def test_frequencies_and_candidates_do_not_depend_on_the_number_of_tasks(spark, monkeypatch):
+    import numpy as np
+
+    from rxweave.llm import simhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select(F.col("text").cast("binary").alias("text"))
+    few, many = (simhash._levels(rows.repartition(n), 5) for n in (2, 100))
+    assert np.array_equal(few, many) and few.max() > 3
+    counts = {}
+
+    def counted(df, name, keep=simhash.stored):
+        made = keep(df, name)
+        counts.setdefault(name, []).append(made.count())
+        return made
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    found = [sorted((r.doc_id, r.component_id) for r in similar_documents(docs.repartition(n)).collect()) for n in (2, 100)]
+    assert found[0] == found[1]
+    few, many = counts["similar-rest"]
+    assert abs(few - many) <= 0.05 * max(few, many, 1)
