@@ -320,7 +320,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, *
     ring = F.arrays_zip("boxes", F.concat(F.slice("boxes", 2, BOXES - 1), F.slice("boxes", 1, 1)).alias("then"))
     starts = F.flatten(F.transform(ring, lambda x, i: F.array(F.xxhash64(i, x["boxes"]), F.xxhash64(i, x["boxes"], x["then"]))))
     box = nodes.select("node", F.explode(starts).alias("start"))
-    some = F.min_by("node", F.xxhash64("node", "start"))
+    some = F.min_by("node", F.xxhash64("node"))  # in one order for all boxes, so that alike nodes face few centres and not one for each box
     centre = box.groupBy("start").agg(F.array_distinct(F.array(F.min("node"), F.max("node"), some)).alias("centres"), F.count("*").alias("n")).where("n > 1").drop("n")
     faced = box.join(centre, "start").select(F.col("node").alias("b"), F.explode("centres").alias("a")).where("a <> b")
     pairs = stored(faced.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
