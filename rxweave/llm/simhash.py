@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -162,6 +163,8 @@ def ring_holds(differ: np.ndarray, budget: int | np.ndarray) -> np.ndarray:
     return held.any(axis=1)
 
 
+#: Words that a ring of turned bits is folded to.
+FOLDED = 5
 #: Cells of the table of shingle frequencies, cells of one of its blocks, the count up to which a cell is rare, and nodes in a block of a
 #: large group.
 CELLS_LOG, BLOCK_LOG, RARE, GROUP_BLOCK = 22, 12, 7, 512
@@ -221,24 +224,28 @@ def _rest(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that may be similar and are not yet in one component, by an exact path.
 
     Two sets at the similarity or above share a shingle of their prefixes. Groups of nodes with a common prefix shingle
-    are taken in all pairs, but for pairs of one component; a large group is dealt out in pairs of blocks. Pairs whose sizes
-    or places in the prefix rule the similarity out go. Then pigeonring on the rings of turned bits: the sets differ in
+    are taken in all pairs, but for pairs of one component; a large group is dealt out in pairs of blocks. Pairs whose sizes,
+    places in the prefix or folded bits rule the similarity out never leave the join. Then pigeonring on the rings of turned bits: the sets differ in
     at least as many shingles as bits, so at the similarity the budget is what their sizes allow, and no pair is lost.
     """
-    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.posexplode("prefix").alias("place", "token"))
+    # the ring folded to a few words: also turned by at most as many shingles as differ, and small enough for every member row
+    bits = F.array(*[reduce(lambda a, b: a.bitwiseXOR(b), [F.col("toggles")[i] for i in range(n, BOXES, FOLDED)]) for n in range(FOLDED)])
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", bits.alias("bits"), F.posexplode("prefix").alias("place", "token"))
     shared = rooted.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     shared = shared.select("token", (1 + F.floor(F.col("n") / GROUP_BLOCK)).cast("int").alias("k"))
     member = rooted.join(shared, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     member = stored(member, "similar-members")
     dealt = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    x = dealt.where("o >= block").select("token", F.col("block").alias("c"), F.col("o").alias("d"), F.struct("node", "root", "size", "place").alias("x"))
-    y = dealt.where("o <= block").select("token", F.col("o").alias("c"), F.col("block").alias("d"), F.struct("node", "root", "size", "place").alias("y"))
+    x = dealt.where("o >= block").select("token", F.col("block").alias("c"), F.col("o").alias("d"), F.struct("node", "root", "size", "place", "bits").alias("x"))
+    y = dealt.where("o <= block").select("token", F.col("o").alias("c"), F.col("block").alias("d"), F.struct("node", "root", "size", "place", "bits").alias("y"))
     both = F.col("x.size") + F.col("y.size")
+    differing = reduce(lambda a, b: a + b, [F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(FOLDED)])
     near = x.join(y, ["token", "c", "d"]).where(
         (F.col("x.root") != F.col("y.root"))
         & ((F.col("c") != F.col("d")) | (F.col("x.node") < F.col("y.node")))
         & (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6)
         & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= both * (similarity / (1 + similarity)) - 1e-6)
+        & (differing <= both * ((1 - similarity) / (1 + similarity)) + 1e-6)
     )
     pairs = stored(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "similar-rest")
     drop_stored(member)
