@@ -133,21 +133,22 @@ def search(vectors: DataFrame, every: int = 100, n: int = 10, *, key: str = "vec
     Rows and queries meet in a join on the cell. A cell of many rows is dealt out by ``rows``, one that many queries visit by
     ``queries``, so a task holds at most about so many of each. The driver sees the sample and a row for each cell.
 
-    Rows whose key is null, or whose vector is null, zero, empty, of another length than the first valid row by hash, or
-    holds nulls or non-finite numbers, take no part. Repeated keys are candidates (and, as queries, one) each; other
+    Rows whose key is null, or whose vector is null, zero, empty, of another length than most valid rows have (the
+    longer of two as common), or holds nulls or non-finite numbers, take no part. Repeated keys are candidates (and, as queries, one) each; other
     columns are ignored; without two valid keys there are no rows.
     """
     spark = vectors.sparkSession
     valid = _valid(vectors, key, vector)
-    sample = valid.withColumn("h", F.xxhash64("key")).orderBy("h", "key").limit(TRAIN_ROWS).toPandas()
     result = "query_id long, rank int, {} long, score double".format(key)
-    if sample.empty:
+    commonest = valid.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
+    if commonest is None:
         return spark.createDataFrame([], result)
-    dims = len(sample["vec"][0])
-    sample = sample[sample["vec"].map(len) == dims]
+    dims = commonest["dims"]
+    valid = valid.where(F.size("vec") == dims)
+    sample = valid.withColumn("h", F.xxhash64("key")).orderBy("h", "key").limit(TRAIN_ROWS).toPandas()
     known = sample["key"].to_numpy(), np.array(sample["vec"].tolist(), float)
     fitted = train(known[1])
-    indexed = stored(index(valid.where(F.size("vec") == dims), fitted, dims), "ann-index")
+    indexed = stored(index(valid, fitted, dims), "ann-index")
     cells = {r.cell: (r.radius, r.n) for r in indexed.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()}  # a row for each entry of a book
     books, seen = spark.sparkContext.broadcast(fitted), spark.sparkContext.broadcast((known, {c: r for c, (r, _) in cells.items()}))
     asked = indexed.where(F.col("key") % every == 0).groupBy("key").agg(F.min("vec").alias("vec"))

@@ -42,6 +42,15 @@ def test_ties_and_rows_that_take_no_part(spark):
     assert rows == [(100, n, k, 0.0) for n, k in enumerate([95, 96, 97, 98, 99, 101, 102, 103, 104, 105], 1)]
 
 
+def test_vectors_of_another_length_take_no_part(spark):
+    """Whichever row is first by hash: for each of many keys, one vector of that key is shorter than all others."""
+    good = [(k, [float(k), 1.0]) for k in range(1, 200)]
+    first = spark.createDataFrame([(k,) for k in range(1000, 1400)], "k long").orderBy(F.xxhash64("k")).first().k
+    for odd in (first, 1234):
+        rows = search(spark.createDataFrame([*good, (odd, [5.0, 1.0, 1.0])], "vec_id long, embedding array<double>")).collect()
+        assert len(rows) == 10 and {r.query_id for r in rows} == {100} and odd not in {r.vec_id for r in rows}
+
+
 def test_few_rows_and_empty_table(spark):
     df = spark.createDataFrame([(100, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id) for r in search(df).collect()] == [(100, 3)]
