@@ -24,7 +24,7 @@ RUN = "[A-Za-zÀ-ÿ]+"
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: One bigram destroyed for each letter of it, and one more.
 PREFIX = 3
-#: Letters of the shortest words: their halves must be longer than nothing but a bigram.
+#: Fewest letters of a word: each of its halves then has three.
 SHORTEST = 6
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 200_000
