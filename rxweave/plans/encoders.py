@@ -53,7 +53,7 @@ FROM facts
 
 ORDER_FACTS = """
 SELECT o_orderkey AS k, o_custkey AS ck, CAST(o_orderkey % 14 AS INT) AS sort, CAST(o_custkey % 5 AS INT) AS v, CAST(o_orderkey % 6 AS INT) AS shape, o_orderpriority AS prio,
-  CAST(round(o_totalprice) AS BIGINT) AS total
+  CAST(round(o_totalprice) AS BIGINT) AS total, CAST(o_orderdate AS DATE) AS placed
 FROM orders
 """
 _SCRIPTS = """

@@ -17,7 +17,7 @@ from rxweave.operators import claims as C
 from rxweave.operators import prescriptions as P
 from rxweave.operators import longform as L
 from rxweave.operators import profile_tables as T
-from rxweave.operators import profiles, scan
+from rxweave.operators import answers, code_tables, profiles, rollups, scan
 from rxweave.plans.encoders import FACTS, ORDER_FACTS, claim_messages, script_messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,6 +205,43 @@ def t46(spark, sf_dir):
     return found.select(*KEY, "pos", p("coverageType", "coverage"), p("payerId", "payer"), p("processorControlNumber", "pcn"), p("cardholderId", "cardholder"), p("groupId", "group_id"))
 
 
+@query("t46_payer_names", "SELECT k, ln, CAST(i - 1 AS INT) AS pos, CAST(sk AS VARCHAR) AS payer, s_name AS payer_name, s_name IS NOT NULL AS payer_known FROM f CROSS JOIN (VALUES (1), (2)) AS v(i) LEFT JOIN supplier ON s_suppkey = sk AND s_suppkey % 3 <> 0 WHERE i <= n_pay")
+def t46_names(spark, sf_dir):
+    """Other payers by the names of a payer table that lacks a third of them."""
+    table = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 3 <> 0")
+    found = C.with_response_other_payers(responses(spark, sf_dir)).select(*KEY, F.posexplode("otherPayers").alias("pos", "p")).select(*KEY, "pos", F.col("p.payerId").alias("payer"))
+    named = code_tables.with_code_name(found, "payer", table, "payer_name", "s_suppkey", "s_name")
+    return named.withColumnRenamed("payer_name_known", "payer_known")
+
+
+@query("t46_unknown_payers", "SELECT CAST(sk AS VARCHAR) AS code, CAST(sum(n_pay) AS BIGINT) AS n FROM f WHERE sk % 3 = 0 AND n_pay > 0 GROUP BY sk")
+def t46_unknown(spark, sf_dir):
+    """The payers that the table lacks, with the number of their rows."""
+    table = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 3 <> 0")
+    found = C.with_response_other_payers(responses(spark, sf_dir)).select(F.explode("otherPayers.payerId").alias("payer"))
+    return code_tables.unknown_codes(found, "payer", table, "s_suppkey")
+
+
+@query(
+    "r02_merged_rollup",
+    f"""SELECT flag, CAST(pk % 5 AS INT) AS grp, count(*) AS n, CAST(sum(CASE WHEN {DISPOSITION} = 'rejected' THEN 1 ELSE 0 END) AS BIGINT) AS n_rejected, CAST(sum(cents) AS BIGINT) AS paid_cents, CAST(GROUPING(flag) * 2 + GROUPING(pk % 5) AS INT) AS grouping, TRUE AS members_near, TRUE AS median_near
+    FROM f GROUP BY GROUPING SETS ((flag, pk % 5), (flag), ())""",
+)
+def r02(spark, sf_dir):
+    """State by day, flag and group, combined over all days; sketches are held against exact figures of the same rows."""
+    found = C.with_response_pricing(C.with_response_status(responses(spark, sf_dir, "pk", "ship")))
+    cents = (F.col("pricing.totalAmountPaid.amount").cast("decimal(20,2)") * 100).cast("long")
+    rows = found.select("ship", "flag", (F.col("pk") % 5).cast("int").alias("grp"), F.col("responseHeader.serviceProviderId").alias("member"), (F.col("status.disposition") == "rejected").alias("rejected"), cents.alias("cents"))
+    state = rollups.daily_state(rows, ["ship", "flag", "grp"], F.col("member"), F.col("rejected"), F.col("cents"))
+    sets, columns = [["flag", "grp"], ["flag"], []], ["flag", "grp"]
+    told = rollups.estimates(rollups.combined(state, sets, columns), [0.5])
+    exact = rows.groupingSets([[F.col(c) for c in s] for s in sets], F.col("flag"), F.col("grp")).agg(F.count_distinct("member").alias("m"), F.percentile_approx("cents", [0.45, 0.55], 10_000).alias("mid"), F.grouping_id().cast("int").alias("g"))
+    exact = exact.select(F.col("flag").alias("_f"), F.col("grp").alias("_p"), "m", "mid", "g")
+    both = told.join(exact, (F.col("grouping") == F.col("g")) & F.col("flag").eqNullSafe(F.col("_f")) & F.col("grp").eqNullSafe(F.col("_p")))
+    near = F.abs(F.col("members") - F.col("m")) <= F.col("m") * 0.06 + 1
+    return both.select("flag", "grp", "n", "n_rejected", "paid_cents", "grouping", near.alias("members_near"), F.col("paid_p50").between(F.col("mid")[0], F.col("mid")[1]).alias("median_near"))
+
+
 @query(
     "t50_response_warnings",
     f"""{RESPONSE_TEXTS} SELECT k, ln, code, byte_offset, field_id, {_sql_map('code', codes.CLAIM_WARNINGS)} AS message FROM (SELECT k, ln, 'UNKNOWN_RESPONSE_STATUS' AS code, 24 AS byte_offset, 'AN' AS field_id FROM f WHERE an = 'X'
@@ -636,6 +673,18 @@ def s37(spark, sf_dir):
     return P.correlate(P.of_kind(found, *codes.LIFECYCLE_RESPONSES), P.of_kind(found, *codes.LIFECYCLE_REQUESTS), "k")
 
 
+@query(
+    "s37_unanswered",
+    """SELECT b.k AS request_id, b.placed AS asked, CASE WHEN a.placed BETWEEN b.placed AND b.placed + 400 THEN 'answered' ELSE 'unanswered' END AS outcome, CASE WHEN a.placed BETWEEN b.placed AND b.placed + 400 THEN a.placed END AS first_answer,
+    CAST(CASE WHEN a.placed BETWEEN b.placed AND b.placed + 400 THEN 1 ELSE 0 END AS BIGINT) AS n_answers, CAST(CASE WHEN a.placed < b.placed THEN 1 ELSE 0 END AS BIGINT) AS n_early FROM o b LEFT JOIN o a ON a.k = b.k + 3 AND a.sort IN (4, 5, 6) WHERE b.sort IN (1, 2, 3)""",
+)
+def s37_unanswered(spark, sf_dir):
+    """Every request by whether it was answered within 400 days; early and late answers don't count."""
+    found = P.parse_scripts(script_messages(spark, sf_dir).select("k", "placed", "payload"), only=("kind", "header", "correlatesTo"))
+    told = answers.answered_requests(P.of_kind(found, *codes.LIFECYCLE_REQUESTS), P.of_kind(found, *codes.LIFECYCLE_RESPONSES), "k", "placed", "400 days")
+    return told.select("request_id", F.to_date("request_time").alias("asked"), "outcome", F.to_date("first_answer").alias("first_answer"), "n_answers", "n_early")
+
+
 @query("w06_canonical_xml", f"SELECT {_KINDS} AS kind, count(*) AS n, count(*) AS n_same_kind, CAST(sum(CASE WHEN sort IN (0, 1, 2, 3) THEN 0 ELSE 1 END) AS BIGINT) AS n_stable FROM o WHERE sort <> 13 GROUP BY 1")
 def w06(spark, sf_dir):
     """Emitted XML reads as the same kind, and emits the same again; but for entities, which are escaped once more each time."""
