@@ -50,7 +50,7 @@ EXTRA_TEMPLATES = (
     Template("mit-text", "permission hereby granted free charge person obtaining copy software", 0.8),
     Template("mpl", "source code form subject terms mozilla public license", 0.8),
 )
-#: A block is this many words; the next one starts half a block later.
+#: A block is this many words, from any word on.
 BLOCK = 64
 
 _POSTINGS = "key long, n_words long, at array<int>, token array<int>"
@@ -74,70 +74,83 @@ def _postings(vocabulary: dict[bytes, int]):
 
 
 class BlockJoin:
-    """Joins the blocks of one text with the templates; tokens are numbers, the globally rarest first.
+    """Joins every block (``block`` words from any word on) of one text with the templates; tokens are numbers, the globally
+    rarest first, and a template's tokens have a place in that order.
 
-    A block and a template with enough shared tokens share one of the template's first ``len - need + 1`` tokens (prefix
-    filter); a block needs ``need`` vocabulary tokens (length filter); and at each shared token the tokens left on either
-    side bound the overlap (positional filter). What remains is counted exactly.
+    A block that meets a template's threshold has one of the template's first ``len - need + 1`` tokens (prefix filter): only
+    places less than a block away from such a token are looked at. A run of them must have ``need`` different tokens
+    (length filter), and what follows its rarest token in the template must be enough (positional filter). What remains is
+    counted exactly, block by block, with two pointers: work grows with the places of template words.
     """
 
     def __init__(self, templates: Sequence[Template], rank: dict[str, int], block: int = BLOCK) -> None:
-        self.templates, self.half = templates, block // 2
+        self.templates, self.block = templates, block
         self.sets = [sorted({rank[w] for w in t.tokens}) for t in templates]
         self.exact = [[rank[w] for w in t.tokens] for t in templates]
-        self.prefix: dict[int, list[tuple[int, int]]] = {}
+        self.prefix: dict[int, list[int]] = {}
+        self.member: dict[int, list[tuple[int, int]]] = {}
         for n, (t, s) in enumerate(zip(templates, self.sets, strict=True)):
-            for p, token in enumerate(s[: len(s) - t.need + 1]):
-                self.prefix.setdefault(token, []).append((n, p))
-
-    def blocks(self, at: list[int], token: list[int]) -> Iterator[list[tuple[int, int]]]:
-        found: dict[int, list[tuple[int, int]]] = {}
-        for i, t in zip(at, token, strict=True):
-            b = i // self.half
-            found.setdefault(b, []).append((i, t))
-            if b:
-                found.setdefault(b - 1, []).append((i, t))
-        return iter(found.values())
-
-    def overlap(self, template: int, have: list[int]) -> int:
-        """Shared tokens of the template and the sorted tokens of a block; 0 as soon as ``need`` is out of reach."""
-        want, need = self.sets[template], self.templates[template].need
-        i = j = n = 0
-        while i < len(want) and j < len(have):
-            if n + min(len(want) - i, len(have) - j) < need:
-                return 0
-            if want[i] == have[j]:
-                n, i, j = n + 1, i + 1, j + 1
-            elif want[i] < have[j]:
-                i += 1
-            else:
-                j += 1
-        return n if n >= need else 0
+            for p, token in enumerate(s):
+                self.member.setdefault(token, []).append((n, p))
+                if p <= len(s) - t.need:
+                    self.prefix.setdefault(token, []).append(n)
+
+    def runs(self, template: int, hits: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+        """The (word, place) hits less than a block away from a prefix token, in runs whose gaps are less than a block."""
+        reach = len(self.sets[template]) - self.templates[template].need
+        anchors = [i for i, p in hits if p <= reach]
+        run: list[tuple[int, int]] = []
+        a = 0
+        for i, p in hits:
+            while a < len(anchors) and anchors[a] <= i - self.block:
+                a += 1
+            if a == len(anchors) or anchors[a] >= i + self.block:
+                continue
+            if run and run[-1][0] <= i - self.block:
+                yield run
+                run = []
+            run.append((i, p))
+        if run:
+            yield run
+
+    def shared(self, template: int, run: list[tuple[int, int]]) -> int:
+        """The most tokens of the template that one block of a run has; 0 if that is below ``need``."""
+        size, need = len(self.sets[template]), self.templates[template].need
+        places = {p for _, p in run}
+        if len(places) < need or size - min(places) < need:
+            return 0
+        counts, have, best, low = [0] * size, 0, 0, 0
+        for i, p in run:
+            while run[low][0] <= i - self.block:
+                counts[run[low][1]] -= 1
+                have -= counts[run[low][1]] == 0
+                low += 1
+            have += counts[p] == 0
+            counts[p] += 1
+            best = max(best, have)
+            if best == size:
+                break
+        return best if best >= need else 0
 
     def judge(self, at: list[int], token: list[int]) -> tuple[set[tuple[int, int]], dict[int, float]]:
         """(template, start) of every phrase place, and the best containment of each other template that is met."""
         places: set[tuple[int, int]] = set()
         met: dict[int, float] = {}
-        if self.prefix.keys().isdisjoint(token):
+        hits: dict[int, list[tuple[int, int]]] = {n: [] for t in set(token) for n in self.prefix.get(t, ())}
+        if not hits:
             return places, met
-        for block in self.blocks(at, token):
-            have = sorted({t for _, t in block})
-            seen: set[int] = set()
-            for q, t in enumerate(have):
-                for n, p in self.prefix.get(t, ()):
-                    if n in seen or len(have) < self.templates[n].need:
-                        continue
-                    seen.add(n)  # t is the first token that both have, so the rest of either side bounds what they share
-                    if min(len(self.sets[n]) - p, len(have) - q) < self.templates[n].need:
-                        continue
-                    shared = self.overlap(n, have)
-                    if not shared:
-                        continue
-                    if self.templates[n].phrase:
-                        words, here = self.exact[n], dict(block)
-                        places.update((n, i) for i, x in block if x == words[0] and all(here.get(i + k) == w for k, w in enumerate(words)))
-                    else:
-                        met[n] = max(met.get(n, 0.0), shared / len(self.sets[n]))
+        for i, t in zip(at, token, strict=True):
+            for n, p in self.member[t]:
+                if n in hits:
+                    hits[n].append((i, p))
+        here = dict(zip(at, token, strict=True))
+        for n, own in hits.items():
+            if self.templates[n].phrase:
+                words = self.exact[n]
+                lead = self.sets[n].index(words[0])
+                places.update((n, i) for i, p in own if p == lead and all(here.get(i + k) == w for k, w in enumerate(words)))
+            elif best := max((self.shared(n, run) for run in self.runs(n, own)), default=0):
+                met[n] = best / len(self.sets[n])
         return places, met
 
 
@@ -147,9 +160,9 @@ def scan_licenses(
     """Find license templates in whole texts; one row out for each row in.
 
     One pass over the texts writes each row's places of template words; their global counts (a row for each template
-    word) order the tokens; the second pass, over those places alone, joins blocks of ``block`` words, half a block
-    apart, with the templates. Templates come from the driver, so their tokens are bounded; no row is shuffled.
-    No phrase may have more than ``block / 2`` words, so each place lies whole in some block.
+    word) order the tokens; the second pass, over those places alone, joins every block of ``block`` words, wherever it
+    starts, with the templates. Templates come from the driver, so their tokens are bounded; no row is shuffled.
+    No phrase may have more than ``block / 2`` words; longer texts are templates with a threshold.
 
     Columns: key, n_words, n_base (places of base phrases), first_word, last_word (smallest and largest start of one,
     else null), base_labels, labels (distinct, sorted, comma-joined), score (1 for a base phrase, else the best

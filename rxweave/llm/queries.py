@@ -60,8 +60,8 @@ places AS (SELECT r, i, 'cc-by' AS label FROM phrases WHERE w = 'cc' AND w1 = 'b
   UNION ALL SELECT r, i, 'reserved' FROM phrases WHERE w = 'all' AND w1 = 'rights' AND w2 = 'reserved'),
 based AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
 words AS (SELECT label, len(words) AS n, unnest(words) AS w FROM extra),
-blocks AS (SELECT r, w, i // 32 AS b FROM flat WHERE w IN (SELECT w FROM words) UNION SELECT r, w, i // 32 - 1 FROM flat WHERE w IN (SELECT w FROM words) AND i >= 32),
-met AS (SELECT r, label, count(DISTINCT w) / any_value(n) AS share FROM blocks JOIN words USING (w) GROUP BY r, label, b HAVING count(DISTINCT w) >= ceil(0.8 * any_value(n) - 1e-9)),
+windows AS (SELECT r, label, n, count(DISTINCT w) OVER (PARTITION BY r, label ORDER BY i RANGE BETWEEN CURRENT ROW AND 63 FOLLOWING) AS c FROM flat JOIN words USING (w)),
+met AS (SELECT r, label, max(c) / any_value(n) AS share FROM windows GROUP BY r, label HAVING max(c) >= ceil(0.8 * any_value(n) - 1e-9)),
 added AS (SELECT r, max(share) AS share FROM met GROUP BY r),
 named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION SELECT r, label FROM met) GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,

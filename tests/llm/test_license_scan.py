@@ -12,7 +12,7 @@ def brute(text, block=64):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", folded)
     places = [(t.label, i) for t in BASE_TEMPLATES for i in range(len(words)) if tuple(words[i : i + len(t.tokens)]) == t.tokens]
     met = {}
-    for low in range(0, max(len(words), 1), block // 2):
+    for low in range(max(len(words), 1)):
         have = set(words[low : low + block])
         for t in EXTRA_TEMPLATES:
             share = len(have & set(t.tokens)) / len(set(t.tokens))
@@ -40,6 +40,15 @@ def test_scan_matches_brute_force(spark):
     assert found == {i: brute(t) for i, t in rows}
 
 
+def test_a_text_is_found_at_any_offset(spark):
+    """Seven words, nine fillers between each and the next but the last: 61 words, wherever they start."""
+    words = "licensed under apache license version 2 0".split()
+    spread = (" " + "filler " * 9).join(words)
+    wide = (" " + "filler " * 15).join(words)  # at most four words in a block
+    df = spark.createDataFrame([(n, "pad " * n + spread) for n in range(70)] + [(100 + n, "pad " * n + wide) for n in range(70)], "doc_id long, text string")
+    assert {(r.doc_id < 100, r.labels, r.score) for r in scan_licenses(df).collect()} == {(True, "apache-2.0", 1.0), (False, "", 0.0)}
+
+
 def test_null_and_repeated_keys_and_empty_table(spark):
     df = spark.createDataFrame([(None, "cc by"), (1, "cc by"), (1, "none"), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_base) for r in scan_licenses(df).collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
