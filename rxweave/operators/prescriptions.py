@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rxweave import codes
 from rxweave.functions.scalars import BLANKS, check_mode, coded_value, decimal_value, disposition_of_kind, let, settled, sql_text, text_or_null, trim_blank
-from rxweave.sources.xml import NODE, shred_messages
+from rxweave.sources.xml import NODE, REFUSED, shred_messages
 
 WARNING = "struct<code:string,message:string,path:string>"
 NODES, INDEX = "_nodes", "_index"
@@ -213,7 +213,7 @@ def parse_scripts(raw: DataFrame, payload: str = "payload", *, mode: str = "PERM
     check_mode(mode)
     kept = [c for c in raw.columns if c != payload] if keep is None else list(keep)
     text = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    refused = text.rlike("(?i)<!(?:DOCTYPE|ENTITY)\\b")
+    refused = text.rlike(REFUSED)
     gate = F.when(trim_blank(text) == "", _fatal("EMPTY_INPUT")).when(refused, _fatal("NOT_XML"))
     step = raw.select(F.struct(F.lit(0).alias("_"), *kept).alias("_rest"), gate.alias("_gate"), F.when(gate.isNull(), text).alias("_text"))
     step = shred_messages(step, "_text", NODES, index=INDEX, deep=codes.DEEP_ELEMENTS).drop("_text")
@@ -451,8 +451,10 @@ def _built(inputs: DataFrame, error: Column, kind: Column) -> DataFrame:
 
 
 def script_nodes(raw: DataFrame, key: str, payload: str = "payload") -> DataFrame:
-    """A row for each element: key and the node's columns."""
-    return shred_messages(raw.select(key, payload), payload).select(key, F.explode("nodes").alias("n")).select(key, "n.*")
+    """A row for each element: key and the node's columns. Null, blank and unreadable texts, and those with a document type or an
+    entity declaration, have no rows."""
+    text = F.col(payload).cast("string")
+    return shred_messages(raw.select(key, F.when(~text.rlike(REFUSED), text).alias(payload)), payload).select(key, F.explode("nodes").alias("n")).select(key, "n.*")
 
 
 __all__ = ["NODE"] + [n for n in dir() if not n.startswith("_")]

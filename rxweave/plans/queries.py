@@ -18,6 +18,7 @@ from rxweave.operators import prescriptions as P
 from rxweave.operators import longform as L
 from rxweave.operators import profile_tables as T
 from rxweave.operators import answers, code_tables, profiles, rollups, scan
+from rxweave.sources import xml
 from rxweave.plans.encoders import FACTS, ORDER_FACTS, claim_messages, script_messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -712,6 +713,68 @@ def w06_text(spark, sf_dir):
     return P.with_xml(found).select("k", "xml")
 
 
+# The lines of written prescriptions and answers: depth, text with SQL in braces, and when the line is there.
+_DRUG, _ASKS, _ANSWERS = "(sort IN (0, 1, 2, 12) OR sort = 4 AND shape = 2)", "sort IN (0, 1, 2)", "sort IN (4, 5, 6)"
+_CODED_SIG = f"{_DRUG} AND shape = 2"
+_OUTCOME = "CASE sort WHEN 4 THEN CASE shape WHEN 0 THEN 'Approved' WHEN 1 THEN 'Denied' WHEN 2 THEN 'ApprovedWithChanges' WHEN 3 THEN 'Denied' WHEN 5 THEN 'DenyNewToFollow' END WHEN 5 THEN CASE WHEN shape % 2 = 0 THEN 'Validated' ELSE 'Replace' END ELSE 'Denied' END"
+_REASONED = "(sort = 4 AND shape IN (1, 3) OR sort = 5 AND shape % 2 = 0 OR sort = 6)"
+_SCRIPT_LINES = [
+    (0, """<Message{CASE v WHEN 2 THEN ' version="2099001"' WHEN 1 THEN ' version="2023011"' WHEN 3 THEN '' ELSE ' version="2017071"' END}>""", None),
+    (1, "<Header>", None), (2, "<To>PH{ck}</To>", None), (2, "<From>DR {k % 10}</From>", None), (2, "<MessageID>M{k}</MessageID>", None), (2, "<RelatesToMessageID>M{k - 3}</RelatesToMessageID>", _ANSWERS),
+    (2, "<SentTime>2024-01-02T03:04:05Z</SentTime>", "k % 3 = 0"), (2, "<PrescriberOrderNumber>O{k}</PrescriberOrderNumber>", "k % 3 = 0"), (1, "</Header>", None), (1, "<Body>", None), (2, "<{kind}>", None),
+    (3, "<RequestReferenceNumber>R{CASE sort WHEN 1 THEN k ELSE k - 3 END}</RequestReferenceNumber>", "sort IN (1, 4)"), (3, "<Response/>", "sort = 4 AND shape = 4"), (3, "<Response>", f"{_ANSWERS} AND NOT (sort = 4 AND shape = 4)"),
+    (4, "<{outcome}/>", f"outcome IS NOT NULL AND {_ANSWERS} AND NOT {_REASONED}"), (4, "<{outcome}>", _REASONED), (5, "<ReasonCode>AA</ReasonCode>", "sort = 4 AND shape = 3"), (5, "<DenialReason>no</DenialReason>", "sort = 4 AND shape = 1"),
+    (5, "<DenialReason>late</DenialReason>", "sort = 6"), (5, "<Note>ok</Note>", "sort = 5 AND shape % 2 = 0"), (4, "</{outcome}>", _REASONED), (3, "</Response>", f"{_ANSWERS} AND NOT (sort = 4 AND shape = 4)"),
+    (3, "<Patient>", _ASKS), (4, "<Name>", _ASKS), (5, "<LastName>L{ck}</LastName>", _ASKS), (5, "<FirstName>F</FirstName>", _ASKS), (5, "<MiddleName>Q</MiddleName>", f"{_ASKS} AND ck % 3 = 0"), (4, "</Name>", _ASKS),
+    (4, "<Gender>{CASE WHEN ck % 2 = 0 THEN 'M' ELSE 'F' END}</Gender>", _ASKS), (4, "<DateOfBirth>1980-01-0{1 + k % 2}</DateOfBirth>", _ASKS), (3, "</Patient>", _ASKS),
+    (3, "<Pharmacy>", _ASKS), (4, "<BusinessName>Store &amp;amp; Co</BusinessName>", _ASKS), (4, "<Identification>", _ASKS), (5, f"<{codes.IDENTIFICATIONS['pharmacyNumber']}>{{1000000 + ck}}</{codes.IDENTIFICATIONS['pharmacyNumber']}>", _ASKS), (4, "</Identification>", _ASKS), (3, "</Pharmacy>", _ASKS),
+    (3, "<Prescriber>", _ASKS), (4, "<Name>", _ASKS), (5, "<LastName>Doc</LastName>", _ASKS), (4, "</Name>", _ASKS), (4, "<Identification>", _ASKS), (5, "<NPI>{k}</NPI>", _ASKS), (5, "<DEANumber>AB{k}</DEANumber>", f"{_ASKS} AND k % 2 = 0"), (4, "</Identification>", _ASKS), (3, "</Prescriber>", _ASKS),
+    (3, "<MedicationPrescribed>", _DRUG), (4, "<DrugDescription>Drug {k % 100}</DrugDescription>", _DRUG), (4, "<DrugCoded>", f"{_DRUG} AND shape < 2"), (5, '<ProductCode Qualifier="ND">{total}</ProductCode>', f"{_DRUG} AND shape = 0"),
+    *[(d, t, f"{_DRUG} AND shape = 1") for d, t in ((5, "<DrugDBCode>"), (6, "<Code>77</Code>"), (6, "<Qualifier>RxCUI</Qualifier>"), (5, "</DrugDBCode>"))], (4, "</DrugCoded>", f"{_DRUG} AND shape < 2"),
+    *[(d, t, f"{_DRUG} AND shape = 1") for d, t in ((4, "<Strength>"), (5, "<StrengthValue>5</StrengthValue>"), (5, "<StrengthForm>C42</StrengthForm>"), (5, "<StrengthUnitOfMeasure>mg</StrengthUnitOfMeasure>"), (4, "</Strength>"))],
+    (4, "<Quantity>", _DRUG), (5, "<Value>{total}{CASE shape WHEN 3 THEN '.5' WHEN 4 THEN '.' ELSE '' END}</Value>", _DRUG), (4, "</Quantity>", _DRUG), (4, "<DaysSupply>{CASE WHEN k % 2 = 0 THEN '30' ELSE '3x' END}</DaysSupply>", _DRUG),
+    (4, "<Substitutions>0</Substitutions>", f"{_DRUG} AND k % 2 = 0"), (4, "<NumberOfRefills>{CASE shape WHEN 5 THEN 3 ELSE 1 END}</NumberOfRefills>", _DRUG), (4, "<WrittenDate>2024-01-0{2 + k % 2}</WrittenDate>", _DRUG), (4, "<Directions>none</Directions>", f"{_DRUG} AND shape IN (0, 1, 5)"),
+    (4, "<Sig>", f"{_DRUG} AND shape IN (2, 3, 4)"), (5, "<SigText>{CASE shape WHEN 2 THEN 'take one' WHEN 3 THEN 'take two' ELSE 'as told' END}</SigText>", f"{_DRUG} AND shape IN (2, 3, 4)"),
+    *[
+        (d, t, _CODED_SIG)
+        for d, t in (
+            (5, "<DoseDeliveryMethod>Take</DoseDeliveryMethod>"), (5, "<DoseQuantity>1</DoseQuantity>"), (5, "<DoseUnitOfMeasure>"), (6, "<Code>C48542</Code>"), (6, "<Qualifier>NCI</Qualifier>"), (5, "</DoseUnitOfMeasure>"),
+            (5, "<RouteOfAdministration>"), (6, "<Code>PO</Code>"), (6, "<Qualifier>SNOMED</Qualifier>"), (6, "<Text>by mouth</Text>"), (5, "</RouteOfAdministration>"), (5, "<SiteOfAdministration>mouth</SiteOfAdministration>"),
+            (5, "<AdministrationTiming>daily</AdministrationTiming>"), (5, "<Duration>"), (6, "<Code>7</Code>"), (6, "<Qualifier>none</Qualifier>"), (6, "<Text>week</Text>"), (5, "</Duration>"), (5, "<Indication>pain</Indication>"),
+        )
+    ],
+    (4, "</Sig>", f"{_DRUG} AND shape IN (2, 3, 4)"), (4, "<SigText>plain</SigText>", f"{_DRUG} AND shape = 5"), (4, "<Note>take care</Note>", f"{_DRUG} AND k % 2 = 0"), (3, "</MedicationPrescribed>", _DRUG),
+    (2, "</{kind}>", None), (1, "</Body>", None), (0, "</Message>", None),
+]
+
+
+def _sql_line(depth: int, text: str, when: str | None) -> str:
+    whole = "'" + "  " * depth + text.replace("{", "' || (").replace("}", ") || '") + "'"
+    return whole if when is None else f"CASE WHEN {when} THEN {whole} END"
+
+
+@query(
+    "w07_prescription_text",
+    f"SELECT k, kind, concat_ws(chr(10), {', '.join(_sql_line(*line) for line in _SCRIPT_LINES)}) AS xml FROM (SELECT *, {_KINDS} AS kind, {_OUTCOME} AS outcome FROM o WHERE sort IN (0, 1, 2, 4, 5, 6, 12))",
+)
+def w07_text(spark, sf_dir):
+    """Canonical XML of prescriptions (parties, medication, directions) and of lifecycle answers, byte for byte."""
+    asked = [k for k in codes.LIFECYCLE_REQUESTS if k != "CancelRx"]
+    return P.with_xml(P.of_kind(scripts(spark, sf_dir), "NewRx", *asked, *codes.LIFECYCLE_RESPONSES)).select("k", "kind", "xml")
+
+
+@query(
+    "s02_sql_nodes",
+    """SELECT depth, name, count(*) AS n FROM (SELECT 0 AS depth, 'Message' AS name FROM o WHERE sort < 13 UNION ALL SELECT 1, 'Header' FROM o WHERE sort < 13 UNION ALL SELECT 1, 'Body' FROM o WHERE sort < 13 UNION ALL SELECT 2, 'To' FROM o WHERE sort < 13
+    UNION ALL SELECT 2, 'RelatesToMessageID' FROM o WHERE sort >= 4 AND sort < 10 UNION ALL SELECT 3, 'MedicationPrescribed' FROM o WHERE sort IN (0, 1, 2, 12) UNION ALL SELECT 5, 'MedicationPrescribed' FROM o WHERE sort = 4 AND shape = 2) GROUP BY ALL""",
+)
+def s02_sql(spark, sf_dir):
+    """Nodes by depth and name through the SQL table function; texts that can't be read have none."""
+    xml.register(spark)
+    wanted = "'Message', 'Header', 'Body', 'To', 'RelatesToMessageID', 'MedicationPrescribed'"
+    return spark.sql(f"SELECT n.depth, n.name, count(*) AS n FROM {{m}} AS m, LATERAL script_nodes(m.payload) AS n WHERE n.name IN ({wanted}) GROUP BY n.depth, n.name", m=script_messages(spark, sf_dir).select("payload"))
+
+
 @query(
     "s01_gate",
     """SELECT fatal, path, count(*) AS n FROM (SELECT CASE WHEN trim(coalesce(html, '')) = '' THEN 'EMPTY_INPUT' WHEN page_id % 3 <> 1 AND regexp_matches(html, '(?i)<!(?:DOCTYPE|ENTITY)\\b') THEN 'NOT_XML' WHEN page_id % 3 = 2 THEN 'NOT_XML' ELSE 'NO_MESSAGE_ROOT' END AS fatal,

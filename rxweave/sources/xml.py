@@ -12,9 +12,11 @@ from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A document type or an entity declaration, wherever it stands: such a text is refused before it is read.
+REFUSED = "(?i)<!(?:DOCTYPE|ENTITY)\\b"
 NODE = "struct<id:int,parent:int,last:int,depth:int,name:string,text:string,attrs:map<string,string>>"
 _NODE = pa.struct(
     [("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]
@@ -162,3 +164,24 @@ def shred_messages(raw: DataFrame, payload: str = "payload", name: str = "nodes"
     kind = f"rest {rows.schema['rest'].dataType.simpleString()}, nodes array<{NODE}>" + (", index map<string,int>" if index else "")
     done = rows.mapInArrow(run, kind)
     return done.select("rest.*", F.col("nodes").alias(name), *([F.col("index").alias(index)] if index else []))
+
+
+class ScriptNodes:
+    """The rows of ``script_nodes(payload)``: a node each, as ``read_nodes`` has them; none for a text that is refused."""
+
+    refused = re.compile(REFUSED)
+
+    def eval(self, payload: str | None) -> Iterator[tuple]:
+        nodes = None if payload is None or self.refused.search(payload) else read_nodes(payload)
+        if nodes is not None:
+            for n, (parent, last, depth, name, text, attrs) in enumerate(zip(nodes.parent, nodes.last, nodes.depth, nodes.name, nodes.text, nodes.attrs, strict=True)):
+                yield n, parent, last, depth, name, text, dict(attrs)
+
+
+def register(spark: SparkSession) -> None:
+    """The session's table function ``script_nodes(payload)``: id, parent, last, depth, name, text, attrs of each node.
+
+    It is for use in a LATERAL join, which takes no Arrow functions, so rows pass to Python one by one: for large tables
+    ``prescriptions.script_nodes`` gives the same rows by Arrow batches. Null, blank, refused and unreadable texts have no rows.
+    """
+    spark.udtf.register("script_nodes", F.udtf(ScriptNodes, returnType=NODE, useArrow=False))
