@@ -864,3 +864,29 @@ def g03(spark, sf_dir):
     texts = script_messages(spark, sf_dir).select(F.col("k").cast("string").alias("path"), F.col("payload").alias("text"))
     allow = scan.allow_rows(spark.createDataFrame(_ALLOW, "kind string, value string"))
     return scan.scan_texts(texts, allow).groupBy("location", "category", "value", "reason").agg(F.count("*").alias("n"))
+
+
+_LEAVES = """SELECT CAST(c_custkey AS STRING) AS path, concat('<Message><Patient><Name><LastName>', c_mktsegment, '</LastName><FirstName>', CASE c_custkey % 4 WHEN 0 THEN 'Dr X Ana' WHEN 1 THEN 'Probe' WHEN 2 THEN '' ELSE 'Ana-Bea' END, '</FirstName></Name><DateOfBirth>',
+    CASE c_custkey % 6 WHEN 0 THEN '1980-01-02' WHEN 1 THEN '1997-01-01' WHEN 2 THEN 'Jan 5, 80' WHEN 3 THEN '198013' WHEN 4 THEN 'unknown' ELSE '<Date> 1975 </Date>' END, '</DateOfBirth><SSN>', CASE c_custkey % 3 WHEN 0 THEN '123-45-6789' WHEN 1 THEN CAST(900000 + c_custkey AS STRING) ELSE '12345' END,
+    '</SSN><ElectronicMail>u', c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '@Example.com' ELSE '@mail.org' END, '</ElectronicMail><Communication><PhoneNumber>', CASE c_custkey % 5 WHEN 0 THEN '(212) 867-5309' WHEN 1 THEN '(212) 555-0100' WHEN 2 THEN '867-5309' WHEN 3 THEN '+1 212 867 53 09' ELSE '' END, '</PhoneNumber>',
+    CASE c_custkey % 7 WHEN 0 THEN '<CommunicationNumber><Number>2128675309</Number></CommunicationNumber>' WHEN 1 THEN '<Number>2128675309</Number>' ELSE '' END, '</Communication><m:MemberID>', 7000000 + c_custkey, '<Address><AddressLine1>', CASE WHEN c_custkey % 2 = 0 THEN concat(c_custkey, ' Main &amp; 1st St') ELSE 'PO Box 7' END, '</AddressLine1></Address></Patient></Message>') AS text
+FROM {customer}"""
+
+
+@query(
+    "g03_scan_leaves",
+    f"""SELECT CAST(path AS VARCHAR) AS path, location, category, value, {_sql_map('why', scan.REASONS)} AS reason FROM (SELECT c_custkey AS path, '<LastName>' AS location, 'name' AS category, c_mktsegment AS value, 'name' AS why FROM customer
+    UNION ALL SELECT c_custkey, '<FirstName>', 'name', 'Ana', 'name' FROM customer WHERE c_custkey % 4 IN (0, 3) UNION ALL SELECT c_custkey, '<FirstName>', 'name', 'Bea', 'name' FROM customer WHERE c_custkey % 4 = 3
+    UNION ALL SELECT c_custkey, '<DateOfBirth>', 'dob', CASE c_custkey % 6 WHEN 0 THEN '19800102' WHEN 2 THEN 'Jan 5, 80' WHEN 3 THEN '198013' ELSE '1975' END, CASE WHEN c_custkey % 6 IN (2, 3) THEN 'odd-dob' ELSE 'dob' END FROM customer WHERE c_custkey % 6 IN (0, 2, 3, 5)
+    UNION ALL SELECT c_custkey, '(ssn)', 'ssn', '123-45-6789', 'ssn' FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, '<SSN>', 'id', CAST(900000 + c_custkey AS VARCHAR), 'id' FROM customer WHERE c_custkey % 3 = 1 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)
+    UNION ALL SELECT c_custkey, '(email)', 'email', 'u' || c_custkey || '@mail.org', 'email' FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT c_custkey, '<PhoneNumber>', 'phone', CASE c_custkey % 5 WHEN 0 THEN '(212) 867-5309' ELSE '+1 212 867 53 09' END, 'phone' FROM customer WHERE c_custkey % 5 IN (0, 3)
+    UNION ALL SELECT c_custkey, '<Number>', 'phone', '2128675309', 'phone' FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey, '<MemberID>', 'id', CAST(7000000 + c_custkey AS VARCHAR), 'id' FROM customer
+    UNION ALL SELECT c_custkey, '<AddressLine1>', 'address', c_custkey || ' Main & 1st St', 'address' FROM customer WHERE c_custkey % 2 = 0)""",
+)
+def g03_leaves(spark, sf_dir):
+    """Ids, phones, streets, names and dates (also those that can't be read) of prescriptions for each customer, some elements
+    never closed; the suppliers' numbers are on the allow-list."""
+    texts = spark.sql(_LEAVES, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    listed = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.lit("id").alias("kind"), (F.lit(900000) + F.col("s_suppkey")).cast("string").alias("value"))
+    allow = scan.allow_rows(spark.createDataFrame(_ALLOW, "kind string, value string").unionByName(listed))
+    return scan.scan_texts(texts, allow).select("path", "location", "category", "value", "reason")
