@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
@@ -168,6 +169,8 @@ FOLDED = 5
 #: Cells of the table of shingle frequencies, cells of one of its blocks, the count up to which a cell is rare, and nodes in a block of a
 #: large group.
 CELLS_LOG, BLOCK_LOG, RARE, GROUP_BLOCK = 22, 12, 7, 512
+#: Blocks (log2) that prefix shingles are counted in, bits (log2) of the table of those that can meet, and shingles that a task holds.
+MEET_BLOCKS_LOG, MEET_LOG, MEET_AT_A_TIME = 10, (16, 28), 1 << 20
 
 
 def toggles_of(hashes: np.ndarray, boxes: int = BOXES) -> list[int]:
@@ -188,8 +191,8 @@ def prefix_of(hashes: np.ndarray, levels: np.ndarray, similarity: float) -> np.n
 def _levels(rows: DataFrame, size: int) -> np.ndarray:
     """A level (log2 of a count over all rows) for each cell of shingle hashes; it orders shingles, so that the common ones come last.
 
-    The counts are those of all rows, however they are dealt over tasks. A task hands on the cells that it has met, packed
-    by block; blocks are summed where they meet, and the driver gets a byte for each of the table's cells.
+    The counts are those of all rows, however they are dealt over tasks. A task hands on the blocks that it has met, compressed
+    byte by byte of the counts; blocks are summed where they meet, and the driver gets a byte for each of the table's cells.
     """
     blocks, cells = 1 << (CELLS_LOG - BLOCK_LOG), 1 << BLOCK_LOG
 
@@ -199,17 +202,16 @@ def _levels(rows: DataFrame, size: int) -> np.ndarray:
             for t in batch.column(0).to_pylist():
                 counts[(shingle_hashes(t, size, known) >> np.uint64(64 - CELLS_LOG)).astype(np.int64)] += 1
         for n, block in enumerate(counts.reshape(blocks, cells)):
-            met = np.flatnonzero(block)
-            if len(met):
-                packed = met.astype("<u2").tobytes() + block[met].astype("<u4").tobytes()
+            if block.any():
+                packed = zlib.compress(block.astype("<u4").view(np.uint8).reshape(cells, 4).T.tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([packed], pa.binary())], names=["block", "packed"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for n, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k = len(packed) // 6
-                sums.setdefault(n, np.zeros(cells, np.int64))[np.frombuffer(packed, "<u2", k)] += np.frombuffer(packed, "<u4", k, 2 * k)
+                counts = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, cells).T.copy().view("<u4").ravel()
+                sums[n] = sums.get(n, 0) + counts.astype(np.int64)
         levels = [np.where(x > RARE, np.log2(np.maximum(x, 1)), 0).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array(levels, pa.binary())], names=["block", "levels"])
 
@@ -220,17 +222,88 @@ def _levels(rows: DataFrame, size: int) -> np.ndarray:
     return levels.ravel()
 
 
+def _can_meet(nodes: DataFrame) -> np.ndarray:
+    """A table of bits by the first bits of a shingle's hash: set where a prefix shingle of two nodes or more falls.
+
+    Shingles are counted by 42 bits of their hashes, of which a shuffle carries 32 in blocks; equal ones are always counted
+    together, so a shingle whose bit isn't set is in one prefix only. The table follows the number of prefix shingles, up to
+    2 ** 28 bits (32 MB at the driver); where it fills up, more shingles pass than need to.
+    """
+    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    low, high = MEET_LOG
+    log = min(high, max(low, int(total).bit_length()))
+    shift = np.uint64(64 - MEET_BLOCKS_LOG)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            tokens = np.sort(np.concatenate(held))
+            blocks, starts = np.unique(tokens >> shift, return_index=True)
+            parts = np.split(((tokens >> np.uint64(32 - MEET_BLOCKS_LOG)) & np.uint64(0xFFFFFFFF)).astype("<u4"), starts[1:])
+            return pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["block", "packed"])
+
+        for batch in small(batches):
+            held.append(batch.column(0).flatten().to_numpy().view(np.uint64))
+            if sum(map(len, held)) >= MEET_AT_A_TIME:
+                yield out()
+                held = []
+        if sum(map(len, held)):
+            yield out()
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts.setdefault(n, []).append(np.frombuffer(x, "<u4"))
+        for n, own in parts.items():
+            values = np.sort(np.concatenate(own))
+            bits = np.zeros(1 << (log - MEET_BLOCKS_LOG), np.uint8)
+            bits[values[1:][values[1:] == values[:-1]] >> np.uint32(32 - log + MEET_BLOCKS_LOG)] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
+    table = np.zeros((1 << MEET_BLOCKS_LOG, 1 << (log - MEET_BLOCKS_LOG - 3)), np.uint8)
+    counted = nodes.select("prefix").mapInArrow(packed, "block int, packed binary").repartition("block")
+    for r in counted.mapInArrow(twice, "block int, bits binary").collect():  # a row for each block
+        table[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return table.ravel()
+
+
+def meets(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether the bit of each shingle hash is set in a table of ``_can_meet``."""
+    cell = tokens >> np.uint64(64 - (8 * len(table) - 1).bit_length())
+    return (table[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _rest(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that may be similar and are not yet in one component, by an exact path.
 
-    Two sets at the similarity or above share a shingle of their prefixes. Groups of nodes with a common prefix shingle
+    Two sets at the similarity or above share a shingle of their prefixes; shingles that are in one prefix only leave their
+    rows first, before anything is shuffled by shingle (see ``_can_meet``). Groups of nodes with a common prefix shingle
     are taken in all pairs, but for pairs of one component; a large group is dealt out in pairs of blocks. Pairs whose sizes,
     places in the prefix or folded bits rule the similarity out never leave the join. Then pigeonring on the rings of turned bits: the sets differ in
     at least as many shingles as bits, so at the similarity the budget is what their sizes allow, and no pair is lost.
     """
     # the ring folded to a few words: also turned by at most as many shingles as differ, and small enough for every member row
     bits = F.array(*[reduce(lambda a, b: a.bitwiseXOR(b), [F.col("toggles")[i] for i in range(n, BOXES, FOLDED)]) for n in range(FOLDED)])
-    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", bits.alias("bits"), F.posexplode("prefix").alias("place", "token"))
+    table = nodes.sparkSession.sparkContext.broadcast(_can_meet(nodes))
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            prefix = batch.column(3)
+            tokens, sizes = prefix.flatten().to_numpy(), prefix.value_lengths().to_numpy().astype(np.int64)
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = meets(tokens.view(np.uint64), table.value)
+            n = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+            ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[kept], pa.int64())) for x in (place, tokens)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=["node", "size", "bits", "places", "tokens"]).filter(pa.array(n > 0))
+
+    met = nodes.select("node", "size", bits.alias("bits"), "prefix").mapInArrow(meeting, "node long, size long, bits array<long>, places array<long>, tokens array<long>")
+    met = stored(met, "similar-meeting")
+    each = F.explode(F.arrays_zip("places", "tokens")).alias("each")
+    rooted = met.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "bits", each)
+    rooted = rooted.select("node", "root", "size", "bits", F.col("each.places").alias("place"), F.col("each.tokens").alias("token"))
     shared = rooted.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     shared = shared.select("token", (1 + F.floor(F.col("n") / GROUP_BLOCK)).cast("int").alias("k"))
     member = rooted.join(shared, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
@@ -248,7 +321,7 @@ def _rest(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
         & (differing <= both * ((1 - similarity) / (1 + similarity)) + 1e-6)
     )
     pairs = stored(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "similar-rest")
-    drop_stored(member)
+    drop_stored(met, member)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -319,11 +392,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, *
 
     levels = docs.sparkSession.sparkContext.broadcast(_levels(rows, size))
     kind = "key long, node long, boxes array<long>, toggles array<long>, prefix array<long>, size long"
-    prints = stored(rows.mapInArrow(sampled, kind), "similar-prints")
+    prints = rows.mapInArrow(sampled, kind)
     made = F.first(F.struct("boxes", "toggles", "prefix", "size")).alias("made")
     nodes = stored(prints.groupBy("node").agg(F.min("key").alias("least"), made).select("node", "least", "made.*"), "similar-nodes")
-    keys = stored(prints.select("key", "node"), "similar-keys")
-    drop_stored(prints)
+    keys = stored(rows.select("key", "node"), "similar-keys")
     ring = F.arrays_zip("boxes", F.concat(F.slice("boxes", 2, BOXES - 1), F.slice("boxes", 1, 1)).alias("then"))
     starts = F.flatten(F.transform(ring, lambda x, i: F.array(F.xxhash64(i, x["boxes"]), F.xxhash64(i, x["boxes"], x["then"]))))
     box = nodes.select("node", F.explode(starts).alias("start"))
