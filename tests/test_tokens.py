@@ -58,3 +58,44 @@ def test_only_what_is_wanted_is_worked_out(spark):
     assert bare.segments[0].fields[0].name is None and bare.segments[0].name == "Insurance"
     with pytest.raises(ValueError, match="no such results"):
         C.parse_claims(texts, only=("heads",))
+
+
+def test_texts_of_plain_markup_are_read_as_all_others():
+    from rxweave.sources import xml
+
+    lookups = xml._Lookups(codes.CHILD_ELEMENTS, codes.DEEP_ELEMENTS)  # noqa: SLF001
+    pick = random.Random(7)
+    pieces = ["<a>", "</a>", "<Name>", "</Name>", "<Sig/>", "<c d='1'>", '<m:Name x="y>z">', "<x / >", "t", "é", "<!-- n -->", "<!--->", "<?xml version='1'?>", "<?pi a?>", "<![CDATA[q]]>", "<", ">", "< q>", "<é>", "<a'>"]
+
+    def tree(depth):
+        name = pick.choice(["a", "Name", "m:Sig", "Code", "Body a='1'", "Text", "Date "])
+        inner = "".join(pick.choice(["", "t", "é", " <!-- c -->x"]) + tree(depth + 1) for _ in range(pick.randrange(4) if depth < 5 else 0))
+        return f"<{name}>{inner}tail</{name.split()[0]}>"
+
+    texts = [None, "", "<a>" * 99 + "</a>" * 99, *("".join(pick.choice(pieces) for _ in range(pick.randrange(12))) for _ in range(3_000)), *(tree(0) for _ in range(500))]
+    for strict in (True, False):
+        nodes, index = xml.shred(pa.array(["skipped", *texts]).slice(1), strict, lookups)
+        plainly = [None if t is None else xml.read_nodes(t, strict) for t in texts]
+        assert nodes.to_pylist() == xml._array(plainly).to_pylist()  # noqa: SLF001
+        assert [None if x is None else dict(x) for x in index.to_pylist()] == [None if n is None else dict(lookups.of(n)) for n in plainly]
+    assert xml._marks(*xml.text_bytes(pa.array(texts[-500:])))[0].all()  # noqa: SLF001
+
+
+def test_a_scan_reads_its_texts_once_for_each_format(spark):
+    from rxweave.operators import scan
+
+    texts = spark.createDataFrame([("a", "AM01\x1cCAJo Doe\x1cC419800102\x1cCQ(212) 867-5309"), ("b", "<p><LastName>Roe 王</LastName><SSN>123-45-6789</SSN></p>")], "path string, text string")
+    allow = scan.allow_rows(spark.createDataFrame([("name", "Doe")], "kind string, value string"))
+    hits = scan.scan_texts(texts, allow)
+    assert sorted((r.path, r.category, r.value) for r in hits.collect()) == [("a", "dob", "19800102"), ("a", "name", "Jo"), ("a", "phone", "(212) 867-5309"), ("b", "name", "Roe"), ("b", "name", "王"), ("b", "ssn", "123-45-6789")]
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # noqa: SLF001
+
+
+def test_first_descendants_read_their_nodes_once(spark):
+    from rxweave.operators import longform
+    from rxweave.operators import prescriptions as P
+
+    nodes = P.script_nodes(spark.createDataFrame([(1, "<a>x<b>y</b><b>z</b></a>")], "k int, payload string"), "k")
+    found = longform.first_descendants(nodes, spark.createDataFrame([("a", "b"), ("a", "a")], "ancestor string, descendant string"), "k", ["text"])
+    assert sorted((r.descendant, r.found, r.text) for r in found.collect()) == [("a", 0, "x"), ("b", 1, "y")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # noqa: SLF001
