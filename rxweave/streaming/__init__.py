@@ -1,4 +1,4 @@
-"""Structured Streaming: the readers are column expressions, so a stream of messages runs the plan of a table."""
+"""Structured Streaming: the readers need no shuffle and no state, so a stream of messages runs the plan of a table."""
 
 from __future__ import annotations
 
